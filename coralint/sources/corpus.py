@@ -52,8 +52,8 @@ def parse_ignore_files(ignore_files: DataFrame) -> DataFrame:
 
     Blank lines, comments, negations and patterns with ``**`` or an inner slash are skipped.
     """
-    line = F.trim(F.regexp_replace(F.explode(F.split("text", "\n")), r"^\s+|\s+$", ""))
-    rows = ignore_files.select("repo", "dir", line.alias("raw")).where(
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    rows = ignore_files.select("repo", "dir", F.explode(trimmed).alias("raw")).where(
         (F.col("raw") != "") & ~F.col("raw").startswith("#") & ~F.col("raw").startswith("!")
     )
     pattern = F.regexp_replace(F.regexp_replace("raw", "^/+", ""), "/+$", "")
