@@ -6,7 +6,6 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from coralint.operators import facts as X
 from coralint.operators import lexemes as L
@@ -22,8 +21,20 @@ class Facts:
     also survives the loss of executors without recomputation.
     """
 
-    def __init__(self, files: DataFrame, clustered: bool = False, keep: bool = False, store: str | None = None):
-        self.files = files if clustered else files.repartition("fid")
+    def __init__(
+        self,
+        files: DataFrame,
+        clustered: bool = False,
+        keep: bool = False,
+        store: str | None = None,
+        partitions: int | None = None,
+    ):
+        if not clustered:
+            # A fixed number: compressed text is small against the rows it expands to, so
+            # coalescing by shuffle size would make partitions far too large.
+            n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            files = files.repartition(n, "fid")
+        self.files = files
         self._keep = keep
         self._store = store
         self._held: list[DataFrame] = []
@@ -65,7 +76,7 @@ class Facts:
 
     @cached_property
     def numbers(self) -> DataFrame:
-        return X.number_literals(self.tokens)
+        return self._shared("numbers", X.number_literals(self.tokens))
 
     @cached_property
     def statements(self) -> DataFrame:
@@ -73,7 +84,7 @@ class Facts:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return X.blocks(self.statements)
+        return self._shared("blocks", X.blocks(self.statements))
 
     @cached_property
     def functions(self) -> DataFrame:
@@ -81,11 +92,11 @@ class Facts:
 
     @cached_property
     def params(self) -> DataFrame:
-        return X.params(self.functions)
+        return self._shared("params", X.params(self.functions))
 
     @cached_property
     def catches(self) -> DataFrame:
-        return X.catches(self.statements, self.blocks, self.files)
+        return self._shared("catches", X.catches(self.statements, self.blocks, self.files))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -101,7 +112,7 @@ class Facts:
 
     @cached_property
     def loops(self) -> DataFrame:
-        return X.loops(self.statements, self.blocks, self.files)
+        return self._shared("loops", X.loops(self.statements, self.blocks, self.files))
 
     @cached_property
     def types(self) -> DataFrame:
@@ -110,7 +121,3 @@ class Facts:
     @cached_property
     def async_names(self) -> DataFrame:
         return X.async_names(self.statements, self.files)
-
-    def of(self, *languages: str) -> "Facts":
-        """The same facts for some languages only; the filter runs before lexing."""
-        return Facts(self.files.where(F.col("language").isin(*languages)), clustered=True)

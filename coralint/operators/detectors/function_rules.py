@@ -7,14 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coralint.functions.lexer import code_only
-from coralint.functions.text import contains_any, count_any, quote_word, utf8_slice
+from coralint.functions.text import contains_any, count_any, quote_word
 from coralint.operators.bundle import Facts
 from coralint.operators.facts import JVMISH, TS, with_text
 from coralint.operators.hits import hits
 from coralint.operators.sweep import count_within, enclosing_all, nesting_at
 
-LANG = F.col
-
 
 # ---------------------------------------------------------------- R02
 
@@ -52,16 +50,10 @@ def _block_weights(facts: Facts) -> DataFrame:
         "chain", F.col("links") - F.coalesce(F.last(F.when(~is_else, F.col("links")), ignorenulls=True).over(run), F.lit(0))
     )
     # A counted loop has semicolons between its brackets; an iterating one has none.
-    is_for = head.rlike(r"^for \( \) \{") & lang.isin(*TS, "java")
-    opening = F.get("sibs", 1)
-    for_rows = (
-        blk.where(is_for)
-        .select("*", opening["end_off"].alias("p_from"), F.get("sibs", 2)["off"].alias("p_to"))
-        .join(facts.files.select("fid", "text"), "fid")
-        .withColumn("counted", utf8_slice(F.col("text").cast("binary"), F.col("p_from"), F.col("p_to")).contains(";"))
-        .drop("text", "p_from", "p_to")
+    counted = facts.loops.where((F.col("kind") == "for") & F.col("body").rlike(r"^for\s*\([^)]*;")).select(
+        "fid", "off", F.lit(1).alias("counted")
     )
-    blk = blk.where(~is_for).withColumn("counted", F.lit(True)).unionByName(for_rows)
+    blk = blk.join(counted, ["fid", "off"], "left").withColumn("counted", F.coalesce("counted", F.lit(0)))
 
     before_brace = F.get("sibs", F.size("sibs") - 3)["text"]
     type_body = head.rlike(
@@ -81,7 +73,7 @@ def _block_weights(facts: Facts) -> DataFrame:
     python = F.when(head.rlike(r"^(?:class|match|case)\b"), 1).otherwise(2)
     ts = (
         F.when(is_else | head.rlike(r"^if \("), 1 + F.col("chain"))
-        .when(head.rlike(r"^for\b"), F.col("counted").cast("int"))
+        .when(head.rlike(r"^for\b"), F.col("counted"))
         .when(head.rlike(r"^(?:while|switch|with) \("), 1)
         .when(head.rlike(r"^(?:try|finally) \{"), 1)
         .when(head.rlike(r"^catch\b"), 2)
@@ -90,7 +82,7 @@ def _block_weights(facts: Facts) -> DataFrame:
     bare = head.rlike(r"^\{ \}$|^(?:static|get|set|init|add|remove|unsafe|checked|unchecked|fixed \( \)) \{|(?:=>|->) \{ \}$")
     jvm = (
         F.when(is_else | head.rlike(r"^if \("), 2 + F.col("chain"))
-        .when(head.rlike(r"^for \("), 1 + F.col("counted").cast("int"))
+        .when(head.rlike(r"^for \("), 1 + F.when(lang == "csharp", 1).otherwise(F.col("counted")))
         .when(head.rlike(r"^while \("), 2)
         .when(head.rlike(r"^(?:foreach|using|lock|synchronized) \(|^do \{"), 1)
         .when(head.rlike(r"^try \{|^finally \{"), 2)
@@ -154,6 +146,9 @@ def detect_r02(facts: Facts, max_lines: int = 50, max_parameters: int = 5, max_d
 # ---------------------------------------------------------------- R03
 
 _RUST_ITEM = r"^(?:#!? \[ \] )*pub\b(?: \( \))?\s*(?:(?:async|unsafe|const|extern(?: \"\")?|default)\s+)*?(fn|struct|enum|trait|const|static|type)\b"
+_BODILESS = (
+    r"^(?:\[ \] |@[\w.]+ (?:\( \) )?)*+(?:[\w<>,.?&]++ (?!\( )|\[ \] )++\w+(?:<[^()]*>)? \( \)(?: (?:throws|where)[^={}]*)? ;$"
+)
 _CLASS = r"^(?:\[ \] |@[\w.]+ (?:\( \) )?)*+(?:[a-z]+ )*?(?:export (?:default )?)?class\s+\w+"
 
 
@@ -169,15 +164,24 @@ def detect_r03(facts: Facts, docstrings: bool = False) -> DataFrame:
     def documented(doc_off: Column) -> Column:
         return F.coalesce(doc_off >= F.col("prev_end"), F.lit(False))
 
-    item = F.regexp_extract(head, _RUST_ITEM, 1)
+    lang = F.col("language")
+    item = F.when(lang == "rust", F.regexp_extract(head, _RUST_ITEM, 1)).otherwise(
+        F.when(lang.isin(JVMISH) & head.rlike(r"\bpublic\b") & head.rlike(_BODILESS), "method").otherwise("")
+    )
     at = F.array_position(F.transform("sibs", lambda s: s["text"].rlike(r"^pub\b")), True).cast("int")
-    pub = F.get("sibs", at - 1)
-    rust = (
-        stm.where(F.col("language") == "rust")
-        .withColumn("kind", item)
+    spot = F.get("sibs", F.when(lang == "rust", at - 1).otherwise(0))
+    declared = (
+        stm.withColumn("kind", item)
         .where((F.col("kind") != "") & ((F.col("kind") != "fn") | F.col("braced")))
-        .where(~documented(pub["doc_off"]))
-        .select("fid", F.when(F.col("kind") == "fn", "function").otherwise(F.col("kind")).alias("kind"), pub["row"].alias("row"), pub["col"].alias("col"), pub["off"].alias("off"))
+        .withColumn("spot", spot)
+        .where(~documented(F.col("spot.doc_off")))
+        .select(
+            "fid",
+            F.when(F.col("kind").isin("fn", "method"), "function").otherwise(F.col("kind")).alias("kind"),
+            "spot.row",
+            "spot.col",
+            "spot.off",
+        )
     )
     python_items = facts.blocks.where((F.col("language") == "python") & (F.col("col") == 0)).where(
         head.rlike(r"^(?:async\s+)?def\s|^class\b")
@@ -187,23 +191,11 @@ def detect_r03(facts: Facts, docstrings: bool = False) -> DataFrame:
         python_items = first_in.where(~F.col("body").rlike(r"^[^\n]*(?:\n[^\n]*)*?:\s*(?:#[^\n]*)?\n\s*[rRuU]?(?:\"\"\"|''')"))
     python = python_items.select("fid", F.when(head.rlike(r"^class"), "class").otherwise("function").alias("kind"), "row", "col", "off")
     # Script functions count as public when their own text mentions export.
-    script = fns.where(
-        F.col("language").isin(TS)
-        & F.col("kind").isin("function_declaration", "method_definition")
-        & F.col("body").contains("export")
-        & ~(documented(F.col("doc_off")) & ~F.col("exported"))
-    ).select("fid", F.lit("function").alias("kind"), "row", "col", "off")
+    public = F.when(
+        lang.isin(TS), F.col("kind").isin("function_declaration", "method_definition") & F.col("body").contains("export")
+    ).when(lang.isin(JVMISH), (F.col("kind") == "method_declaration") & F.col("body").contains("public"))
     methods = fns.where(
-        F.col("language").isin(JVMISH)
-        & (F.col("kind") == "method_declaration")
-        & F.col("body").contains("public")
-        & ~documented(F.col("doc_off"))
-    ).select("fid", F.lit("function").alias("kind"), "row", "col", "off")
-    bodiless = stm.where(
-        F.col("language").isin(JVMISH)
-        & head.rlike(r"\bpublic\b")
-        & head.rlike(r"^(?:\[ \] |@[\w.]+ (?:\( \) )?)*+(?:[\w<>,.?&]++ (?!\( )|\[ \] )++\w+(?:<[^()]*>)? \( \)(?: (?:throws|where)[^={}]*)? ;$")
-        & ~documented(F.get("sibs", 0)["doc_off"])
+        F.coalesce(public, F.lit(False)) & ~(documented(F.col("doc_off")) & ~(lang.isin(TS) & F.col("exported")))
     ).select("fid", F.lit("function").alias("kind"), "row", "col", "off")
     lead = F.when(F.col("language").isin(TS), F.octet_length(F.regexp_extract(F.get("sibs", 0)["text"], r"^(export\s+(?:default\s+)?)?", 1))).otherwise(0)
     class_rows = facts.blocks.where(F.col("language").isin(*TS, *JVMISH) & head.rlike(_CLASS) & ~(F.col("language").isin(TS) & head.rlike(r"\babstract\b")))
@@ -215,7 +207,7 @@ def detect_r03(facts: Facts, docstrings: bool = False) -> DataFrame:
     classes = with_text(class_rows.where(~F.col("has_doc")), facts.files).where(F.contains("body", word)).select(
         "fid", F.lit("class").alias("kind"), "row", "col", "off"
     )
-    rows = rust.unionByName(python).unionByName(script).unionByName(methods).unionByName(bodiless).unionByName(classes)
+    rows = declared.unionByName(python).unionByName(methods).unionByName(classes)
     return hits(rows, "R03", subject=F.col("kind"))
 
 

@@ -403,7 +403,9 @@ def code_files(spark: SparkSession, sf_dir: str, snapshot: int = 1, excluded: bo
     """
     from coralint.sources.corpus import exclude_paths
 
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").repartition("p_partkey")
+    # The rows are tiny before the text exists; a fixed number keeps them from being coalesced into one task.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").repartition(n, "p_partkey")
     base = part.select(
         F.col("p_partkey").cast("bigint").alias("k"),
         F.expr("cast(floor(p_partkey / 6) as bigint)").alias("j"),

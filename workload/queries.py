@@ -30,7 +30,6 @@ from workload.oracle import LAYOUTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-BRACES = ("rust", "typescript", "tsx", "csharp", "java")
 SCRIPTS = ("typescript", "tsx")
 
 
@@ -39,12 +38,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def facts(spark: SparkSession, sf: str, *languages: str, snapshot: int = 1) -> Facts:
-    """Facts of the corpus; the detector's languages are filtered before lexing."""
-    files = C.code_files(spark, sf, snapshot)
-    if languages:
-        files = files.where(F.col("language").isin(*languages))
-    return Facts(files, clustered=True)
+_SHARED: dict[tuple, Facts] = {}
+
+
+def facts(spark: SparkSession, sf: str, snapshot: int = 1) -> Facts:
+    """Facts of the corpus, built once per session and table folder and then shared.
+
+    The detectors read the kept tables; facts of another folder are released first.
+    """
+    key = (spark.sparkContext.applicationId, sf, snapshot)
+    if key not in _SHARED:
+        for old in [k for k in _SHARED if k[:2] != key[:2]]:
+            dropped = _SHARED.pop(old)
+            if old[0] == key[0]:
+                dropped.release()
+        _SHARED[key] = Facts(C.code_files(spark, sf, snapshot), clustered=True, keep=True)
+    return _SHARED[key]
 
 
 def placed(hits: DataFrame, *extra: str) -> DataFrame:
@@ -168,8 +177,8 @@ def facts_tokens_lossless(spark, sf):
 @query
 def facts_tokens_by_kind(spark, sf):
     """Statement ends and brackets per file; the corpus is balanced."""
-    lex = facts(spark, sf, "java").lexemes
-    return lex.groupBy("fid").agg(
+    lex = facts(spark, sf).lexemes
+    return lex.where(F.col("language") == "java").groupBy("fid").agg(
         F.count_if(F.col("kind") == "open").alias("opens"),
         F.count_if(F.col("kind") == "close").alias("closes"),
         F.max(F.when(F.col("kind") == "close", F.col("depth"))).alias("deepest"),
@@ -208,7 +217,7 @@ def facts_params(spark, sf):
 
 @query
 def facts_enclosing_function(spark, sf):
-    f = facts(spark, sf, "python", "typescript", "tsx", "csharp", "java")
+    f = facts(spark, sf)
     calls = f.calls.where(F.col("name") == "run").select("fid", "off", "row")
     spans = f.functions.select("fid", "off", "end_off", "name")
     return innermost(calls, spans, ["name"]).select("fid", line(), F.col("span.name").alias("name"))
@@ -216,14 +225,14 @@ def facts_enclosing_function(spark, sf):
 
 @query
 def facts_catches(spark, sf):
-    return facts(spark, sf, "python", "typescript", "tsx", "csharp", "java").catches.select(
+    return facts(spark, sf).catches.select(
         "fid", line(), "exc_var", "is_broad", "has_return"
     )
 
 
 @query
 def facts_calls(spark, sf):
-    calls = facts(spark, sf, "rust").calls
+    calls = facts(spark, sf).calls
     return calls.where(F.col("name").startswith("unwrap_or") | (F.col("name") == "Some")).select(
         "fid", line(), "col", "name", "is_method"
     )
@@ -236,12 +245,13 @@ def facts_imports(spark, sf):
 
 @query
 def facts_loops(spark, sf):
-    return facts(spark, sf, "python", *SCRIPTS).loops.select("fid", line(), "kind", "var", "source")
+    scripts = facts(spark, sf).loops.where(F.col("language").isin("python", *SCRIPTS))
+    return scripts.select("fid", line(), "kind", "var", "source")
 
 
 @query
 def facts_types(spark, sf):
-    return facts(spark, sf, "rust").types.select("fid", line(), "kind", "name", "n")
+    return facts(spark, sf).types.select("fid", line(), "kind", "name", "n")
 
 
 @query
@@ -256,17 +266,17 @@ def facts_identifiers(spark, sf):
 
 @query
 def r01_rust_fallback(spark, sf):
-    return placed(CR.rust_fallbacks(facts(spark, sf, "rust")), "col", "subject")
+    return placed(CR.rust_fallbacks(facts(spark, sf)), "col", "subject")
 
 
 @query
 def r01_python_except(spark, sf):
-    return placed(CR.python_excepts(facts(spark, sf, "python")), "col")
+    return placed(CR.python_excepts(facts(spark, sf)), "col")
 
 
 @query
 def r01_catch_return(spark, sf):
-    return placed(CR.catch_returns(facts(spark, sf, *SCRIPTS, "csharp", "java")), "col", "severity")
+    return placed(CR.catch_returns(facts(spark, sf)), "col", "severity")
 
 
 @query
@@ -301,22 +311,22 @@ def r05_shallow_integration(spark, sf):
 
 @query
 def r06_single_impl(spark, sf):
-    return placed(NR.single_impl_traits(facts(spark, sf, "rust")), "subject", "measure")
+    return placed(NR.single_impl_traits(facts(spark, sf)), "subject", "measure")
 
 
 @query
 def r06_single_impl_repo(spark, sf):
-    return placed(NR.single_impl_traits(facts(spark, sf, "rust"), "repo"), "subject", "measure")
+    return placed(NR.single_impl_traits(facts(spark, sf), "repo"), "subject", "measure")
 
 
 @query
 def r06_generics(spark, sf):
-    return placed(NR.excess_generics(facts(spark, sf, "rust")), "measure")
+    return placed(NR.excess_generics(facts(spark, sf)), "measure")
 
 
 @query
 def r07_unused_import(spark, sf):
-    return placed(NR.detect_r07(facts(spark, sf, "rust", "python", *SCRIPTS, "java")), "subject")
+    return placed(NR.detect_r07(facts(spark, sf)), "subject")
 
 
 @query
@@ -368,37 +378,37 @@ def r16_private_access(spark, sf):
 
 @query
 def r18_missing_await_py(spark, sf):
-    return placed(NR.missing_awaits(facts(spark, sf, "python"), ["python"]), "col", "subject")
+    return placed(NR.missing_awaits(facts(spark, sf), ["python"]), "col", "subject")
 
 
 @query
 def r18_missing_await_ts(spark, sf):
-    return placed(NR.missing_awaits(facts(spark, sf, *SCRIPTS), list(SCRIPTS)), "col", "subject")
+    return placed(NR.missing_awaits(facts(spark, sf), list(SCRIPTS)), "col", "subject")
 
 
 @query
 def r19_n_plus_one_py(spark, sf):
-    return placed(NR.python_query_loops(facts(spark, sf, "python")), "subject")
+    return placed(NR.python_query_loops(facts(spark, sf)), "subject")
 
 
 @query
 def r19_n_plus_one_ts(spark, sf):
-    return placed(NR.script_query_loops(facts(spark, sf, *SCRIPTS)), "subject")
+    return placed(NR.script_query_loops(facts(spark, sf)), "subject")
 
 
 @query
 def r20_python_leak(spark, sf):
-    return placed(FR.python_leaks(facts(spark, sf, "python")), "subject")
+    return placed(FR.python_leaks(facts(spark, sf)), "subject")
 
 
 @query
 def r20_listener_leak(spark, sf):
-    return placed(FR.listener_leaks(facts(spark, sf, *SCRIPTS)))
+    return placed(FR.listener_leaks(facts(spark, sf)))
 
 
 @query
 def r23_wrong_error_type(spark, sf):
-    return placed(CR.detect_r23(facts(spark, sf, "python", *SCRIPTS, "csharp", "java")), "col")
+    return placed(CR.detect_r23(facts(spark, sf)), "col")
 
 
 @query
@@ -416,12 +426,12 @@ def r24_url_pages(spark, sf):
 
 @query
 def r28_rust(spark, sf):
-    return placed(NR.needless_unwraps(facts(spark, sf, "rust")), "col")
+    return placed(NR.needless_unwraps(facts(spark, sf)), "col")
 
 
 @query
 def r28_ts(spark, sf):
-    return placed(LR.needless_nullish(facts(spark, sf, *SCRIPTS)), "col", "subject")
+    return placed(LR.needless_nullish(facts(spark, sf)), "col", "subject")
 
 
 # ---------------------------------------------------------------- findings
@@ -574,7 +584,4 @@ def corpus_compare_snapshots(spark, sf):
 @query
 def review_by_rule(spark, sf):
     """All detectors over the corpus: findings per rule and severity."""
-    ensure_checkpoint_dir(spark)
-    store = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
-    f = Facts(C.code_files(spark, sf), clustered=True, store=store)
-    return detect(f).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    return detect(facts(spark, sf)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
