@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from coralint.operators import facts as X
@@ -16,43 +16,48 @@ class Facts:
 
     ``clustered`` promises that ``files`` is already hash-partitioned by ``fid``;
     otherwise the file texts are shuffled once here and nothing derived from them
-    is shuffled again. ``keep`` persists the tables several detectors share. With
-    ``store`` they are written as Parquet under that folder and read back, which
-    also survives the loss of executors without recomputation.
+    is shuffled again.
+
+    With ``store``, a folder all executors reach, the tables several detectors
+    share are written there once as Parquet bucketed by ``fid``. Reading them
+    back keeps the partitioning (no shuffle before windows and joins on ``fid``),
+    prunes columns, gives every detector a short plan and survives lost executors
+    without recomputation. Without it every use is computed from the text.
     """
 
     def __init__(
-        self,
-        files: DataFrame,
-        clustered: bool = False,
-        keep: bool = False,
-        store: str | None = None,
-        partitions: int | None = None,
+        self, files: DataFrame, clustered: bool = False, store: str | None = None, partitions: int | None = None
     ):
+        # A fixed number: compressed text is small against the rows it expands to, so
+        # coalescing by shuffle size would make partitions far too large.
+        self.partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if not clustered:
-            # A fixed number: compressed text is small against the rows it expands to, so
-            # coalescing by shuffle size would make partitions far too large.
-            n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            files = files.repartition(n, "fid")
-        self.files = files
-        self._keep = keep
-        self._store = store
-        self._held: list[DataFrame] = []
+            files = files.repartition(self.partitions, "fid")
+        self.store = store.rstrip("/") if store else None
+        self._id = uuid.uuid4().hex[:12]
+        self._tables: list[str] = []
+        self._source = files
 
     def _shared(self, name: str, df: DataFrame) -> DataFrame:
-        if self._store:
-            path = f"{self._store.rstrip('/')}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            return df.sparkSession.read.parquet(path)
-        if self._keep:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._held.append(df)
-        return df
+        if not self.store:
+            return df
+        table = f"coralint_{self._id}_{name}"
+        # One bucket per partition: the hash is the same, so every task writes one file.
+        df.write.bucketBy(self.partitions, "fid").sortBy("fid").format("parquet").option(
+            "path", f"{self.store}/{self._id}/{name}"
+        ).saveAsTable(table)
+        self._tables.append(table)
+        return df.sparkSession.table(table)
 
     def release(self) -> None:
-        for df in self._held:
-            df.unpersist()
-        self._held.clear()
+        """Forget the stored tables; their files stay in the store folder."""
+        for table in self._tables:
+            self._source.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables.clear()
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self._shared("files", self._source)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -68,7 +73,7 @@ class Facts:
 
     @cached_property
     def strings(self) -> DataFrame:
-        return L.string_literals(self.lexemes)
+        return self._shared("strings", L.string_literals(self.lexemes))
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -76,7 +81,7 @@ class Facts:
 
     @cached_property
     def numbers(self) -> DataFrame:
-        return self._shared("numbers", X.number_literals(self.tokens))
+        return X.number_literals(self.tokens)
 
     @cached_property
     def statements(self) -> DataFrame:
@@ -116,8 +121,8 @@ class Facts:
 
     @cached_property
     def types(self) -> DataFrame:
-        return X.type_facts(self.statements)
+        return self._shared("types", X.type_facts(self.statements))
 
     @cached_property
     def async_names(self) -> DataFrame:
-        return X.async_names(self.statements, self.files)
+        return self._shared("async_names", X.async_names(self.statements, self.files))

@@ -44,7 +44,7 @@ _SHARED: dict[tuple, Facts] = {}
 def facts(spark: SparkSession, sf: str, snapshot: int = 1) -> Facts:
     """Facts of the corpus, built once per session and table folder and then shared.
 
-    The detectors read the kept tables; facts of another folder are released first.
+    The detectors read the stored tables; facts of another folder are released first.
     """
     key = (spark.sparkContext.applicationId, sf, snapshot)
     if key not in _SHARED:
@@ -52,7 +52,8 @@ def facts(spark: SparkSession, sf: str, snapshot: int = 1) -> Facts:
             dropped = _SHARED.pop(old)
             if old[0] == key[0]:
                 dropped.release()
-        _SHARED[key] = Facts(C.code_files(spark, sf, snapshot), clustered=True, keep=True)
+        store = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+        _SHARED[key] = Facts(C.code_files(spark, sf, snapshot), clustered=True, store=store)
     return _SHARED[key]
 
 
