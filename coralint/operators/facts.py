@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coralint.functions.lexer import by_language, code_only
+from coralint.functions.lexer import LITERAL_OR_COMMENT, by_language, code_only
 from coralint.functions.text import strip_groups, utf8_slice
 
 BRACES = ["rust", "typescript", "tsx", "csharp", "java"]
@@ -491,21 +491,32 @@ _IMPORT_TEXT = {
 }
 
 
-def identifiers(files: DataFrame) -> DataFrame:
+def identifiers(files: DataFrame, java_types: bool = False) -> DataFrame:
     """Distinct identifiers per file outside import statements. One narrow pass over the text.
 
-    Expressions inside template and formatted strings count as code.
+    Expressions inside template and formatted strings count as code. Java names
+    used only as a type do not count unless ``java_types`` is set.
     """
-    from coralint.functions.lexer import LITERAL_OR_COMMENT
-
     lang, text = F.col("language"), F.col("text")
     literals = by_language(lang, lambda g: F.regexp_extract_all(text, F.lit(LITERAL_OR_COMMENT[g]), F.lit(0)))
     live = F.filter(literals, lambda s: s.rlike(r"^(?:`|[a-zA-Z]*[fF][a-zA-Z]*[\"'])") & lang.isin("python", *TS))
     inner = F.flatten(F.transform(live, lambda s: F.regexp_extract_all(s, F.lit(r"\{([^{}]*)\}"), F.lit(1))))
     outside = by_language(lang, lambda g: F.regexp_replace(code_only(text, lang), _IMPORT_TEXT[g], " "))
     source = F.concat_ws(" ", outside, F.array_join(inner, " "))
-    names = F.array_distinct(F.regexp_extract_all(source, F.lit(r"(?<![\p{L}\p{N}_])[\p{L}_$][\p{L}\p{N}_$]*"), F.lit(0)))
-    return files.select("fid", F.explode(names).alias("name"))
+    # In Java a class name counts as used only as a value: a member access, a call, an annotation, a constant.
+    java = F.regexp_replace(F.regexp_replace(source, r"\bnew\s+[\w.]+", "new"), r"@\s*([\w.]+)", "$1.a ")
+    java_names = F.regexp_extract_all(
+        java,
+        F.lit(
+            r"(?<![\p{L}\p{N}_$])(?:[\p{Ll}_$][\p{L}\p{N}_$]*+|\p{Lu}[\p{Lu}\p{N}_$]++(?![\p{L}])"
+            r"|\p{Lu}[\p{L}\p{N}_$]*+(?=\s*(?:\.\s*(?!class\b)\w|::|\()))"
+        ),
+        F.lit(0),
+    )
+    names = F.regexp_extract_all(source, F.lit(r"(?<![\p{L}\p{N}_])[\p{L}_$][\p{L}\p{N}_$]*+"), F.lit(0))
+    if not java_types:
+        names = F.when(lang == "java", java_names).otherwise(names)
+    return files.select("fid", F.explode(F.array_distinct(names)).alias("name"))
 
 
 def loops(stm: DataFrame, blk: DataFrame, files: DataFrame) -> DataFrame:
