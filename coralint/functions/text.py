@@ -12,6 +12,10 @@ def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 
 
+def all_of(conds: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conds)
+
+
 def contains_any(text: Column, fragments: list[str]) -> Column:
     return any_of([text.contains(f) for f in fragments])
 

@@ -43,7 +43,7 @@ class Facts:
             return df
         table = f"coralint_{self._id}_{name}"
         # One bucket per partition: the hash is the same, so every task writes one file.
-        df.write.bucketBy(self.partitions, "fid").sortBy("fid").format("parquet").option(
+        df.write.bucketBy(self.partitions, "fid").format("parquet").option(
             "path", f"{self.store}/{self._id}/{name}"
         ).saveAsTable(table)
         self._tables.append(table)

@@ -379,23 +379,27 @@ _NUMBER_PIECE = (
 
 
 def number_literals(tok: DataFrame) -> DataFrame:
-    """Number literals with their position, cut out of the code lexemes that hold digits."""
-    # One row per code lexeme: drop the sibling view's second row of closing brackets.
-    code = tok.where((F.col("role") == "code") & F.col("text").rlike(r"(?<![\w$])[0-9]"))
-    pieces = code.select(
+    """Number literals with their position, cut out of the code lexemes that hold digits.
+
+    Pieces carry offsets only, never their lexeme, so one long line of numbers
+    stays linear. ``in_pattern`` marks Rust numbers before a match arrow.
+    """
+    arrow = F.when(
+        (F.col("language") == "rust") & F.col("text").contains("=>"),
+        F.octet_length("text") - F.octet_length(F.substring_index("text", "=>", -1)),
+    ).otherwise(-1)
+    pieces = tok.where((F.col("role") == "code") & F.col("text").rlike(r"(?<![\w$])[0-9]")).select(
         "fid",
         "language",
         "tok",
         "off",
         "row",
         "col",
-        F.col("text").alias("lexeme"),
+        arrow.alias("arrow"),
         F.posexplode(F.regexp_extract_all("text", F.lit(_NUMBER_PIECE), F.lit(0))).alias("i", "text"),
     )
     run = W.partitionBy("fid", "tok").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    shift = F.sum(F.octet_length("text")).over(run)
-    pieces = pieces.withColumn("past", shift.cast("int"))
-    rest = F.expr("substring(cast(lexeme as binary), past + 1)").cast("string")
+    pieces = pieces.withColumn("past", F.sum(F.octet_length("text")).over(run).cast("int"))
     back = F.col("past") - F.octet_length("text")
     return pieces.where(F.col("text").rlike("^[0-9]")).select(
         "fid",
@@ -404,7 +408,7 @@ def number_literals(tok: DataFrame) -> DataFrame:
         "row",
         (F.col("col") + back).alias("col"),
         "text",
-        ((F.col("language") == "rust") & rest.rlike(r"^[^=]*=>")).alias("in_pattern"),
+        (F.col("past") < F.col("arrow")).alias("in_pattern"),
     )
 
 

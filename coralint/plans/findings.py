@@ -109,8 +109,13 @@ def summary(findings: DataFrame, status: DataFrame | None = None) -> DataFrame:
     files = status.agg(
         F.count_if(F.col("status") == "scanned").alias("files"), F.count_if(F.col("status") == "skipped").alias("skipped")
     )
-    # One row with one row.
-    return counts.join(files, F.lit(True))
+    return one_row(counts, files)
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Put one-row DataFrames with different columns side by side."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
 
 
 def _grouped(findings: DataFrame, keys: list[str]) -> DataFrame:

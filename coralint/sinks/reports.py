@@ -11,6 +11,7 @@ from coralint.plans.findings import (
     examples,
     group_by_rule,
     group_by_rule_severity,
+    one_row,
     sort_struct,
     split_by_severity,
     summary,
@@ -44,8 +45,7 @@ def json_document(findings: DataFrame, status: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("path").alias("file"), "error"))).alias("parse_errors")
     )
     totals = summary(findings, status).select(F.struct("errors", "warnings", "infos", "files", "skipped").alias("summary"))
-    doc = totals.join(rows, F.lit(True)).join(errors, F.lit(True))
-    return doc.select(
+    return one_row(totals, rows, errors).select(
         F.to_json(F.struct("summary", "findings", "parse_errors"), {"ignoreNullFields": "false"}).alias("value")
     )
 

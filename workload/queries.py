@@ -540,7 +540,7 @@ def compare_runs(spark, sf):
 @query
 def split_errors(spark, sf):
     errors, others = FN.split_by_severity(findings(spark, sf))
-    return errors.agg(F.count("*").alias("errors")).join(others.agg(F.count("*").alias("others")), F.lit(True))
+    return FN.one_row(errors.agg(F.count("*").alias("errors")), others.agg(F.count("*").alias("others")))
 
 
 @query
