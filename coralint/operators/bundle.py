@@ -30,7 +30,9 @@ class Facts:
     ):
         # A fixed number: compressed text is small against the rows it expands to, so
         # coalescing by shuffle size would make partitions far too large.
-        self.partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        conf = files.sparkSession.conf
+        wanted = partitions or int(conf.get("spark.sql.shuffle.partitions"))
+        self.partitions = min(wanted, int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
         if not clustered:
             files = files.repartition(self.partitions, "fid")
         self.store = store.rstrip("/") if store else None
