@@ -51,6 +51,12 @@ class Facts:
         self._tables.append(table)
         return df.sparkSession.table(table)
 
+    def __enter__(self) -> "Facts":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.release()
+
     def release(self) -> None:
         """Forget the stored tables; their files stay in the store folder."""
         for table in self._tables:

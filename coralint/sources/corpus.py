@@ -136,12 +136,21 @@ def split_status(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 _LISTING = "path string, is_dir boolean"
 
 
+def _open_fs(path: str):
+    """File system and inner path; local paths are taken literally, so they may hold spaces."""
+    from pyarrow import fs
+
+    if path.startswith("file://"):
+        return fs.LocalFileSystem(), path[len("file://") :]
+    return fs.FileSystem.from_uri(path)
+
+
 def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for pdf in batches:
         for path in pdf["path"]:
-            store, inner = fs.FileSystem.from_uri(path)
+            store, inner = _open_fs(path)
             entries = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
             prefix = path.rstrip("/") + "/"
             yield pd.DataFrame(
@@ -153,12 +162,10 @@ def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for pdf in batches:
         for full, path in zip(pdf["full"], pdf["path"]):
             try:
-                store, inner = fs.FileSystem.from_uri(full)
+                store, inner = _open_fs(full)
                 with store.open_input_stream(inner) as f:
                     row = (path, f.read(), None)
             except OSError as e:
@@ -211,7 +218,7 @@ def scan(
     from pyarrow import fs
 
     root = _uri(path).rstrip("/")
-    store, inner = fs.FileSystem.from_uri(root)
+    store, inner = _open_fs(root)
     info = store.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"path not found: {path}")
@@ -241,7 +248,10 @@ def scan(
 def scan_table(
     table: DataFrame, exclude: list[str] | None = None, ignore_rules: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The same from a table with ``path`` and ``text`` or ``content``; the usual form at scale."""
+    """The same from a table with ``path`` and ``text`` or ``content``; the usual form at scale.
+
+    Paths are relative to the repository, so that only names inside it are excluded.
+    """
     raw = table
     if "content" not in raw.columns:
         raw = raw.withColumn("content", F.col("text").cast("binary"))

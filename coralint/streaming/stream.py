@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from coralint.model import Config
+from coralint.operators.bundle import Facts
 from coralint.plans.findings import filter_severity, new_findings
-from coralint.plans.review import review
+from coralint.plans.review import detect
+from coralint.session import ensure_checkpoint_dir
 
 
 def review_stream(
@@ -32,8 +34,14 @@ def review_stream(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = review(batch, rules=rules, config=config, severity=severity, baseline=baseline)
-        found.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        store = f"{ensure_checkpoint_dir(batch.sparkSession)}/coralint"
+        with Facts(batch, store=store) as facts:
+            found = detect(facts, rules, config)
+            if severity:
+                found = filter_severity(found, severity)
+            if baseline is not None:
+                found = new_findings(found, baseline)
+            found.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

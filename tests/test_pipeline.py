@@ -17,7 +17,7 @@ from coralint.streaming.stream import review_stream
 
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
-    root = tmp_path_factory.mktemp("tree")
+    root = tmp_path_factory.mktemp("a tree")
     files = {
         "src/__init__.py": b"x = 1  # todo\n",
         "src/combine.rs": b"// todo\n",
@@ -44,6 +44,13 @@ def test_scan_directory(spark, tree):
     assert list(skipped) == ["src/bad.java"] and "UTF-8" in skipped["src/bad.java"]
 
 
+def test_scan_then_review_with_all_rules(spark, tree):
+    files, status = scan(spark, tree, exclude=["legacy/"])
+    found = review(files)
+    assert sorted((r.rule_id, r.location.file) for r in found.collect()) == [("R08", "src/__init__.py"), ("R08", "src/combine.rs")]
+    assert P.summary(found, status).first().asDict() == {"errors": 0, "warnings": 0, "infos": 2, "files": 3, "skipped": 1}
+
+
 def test_scan_file_bypasses_exclusion(spark, tree):
     files, _ = scan(spark, f"{tree}/node_modules/a.ts")
     assert [r.path for r in files.collect()] == ["a.ts"]
