@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 
 from coralint.operators import facts as X
 from coralint.operators import lexemes as L
+from coralint.session import partitions_for
+
+# Estimated table bytes per partition; a byte of text becomes some thirty bytes of facts.
+BYTES_PER_PARTITION = 32 << 20
 
 
 class Facts:
@@ -31,7 +35,7 @@ class Facts:
         # A fixed number: compressed text is small against the rows it expands to, so
         # coalescing by shuffle size would make partitions far too large.
         conf = files.sparkSession.conf
-        wanted = partitions or int(conf.get("spark.sql.shuffle.partitions"))
+        wanted = partitions or partitions_for(files, BYTES_PER_PARTITION)
         self.partitions = min(wanted, int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
         if not clustered:
             files = files.repartition(self.partitions, "fid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "coralint", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -32,6 +32,17 @@ def build_session(app: str = "coralint", master: str | None = None, partitions:
     return b.getOrCreate()
 
 
+def partitions_for(df: DataFrame, bytes_per_partition: int) -> int:
+    """Partitions for a table by its estimated size, up to ``spark.sql.shuffle.partitions``.
+
+    Never fewer than the cores at hand; an unknown size gives the configured number.
+    """
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, -(-size // bytes_per_partition))))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's own, else a temporary one."""
     jsc = spark.sparkContext._jsc.sc()

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coralint.session import partitions_for
+
 LANGS = ["rust", "python", "typescript", "tsx", "csharp", "java"]
 EXT = {"rust": "rs", "python": "py", "typescript": "ts", "tsx": "tsx", "csharp": "cs", "java": "java"}
 GROUPS = ["rust", "python", "ts", "csharp", "java"]
@@ -396,6 +398,11 @@ def _text(group: str) -> Column:
     return F.expr("concat(" + ", ".join(_item(i) for items in SECTIONS.values() for i in items[group]) + ")")
 
 
+def corpus_partitions(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of the corpus: about 4,000 files, some ten megabytes of text, in each."""
+    return partitions_for(spark.read.parquet(f"{sf_dir}/part.parquet"), 40_000)
+
+
 def code_files(spark: SparkSession, sf_dir: str, snapshot: int = 1, excluded: bool = False) -> DataFrame:
     """The corpus as ``files``. Already hash-partitioned by ``fid``, before any text exists.
 
@@ -404,7 +411,7 @@ def code_files(spark: SparkSession, sf_dir: str, snapshot: int = 1, excluded: bo
     from coralint.sources.corpus import exclude_paths
 
     # The rows are tiny before the text exists; a fixed number keeps them from being coalesced into one task.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = corpus_partitions(spark, sf_dir)
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").repartition(n, "p_partkey")
     base = part.select(
         F.col("p_partkey").cast("bigint").alias("k"),

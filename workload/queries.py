@@ -53,7 +53,8 @@ def facts(spark: SparkSession, sf: str, snapshot: int = 1) -> Facts:
             if old[0] == key[0]:
                 dropped.release()
         store = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
-        _SHARED[key] = Facts(C.code_files(spark, sf, snapshot), clustered=True, store=store)
+        files, n = C.code_files(spark, sf, snapshot), C.corpus_partitions(spark, sf)
+        _SHARED[key] = Facts(files, clustered=True, store=store, partitions=n)
     return _SHARED[key]
 
 
