@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coralint.llm import chat_format, line_dedup, mixing
+from coralint.llm import byte_bpe, chat_format, line_dedup, mixing, token_files
 from coralint.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,27 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_mix"] = mixing.ORACLE
 
 
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the bytes they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return both.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the written files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_files.new_folder(spark)
+    token_files.write_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
+    read = token_files.read_files(spark, folder)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document without its shared lines."""
