@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coralint.llm import byte_bpe, chat_format, line_dedup, mixing, token_files
+from coralint.llm import ann, byte_bpe, chat_format, line_dedup, metric_join, mixing, token_files
 from coralint.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of the vectors with a cosine of 0.95 or more."""
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLE["op2_metric_join"] = metric_join.ORACLE
+
+
 @query
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
@@ -36,6 +45,12 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_mix"] = mixing.ORACLE
 
 
+@query
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.expr("id % 20 = 0"))
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes they decode to."""
