@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coralint.llm import ann, byte_bpe, chat_format, line_dedup, metric_join, mixing, token_files, wrapper
+from coralint.llm import ann, bag_minhash, byte_bpe, chat_format, line_dedup, metric_join, mixing, pu_quality, token_files, wrapper
 from coralint.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = F.coalesce(pu_quality.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+    scored = docs.select("doc_id", held_out, pu_quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query
 def op2_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of the vectors with a cosine of 0.95 or more."""
@@ -45,6 +55,12 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_mix"] = mixing.ORACLE
 
 
+@query
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others."""
