@@ -44,8 +44,10 @@ STRING = {
     "java": "|".join([_TRIPLE_DQ, _DQ_LINE, _CHAR]),
 }
 
-# A slash opens a regular-expression literal only after an operator.
-_TS_OPERATOR_BEFORE = r"[(=,:;!&|?{}\[+\n][ \t]{0,4}"
+# A slash opens a regular-expression literal only after an operator, a line break, or a word that a
+# value follows. A look-behind must have a longest form; no line of code is indented deeper than this.
+_BLANKS = r"[ \t]{0,400}"
+_TS_OPERATOR_BEFORE = rf"(?:[(=,:;!&|?{{}}\[+\n]|\b(?:return|case|typeof|throw|await|yield|in|of)[ \t]){_BLANKS}"
 _TS_REGEX = rf"(?<={_TS_OPERATOR_BEFORE})/(?![/*])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
 
 _SPACE = r"\s++"
@@ -72,6 +74,7 @@ def _total(lang: str) -> str:
 LEXER = {lang: _total(lang) for lang in COMMENT}
 LEXER["tsx"] = LEXER["typescript"]
 LITERAL_OR_COMMENT = {lang: f"{COMMENT[lang]}|{STRING[lang]}" for lang in COMMENT}
+LITERAL_OR_COMMENT["typescript"] += f"|{_TS_REGEX}"
 LITERAL_OR_COMMENT["tsx"] = LITERAL_OR_COMMENT["typescript"]
 
 

@@ -72,12 +72,31 @@ def utf8_slice(data: Column, start: Column, end: Column) -> Column:
     return F.substring(data, start + 1, end - start).cast("string")
 
 
-def strip_groups(text: Column, passes: int = 8) -> Column:
-    """Drop nested bracket groups so that the commas left are top-level ones."""
-    out = F.regexp_replace(text, "=>|->", "  ")
-    for _ in range(passes):
-        out = F.regexp_replace(out, r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    return out
+# Arrows, comparisons (a blank stands before their ``<``), brackets, and the text between.
+_GROUP_PIECE = r"=>|->|\s+<|[<>()\[\]{}]|(?:(?!\s+<)[^<>()\[\]{}=-])+|[\s\S]"
+_CLOSERS = {"(": ")", "[": "]", "{": "}", "<": ">"}
+
+
+def strip_groups(text: Column) -> Column:
+    """The text with every bracket group emptied, whatever its depth: the commas left are top-level.
+
+    One pass with a running depth. Only a ``>`` that closes a list counts, so comparisons stay text.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(_GROUP_PIECE), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("angles"), F.lit("").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        angle_end = (piece == ">") & (acc["angles"] > 0)
+        opens = piece.isin(*_CLOSERS)
+        closes = piece.isin(")", "]", "}") | angle_end
+        shown = (opens & (acc["depth"] == 0)) | (closes & (acc["depth"] <= 1)) | (~opens & ~closes & (acc["depth"] == 0))
+        depth = F.when(opens, acc["depth"] + 1).when(closes, F.greatest(F.lit(0), acc["depth"] - 1)).otherwise(acc["depth"])
+        angles = F.when(piece == "<", acc["angles"] + 1).when(angle_end, acc["angles"] - 1).otherwise(acc["angles"])
+        return F.struct(
+            depth.alias("depth"), angles.alias("angles"), F.when(shown, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out")
+        )
+
+    return F.aggregate(pieces, start, step)["out"]
 
 
 def shannon_entropy(s: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from coralint.operators import facts as X
 from coralint.operators import lexemes as L
-from coralint.session import partitions_for
+from coralint.session import absolute_path, delete_folder, partitions_for
 
 # Estimated table bytes per partition; a byte of text becomes some thirty bytes of facts.
 BYTES_PER_PARTITION = 32 << 20
@@ -39,8 +39,8 @@ class Facts:
         self.partitions = min(wanted, int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
         if not clustered:
             files = files.repartition(self.partitions, "fid")
-        self.store = store.rstrip("/") if store else None
         self._id = uuid.uuid4().hex[:12]
+        self.store = f"{absolute_path(files.sparkSession, store)}/{self._id}" if store else None
         self._tables: list[str] = []
         self._source = files
 
@@ -50,7 +50,7 @@ class Facts:
         table = f"coralint_{self._id}_{name}"
         # One bucket per partition: the hash is the same, so every task writes one file.
         df.write.bucketBy(self.partitions, "fid").format("parquet").option(
-            "path", f"{self.store}/{self._id}/{name}"
+            "path", f"{self.store}/{name}"
         ).saveAsTable(table)
         self._tables.append(table)
         return df.sparkSession.table(table)
@@ -62,10 +62,13 @@ class Facts:
         self.release()
 
     def release(self) -> None:
-        """Forget the stored tables; their files stay in the store folder."""
+        """Drop the stored tables and delete their folder; nothing derived from them can be read any more."""
+        spark = self._source.sparkSession
         for table in self._tables:
-            self._source.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         self._tables.clear()
+        if self.store:
+            delete_folder(spark, self.store)
 
     @cached_property
     def files(self) -> DataFrame:

@@ -94,7 +94,9 @@ def _bytes(c: Column) -> Column:
 
 # Type words and array marks before a method name, then the name and its parameter list.
 _JVM_HEAD = (
-    r"^(?:\[ \] |@[\w.]+ (?:\( \) )?|@[\w.]+(?= ))*+((?:[\w<>,.?&@]++ (?!\( )|\[ \] )*+)(\w+)(?:<[^()]*>)? \( \)"
+    r"^(?:\[ \] |@[\w.]+ (?:\( \) )?|@[\w.]+(?= ))*+"
+    r"((?:[\w<>,.?&@]++ (?!\( )|[\w<>,.?&@]*+(?<=[<,]) \( \)\??+ |\( \)\??+ (?=[\w<>,@?])|\[ \] )*+)"
+    r"(?:\w++(?:<[^()]*>)?\.)*+(\w+)(?:<[^()]*>)? \( \)"
     r"(?: (?:throws|where|:)[^={}]*)? (?:\{ \}|=> [^{}]*;)$"
 )
 _TS_METHOD = (
@@ -102,6 +104,8 @@ _TS_METHOD = (
     r"(#?[\w$]+)(?:<[^()]*>)? \( \)(?: ?:[^{}]*)? \{ \}$"
 )
 _TS_FUNCTION = r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s+([\w$]+)"
+# An arrow with a parameter list whose body is an expression.
+_TS_SHORT_ARROW = r"(?:^|[=:,?] ?|\breturn |\bdefault )(?:async )?\( \)(?: ?:[^=;{}()]*)? => (?!\{)\S"
 _MODIFIERS = r"^(?:(?:public|private|protected|internal|static|extern|unsafe|async|partial|final)\s*)*$"
 
 
@@ -109,14 +113,19 @@ def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
     """Statements that define a function, with their kind and name."""
     head = F.col("head")
     # Expression-bodied methods end with a semicolon and own no block.
-    short = stm.where((F.col("language") == "csharp") & ~F.col("braced") & head.rlike(r"\( \) =>"))
+    short_arrow = F.col("language").isin(TS) & ~F.col("braced") & head.rlike(_TS_SHORT_ARROW)
+    short = stm.where(((F.col("language") == "csharp") & ~F.col("braced") & head.rlike(r"\( \) =>")) | short_arrow)
     all_rows = blk.unionByName(short.select(*blk.columns))
     jvm_prefix = F.regexp_extract(head, _JVM_HEAD, 1)
     jvm_name = F.regexp_extract(head, _JVM_HEAD, 2)
     jvm_ok = (
         (jvm_name != "")
         & ~jvm_name.isin(_NOT_NAMES)
-        & ~jvm_prefix.rlike(r"\b(?:new|return|throw|else|class|record|struct|interface|enum|await|yield)\b")
+        & ~jvm_prefix.rlike(
+            r"\b(?:new|return|throw|else|class|record|struct|interface|enum|await|yield|if|for|foreach|while|switch|catch|using"
+            r"|lock|fixed|synchronized|when|try|do|case)\b"
+        )
+        & ~((jvm_prefix == "") & head.rlike(r"^\w+(?:<[^()]*>)?\.\w"))
     )
     ts_method = F.regexp_extract(head, _TS_METHOD, 1)
     ts_fn = F.regexp_extract(head, _TS_FUNCTION, 1)
@@ -129,7 +138,7 @@ def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
         .when(lang.isin(TS), F.when(ts_fn != "", ts_fn).when(~ts_method.isin(_NOT_NAMES), ts_method).otherwise(""))
         .otherwise(F.when(jvm_ok, jvm_name).otherwise(""))
         .alias("name"),
-        (lang.isin(TS) & head.rlike(r"=> \{ \}$")).alias("arrow"),
+        (lang.isin(TS) & head.rlike(rf"=> \{{ \}}$|{_TS_SHORT_ARROW}")).alias("arrow"),
         F.when(lang == "rust", "function_item")
         .when(lang == "python", "function_definition")
         .when(lang.isin(TS), F.when(ts_fn != "", "function_declaration").otherwise("method_definition"))
@@ -146,28 +155,43 @@ def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", F.when(restricted, F.col("key") - 3).otherwise(F.col("key")))
     rows = rows.withColumn("restricted", F.coalesce(restricted, F.lit(False)))
 
-    arrow_chunk = _sib(n - 2)
+    # The piece that starts with the arrow; it is the last but two where a block follows.
+    at = F.when(
+        F.col("arrow") & ~head.rlike(r"=> \{ \}$"), _index_of(lambda s: (s["role"] == "code") & s["text"].rlike(r"^(?::[^=]*)?=>"))
+    ).otherwise(n - 2)
+    arrow_chunk = _sib(at)
     listed = arrow_chunk["text"].rlike(r"^(?:=>|:)")
     ident_lead = _bytes(F.regexp_extract(arrow_chunk["text"], r"^(.*?)(?:async\s+)?[\w$]+\s*=>$", 1))
     first = _sib(F.col("key"))
     export_lead = _bytes(F.regexp_extract(first["text"], r"^((?:export\s+(?:default\s+)?)?|,\s*)", 1))
     lead = F.when(lang.isin(TS), export_lead).otherwise(0)
     begin = (
-        F.when(F.col("arrow") & listed, _sib(n - 4))
+        F.when(F.col("arrow") & listed, _sib(at - 2))
         .when(F.col("arrow"), arrow_chunk)
         .otherwise(first)
     )
     lead = F.when(F.col("arrow"), F.when(listed, 0).otherwise(ident_lead)).otherwise(lead)
     # Parameter list: the first round bracket after the name.
-    after = F.when(F.col("arrow"), n - 4).when(F.col("restricted"), F.col("key") + 3).otherwise(F.col("key"))
+    after = F.when(F.col("arrow"), at - 2).when(F.col("restricted"), F.col("key") + 3).otherwise(F.col("key"))
     is_attr_call = lambda i: F.coalesce(_sib(i - 1)["text"].rlike(r"^@[\w.]+$"), F.lit(False))
-    paren = F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.lit(0),
-        lambda acc, i: F.when(
-            (acc == 0) & (i >= after) & (_sib(i)["text"] == "(") & ~is_attr_call(i), i
-        ).otherwise(acc),
-    )
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+
+    def angles(i: Column) -> Column:
+        """Type argument lists that a piece of code opens more than it closes."""
+        t = F.regexp_replace(_sib(i)["text"], "->|=>|[<>]=", "")
+        return F.when(_sib(i)["role"] == "code", count(t, "<") - count(t, ">")).otherwise(0)
+
+    # A C# or Java name stands right before its list; tuples in the return type do not.
+    named_here = F.concat(F.lit(r"(?:^|\W)"), F.col("name"), F.lit(r"(?:<[^()]*>)?$"))
+
+    def look(acc: Column, i: Column) -> Column:
+        here = (acc["at"] == 0) & (i >= after) & (_sib(i)["text"] == "(") & (acc["open"] <= 0) & ~is_attr_call(i)
+        here = here & (~lang.isin(JVMISH) | F.coalesce(F.regexp_like(_sib(i - 1)["text"], named_here), F.lit(False)))
+        opened = acc["open"] + F.when(i >= after, angles(i)).otherwise(0)
+        return F.struct(F.when(here, i).otherwise(acc["at"]).alias("at"), opened.cast("int").alias("open"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("open"))
+    paren = F.aggregate(F.sequence(F.lit(1), n), start, look)["at"]
     rows = rows.withColumn(
         "paren", F.when(F.col("arrow") & ~listed, F.lit(0)).otherwise(paren)
     )
@@ -197,17 +221,9 @@ def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
 def functions(stm: DataFrame, blk: DataFrame, files: DataFrame) -> DataFrame:
     """Functions with their text, the text before them and their parameter list."""
     rows = _function_rows(stm, blk)
-    data = F.col("text").cast("binary")
-    joined = rows.join(files.select("fid", "text"), "fid")
-    return joined.select(
-        *rows.columns,
-        (F.col("row_end") - F.col("row") + 1).alias("n_lines"),
-        utf8_slice(data, F.col("off"), F.col("end_off")).alias("body"),
-        utf8_slice(data, F.col("stmt_off"), F.col("off")).alias("attributes"),
-        F.when(F.col("params_from").isNotNull(), utf8_slice(data, F.col("params_from"), F.col("params_to"))).alias(
-            "params_text"
-        ),
-    )
+    rows = rows.withColumn("n_lines", F.col("row_end") - F.col("row") + 1)
+    slices = {"body": ("off", "end_off"), "attributes": ("stmt_off", "off"), "params_text": ("params_from", "params_to")}
+    return with_slices(rows, files, slices)
 
 
 def params(fns: DataFrame) -> DataFrame:
@@ -231,7 +247,9 @@ def params(fns: DataFrame) -> DataFrame:
     )
     first_part = F.element_at(F.split(p, "[: =]"), 1)
     last_word = F.regexp_extract(p, r"(\w+)\s*(?:\[\s*\]\s*)?(?:=.*)?$", 1)
-    name = F.when(lang.isin(JVMISH), last_word).otherwise(F.regexp_replace(first_part, r"\?$", ""))
+    # A destructured parameter counts but has no name of its own.
+    plain = F.regexp_replace(first_part, r"\?$", "")
+    name = F.when(lang.isin(JVMISH), last_word).otherwise(F.when(plain.rlike(r"^[{\[(]"), F.lit("")).otherwise(plain))
     return listed.where((p != "") & counted).select("fid", "language", "fn_off", "pos", name.alias("name"))
 
 
@@ -242,11 +260,7 @@ def catches(stm: DataFrame, blk: DataFrame, files: DataFrame) -> DataFrame:
             (F.col("language") != "rust") & F.col("head").rlike(r"^catch\b")
         )
     )
-    data = F.col("text").cast("binary")
-    rows = clause.join(files.select("fid", "text"), "fid").select(
-        "fid", "language", "off", "end_off", "row", "col", utf8_slice(data, F.col("off"), F.col("end_off")).alias("body")
-    )
-    return with_catch_facts(rows)
+    return with_catch_facts(with_text(clause.select("fid", "language", "off", "end_off", "row", "col"), files))
 
 
 # Base exception names that make a catch broad and never count as its variable.
@@ -343,11 +357,29 @@ def calls(tok: DataFrame) -> DataFrame:
     )
 
 
-def with_text(rows: DataFrame, files: DataFrame, name: str = "body") -> DataFrame:
-    data = F.col("text").cast("binary")
-    return rows.join(files.select("fid", "text"), "fid").select(
-        *rows.columns, utf8_slice(data, F.col("off"), F.col("end_off")).alias(name)
+def with_slices(rows: DataFrame, files: DataFrame, slices: dict[str, tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
+    """Add pieces of the file text between two byte offset columns, NULL where an offset is.
+
+    A file's rows are gathered once and its text is turned to bytes once, so the cost is one copy of
+    the text and of the pieces, whatever the number of rows.
+    """
+    keep = keep or rows.columns
+    cols = [c for c in rows.columns if c != "fid"]
+    gathered = rows.groupBy("fid").agg(F.collect_list(F.struct(*cols)).alias("__rows"))
+    joined = gathered.join(files.select("fid", "text"), "fid")
+
+    def cut(data: Column, r: Column) -> Column:
+        pieces = [utf8_slice(data, r[a], r[b]).alias(name) for name, (a, b) in slices.items()]
+        return F.struct(*[r[c].alias(c) for c in cols], *pieces)
+
+    cut_rows = F.transform(
+        F.array(F.col("text").cast("binary")), lambda data: F.transform("__rows", lambda r: cut(data, r))
     )
+    return joined.select("fid", F.inline(F.get(cut_rows, 0))).select(*keep, *slices)
+
+
+def with_text(rows: DataFrame, files: DataFrame, name: str = "body") -> DataFrame:
+    return with_slices(rows, files, {name: ("off", "end_off")})
 
 
 def macro_groups(tok: DataFrame) -> DataFrame:
@@ -539,6 +571,20 @@ def loops(stm: DataFrame, blk: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("*", kind.alias("kind"), var.alias("var"), source.alias("source"))
 
 
+def _angle_list(text: Column) -> Column:
+    """The part of a text that starts with ``<`` up to the bracket that closes it; empty when none does."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[<>]|[^<>]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == "<", 1).when(piece == ">", -1).otherwise(0)
+        taken = F.struct(depth.alias("depth"), (depth == 0).alias("done"), F.concat(acc["out"], piece).alias("out"))
+        return F.when(acc["done"], acc).otherwise(taken)
+
+    found = F.aggregate(pieces, start, step)
+    return F.when(found["done"], found["out"]).otherwise(F.lit(""))
+
+
 def type_facts(stm: DataFrame) -> DataFrame:
     """Rust traits, trait implementations and type-parameter lists."""
     rust = stm.where(F.col("language") == "rust")
@@ -546,12 +592,11 @@ def type_facts(stm: DataFrame) -> DataFrame:
     words = r"(?:pub (?:\( \) )?)?(?:unsafe )?(?:auto )?"
     trait = F.regexp_extract(head, rf"^(?:#!? \[ \] )*{words}trait\s+(\w+)", 1)
     impl = F.regexp_extract(head, r"^(?:#!? \[ \] )*(?:unsafe )?impl(?:<(?:[^<>]|<[^<>]*>)*>)?\s+!?(?:[\w]+::)*(\w+) for\s", 1)
-    # Generic list right after the item keyword or name; nested lists are removed before counting.
-    generic = F.regexp_extract(
-        F.regexp_replace(head, "->", "  "),
-        r"\b(?:fn\s+\w+|struct\s+\w+|enum\s+\w+|union\s+\w+|trait\s+\w+|type\s+\w+|impl)<((?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*)>",
-        1,
+    # Generic list right after the item keyword or name: up to the bracket that closes it.
+    opened = F.regexp_extract(
+        F.regexp_replace(head, "->", "  "), r"\b(?:fn\s+\w+|struct\s+\w+|enum\s+\w+|union\s+\w+|trait\s+\w+|type\s+\w+|impl)(<.*)$", 1
     )
+    generic = F.regexp_extract(F.replace(_angle_list(opened), F.lit("\n"), F.lit(" ")), r"^<(.*)>$", 1)
     entries = F.filter(F.split(strip_groups(generic), ","), lambda e: F.trim(e) != "")
     at = _index_of(
         lambda s: (s["role"] == "code") & s["text"].rlike(r"\b(?:fn|struct|enum|union|trait|type)\s+\w+<|\bimpl<")

@@ -100,6 +100,14 @@ def string_literals(lex: DataFrame) -> DataFrame:
 
 # Trailing call target of a code lexeme: name, member chain or macro name.
 TAIL = r"(?<![\w$.:?])((?:\?\.|\.|::|[\w$?])[\w$.:?]*!?(?:<[^()]*>)?)$"
+# A name or member on a new line, but no infix word.
+_TS_NEW_NAME = r"^[#@]?(?!(?:in|instanceof|of|as|is|satisfies|extends|implements|from|catch|finally|else|while|keyof)\b)[\w$]"
+# Words that a value, a name or a member must follow, on the same line or the next.
+_TS_OPEN_WORD = (
+    r"\b(?:else|const|let|var|new|typeof|await|case|export|default|public|private|protected|static|readonly|abstract|override"
+    r"|async|get|set|import|return|extends|implements|in|of|instanceof|as|void|delete|yield|throw|function|class|interface|enum"
+    r"|type|declare|namespace|keyof|infer|is|from|do|try|finally)$"
+)
 _TS_STATEMENT_WORDS = (
     r"^(?:for|while|if|function|async|class|const|let|var|return|import|export|try|switch|throw|do|interface|type)\b"
 )
@@ -150,6 +158,10 @@ def tokens(lex: DataFrame) -> DataFrame:
     python_break = (
         (F.col("level") <= 0) & line_break & ~((F.col("p_role") == "code") & F.col("p_text").endswith("\\"))
     )
+    # Where semicolons are left out, a name on a new line behind a complete value starts anew.
+    after_whole_value = (F.col("p_role") == "string") | (F.col("p_text") == "]") | (
+        (F.col("p_role") == "code") & F.col("p_text").rlike(r"[\w$]$") & ~F.col("p_text").rlike(_TS_OPEN_WORD)
+    )
     brace_break = (
         (F.col("p_role") == "semi")
         | ((F.col("p_role") == "close") & (F.col("p_text") == "}"))
@@ -157,7 +169,7 @@ def tokens(lex: DataFrame) -> DataFrame:
             F.col("language").isin("typescript", "tsx")
             & line_break
             & is_code
-            & F.col("text").rlike(_TS_STATEMENT_WORDS)
+            & (F.col("text").rlike(_TS_STATEMENT_WORDS) | (after_whole_value & F.col("text").rlike(_TS_NEW_NAME)))
         )
     )
     new_statement = (F.col("role") != "close") & (

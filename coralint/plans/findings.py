@@ -57,27 +57,30 @@ def sort_findings(findings: DataFrame, order: str = "reference") -> DataFrame:
     return findings.orderBy(*sort_keys(findings, order))
 
 
-def rank_findings(findings: DataFrame, order: str = "reference") -> DataFrame:
-    """Global position (1-based) of every finding without one global window.
+def rank_rows(df: DataFrame, key: Column) -> DataFrame:
+    """Global position (1-based) of every row by ``key`` without one global window.
 
     The rows are range-partitioned and sorted once and checkpointed, so the
     second pass sees the same partitions; then each partition numbers its own
     rows and adds the size of the partitions before it.
     """
-    spark = findings.sparkSession
-    ensure_checkpoint_dir(spark)
-    keyed = findings.withColumn("_key", sort_struct(findings, order))
-    parts = keyed.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()).checkpoint()
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = df.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id()).checkpoint()
     # One row per partition, so both the window and the broadcast are small.
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     offsets = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
     within = F.row_number().over(W.partitionBy("_part").orderBy("_key"))
     return parts.withColumn("_rn", within).join(offsets, "_part").select(
-        *findings.columns, (F.col("_rn") + F.col("_before")).alias("rank")
+        *df.columns, (F.col("_rn") + F.col("_before")).alias("rank")
     )
 
 
+def rank_findings(findings: DataFrame, order: str = "reference") -> DataFrame:
+    """Global position (1-based) of every finding."""
+    return rank_rows(findings, sort_struct(findings, order))
+
+
 def new_findings(current: DataFrame, baseline: DataFrame, key: tuple[str, ...] = ("file", "line", "rule_id")) -> DataFrame:
     """Findings whose key is not in the baseline. Works on a stream with a static baseline."""
     known = baseline.select(*[F.col(k).alias(f"_b_{k}") for k in key]).distinct()
@@ -93,7 +96,11 @@ def baseline_stats(current: DataFrame, baseline: DataFrame) -> DataFrame:
     known = baseline.select(
         F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("rule_id").alias("_r"), F.lit(True).alias("_known")
     ).distinct()
-    cond = (F.col("location.file") == F.col("_f")) & (F.col("location.line") == F.col("_l")) & (F.col("rule_id") == F.col("_r"))
+    cond = (
+        F.col("location.file").eqNullSafe(F.col("_f"))
+        & F.col("location.line").eqNullSafe(F.col("_l"))
+        & F.col("rule_id").eqNullSafe(F.col("_r"))
+    )
     return current.join(known, cond, "left").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("_known").isNull()).alias("new"),

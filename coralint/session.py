@@ -57,3 +57,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="coralint-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def absolute_path(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, so that every reader and writer means the same folder."""
+    place, fs = _hadoop_path(spark, path)
+    return fs.makeQualified(place).toString().rstrip("/")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    place, fs = _hadoop_path(spark, path)
+    fs.delete(place, True)

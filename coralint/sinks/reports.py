@@ -11,7 +11,8 @@ from coralint.plans.findings import (
     examples,
     group_by_rule,
     group_by_rule_severity,
-    one_row,
+    rank_findings,
+    rank_rows,
     sort_struct,
     split_by_severity,
     summary,
@@ -20,7 +21,6 @@ from coralint.plans.findings import (
 )
 
 FORMATS = ["text", "json", "md"]
-MAX_DOCUMENT_ROWS = 100_000
 
 
 def _finding_struct() -> Column:
@@ -34,20 +34,33 @@ def write_json_lines(findings: DataFrame, path: str) -> None:
     ).text(path)
 
 
-def json_document(findings: DataFrame, status: DataFrame) -> DataFrame:
-    """One row with the nested report. Only for small results: the size is checked first."""
-    n = findings.limit(MAX_DOCUMENT_ROWS + 1).count() + status.where("status = 'skipped'").limit(MAX_DOCUMENT_ROWS + 1).count()
-    if n > MAX_DOCUMENT_ROWS:
-        raise ValueError("too many rows for one JSON document; use write_json_lines")
-    ordered = F.array_sort(F.collect_list(F.struct(sort_struct(findings).alias("key"), _finding_struct().alias("f"))))
-    rows = findings.agg(F.transform(ordered, lambda x: x["f"]).alias("findings"))
-    errors = status.where(F.col("status") == "skipped").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("path").alias("file"), "error"))).alias("parse_errors")
-    )
-    totals = summary(findings, status).select(F.struct("errors", "warnings", "infos", "files", "skipped").alias("summary"))
-    return one_row(totals, rows, errors).select(
-        F.to_json(F.struct("summary", "findings", "parse_errors"), {"ignoreNullFields": "false"}).alias("value")
-    )
+def json_lines(findings: DataFrame, status: DataFrame) -> DataFrame:
+    """``(part, ord, value)`` lines of the nested report; in order they are one JSON document.
+
+    Findings and parse errors are ranked, so each line knows whether a comma stands before it: a
+    report of any size is written by the executors, without one large row.
+    """
+    kept = {"ignoreNullFields": "false"}
+
+    def items(part: int, rows: DataFrame, item: Column) -> DataFrame:
+        comma = F.when(F.col("rank") > 1, F.lit(",")).otherwise(F.lit(""))
+        return rows.select(F.lit(part).alias("part"), F.col("rank").cast("long").alias("ord"), F.concat(comma, F.to_json(item, kept)).alias("value"))
+
+    def fixed(part: int, text: Column, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("ord"), text.alias("value"))
+
+    totals = summary(findings, status)
+    head = F.concat(F.lit('{"summary":'), F.to_json(F.struct("errors", "warnings", "infos", "files", "skipped"), kept), F.lit(',"findings":['))
+    one = totals.select(F.lit(1))
+    failed = status.where(F.col("status") == "skipped").select(F.col("path").alias("file"), "error")
+    parts = [
+        fixed(0, head, totals),
+        items(1, rank_findings(findings), _finding_struct()),
+        fixed(2, F.lit('],"parse_errors":['), one),
+        items(3, rank_rows(failed, F.struct("file", "error")), F.struct("file", "error")),
+        fixed(4, F.lit("]}"), one),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _keyed(df: DataFrame, part: int, order: Column, line: Column) -> DataFrame:
@@ -161,7 +174,7 @@ def write_report(findings: DataFrame, status: DataFrame, output: str, fmt: str =
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt} (use one of {', '.join(FORMATS)})")
     if fmt == "json":
-        json_document(findings, status).write.mode("overwrite").text(output)
+        json_lines(findings, status).orderBy("part", "ord").select("value").write.mode("overwrite").text(output)
     elif fmt == "text":
         text_lines(findings, status).orderBy("part", "key", "value").select("value").write.mode("overwrite").text(output)
     else:

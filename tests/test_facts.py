@@ -108,3 +108,50 @@ def test_text_predicates(spark):
     for text, want in [("return 0;", True), ("return new A();", True), ('return "x"', True), ("return -1", True), ("return x", False), ("return", False), ("return 1.5e3;", True)]:
         assert one(returns_hardcoded_default(F.lit(text))) is want, text
     assert abs(one(shannon_entropy(F.lit("aabb"))) - 1.0) < 1e-9
+
+
+def facts_of(corpus, path, text):
+    return Facts(corpus([(path, text)]))
+
+
+def names_and_params(facts):
+    params = {}
+    for r in facts.params.orderBy("fn_off", "pos").collect():
+        params.setdefault(r.fn_off, []).append(r.name)
+    return [(r.kind, r.name, params.get(r.off, [])) for r in facts.functions.orderBy("off").collect()]
+
+
+def test_parameters_behind_bounds_and_deep_type_lists(corpus):
+    deep = "X<" * 12 + "i32, u8" + ">" * 12
+    f = facts_of(corpus, "a.rs", f"fn map<F: Fn(i32) -> i32>(a: i32, b: {deep}, c: (u8, u8)) {{ }}\nfn gen<A: X<Y<Z<W<i32>>>>, B, C, D, E>() {{ }}\n")
+    assert names_and_params(f) == [("function_item", "map", ["a", "b", "c"]), ("function_item", "gen", [])]
+    assert sorted(r.n for r in f.types.where("kind = 'type_params'").collect()) == [1, 5]
+
+
+def test_script_forms(corpus):
+    f = facts_of(
+        corpus,
+        "a.ts",
+        "function many({a, b}, [c], d = 1 < 2, e) { }\nclass A {\n  x = 1\n  go(a, b) { }\n  y = 'q'\n  end(c) { return /[{]/; }\n}\n"
+        "const f = (a, b) => a + b;\nexport const q = async (x: number): Promise<void> => run(x)\n",
+    )
+    assert names_and_params(f) == [
+        ("function_declaration", "many", ["", "", "d", "e"]), ("method_definition", "go", ["a", "b"]), ("method_definition", "end", ["c"]),
+        ("arrow_function", "", ["a", "b"]), ("arrow_function", "", ["x"]),
+    ]
+
+
+def test_pattern_literals_do_not_hide_functions(corpus):
+    f = facts_of(corpus, "a.ts", 'function g() { return /[{]/; }\nfunction h() {\n  call(\n                  /a"b{/,\n  );\n}\n')
+    assert [r.name for r in f.functions.orderBy("off").collect()] == ["g", "h"]
+    used = facts_of(corpus, "b.ts", "s.replace(/^https?:\\/\\//, X)\n")
+    assert "X" in {r.name for r in used.identifiers.collect()}
+
+
+def test_csharp_forms(corpus):
+    f = facts_of(
+        corpus,
+        "c.cs",
+        "class C {\n (int, string) M(int a) { }\n void IFoo.N(int b) { }\n Dictionary<string, (int, int)> P(int c) { }\n public C(int d) { }\n void Q() { if (a) { b(); } foreach (var x in y) { z(x); } }\n}\n",
+    )
+    assert [(n, p) for _, n, p in names_and_params(f)] == [("M", ["a"]), ("N", ["b"]), ("P", ["c"]), ("C", ["d"]), ("Q", [])]

@@ -178,12 +178,22 @@ def test_top_files_limits_groups_before_the_shuffle(found):
 
 
 def test_reports(found, status, tmp_path, spark):
-    doc = json.loads(reports.json_document(found, status).first().value)
+    lines = reports.json_lines(found, status).orderBy("part", "ord").collect()
+    doc = json.loads("\n".join(r.value for r in lines))
     assert doc["summary"] == {"errors": 3, "warnings": 1, "infos": 3, "files": 1, "skipped": 1}
     assert len(doc["findings"]) == 7 and doc["parse_errors"] == [{"file": "b", "error": "why"}]
     one = str(tmp_path / "one")
     reports.write_report(found, status, one, "json")
     assert P.new_findings(found, load_baseline(spark, one)).count() == 0
+    assert P.new_findings(found, load_baseline(spark, one, "report")).count() == 0
+    key = ("file", "rule_id", "snippet")
+    assert P.new_findings(found, load_baseline(spark, one, "report", key), key).count() == 0
+    assert P.new_findings(found, baseline_of(found, key), key).count() == 0
+    split = str(tmp_path / "split")  # the same document in several files
+    reports.json_lines(found, status).repartitionByRange(4, "part", "ord").sortWithinPartitions("part", "ord").select("value").write.text(split)
+    assert load_baseline(spark, split, "report").count() == load_baseline(spark, one).count()
+    none = found.limit(0)
+    assert json.loads("".join(r.value for r in reports.json_lines(none, status.limit(0)).orderBy("part", "ord").collect()))["findings"] == []
     many = str(tmp_path / "lines")
     reports.write_json_lines(found, many)
     assert P.new_findings(found, load_baseline(spark, many, "lines")).count() == 0
@@ -256,3 +266,17 @@ def test_repo_scope(spark, corpus):
     assert single_impl_traits(facts, "file").count() == 1 and single_impl_traits(facts, "repo").count() == 0
     assert missing_awaits(facts, ["python"], "file").count() == 0
     assert [r.fid for r in missing_awaits(facts, ["python"], "repo").collect()] == [3]
+
+
+def test_baseline_stats_agree_with_the_diff_on_null_keys(spark, found):
+    odd = found.withColumn("rule_id", F.when(F.col("location.line") > 5, F.col("rule_id")))
+    known = baseline_of(odd)
+    assert P.new_findings(odd, known).count() == P.baseline_stats(odd, known).first().new == 0
+
+
+def test_release_deletes_the_store(spark, corpus, tmp_path):
+    files = corpus([("a.py", "# todo\n")])
+    with Facts(files, store=str(tmp_path)) as facts:
+        assert detect(facts, ["R08"]).count() == 1
+        assert any(tmp_path.iterdir())
+    assert not any(tmp_path.iterdir())
