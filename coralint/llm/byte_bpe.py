@@ -10,7 +10,7 @@ Why blocks: one row per pre-token and position would be some twenty times the te
 word once however often it occurs, so a very frequent word costs a row entry per block, and no
 reducer holds more than the words of its hash slot. Word lists travel packed per (block, slot).
 
-Blocks are written to the shared folder before anything is derived from them. Their numbers depend
+Blocks are written to the shared folder, bucketed, before anything is derived from them. Their numbers depend
 on the order in which a task reads its rows, so they must be fixed once; and a lost executor then
 costs only its own tasks.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from array import array
 from functools import lru_cache
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from coralint.llm.common import shared_folder, small_batches
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 # A single blank between two characters that are no white space always ends a pre-token.
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _ODD_BLANK = re.compile(r" \s|\s ")
@@ -94,10 +95,13 @@ def unpack_numbers(data: bytes) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.flatnonzero(b < 128)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    size, out = ends - starts + 1, np.zeros(len(ends), np.int64)
-    for k in range(int(size.max())):
-        here = size > k
-        out[here] |= (b[starts[here] + k] & 127).astype(np.int64) << (7 * k)
+    out = (b[starts] & 127).astype(np.int64)
+    more = np.flatnonzero(ends > starts)
+    for k in range(1, 6):
+        if not len(more):
+            break
+        out[more] |= (b[starts[more] + k] & 127).astype(np.int64) << (7 * k)
+        more = more[ends[more] > starts[more] + k]
     return out
 
 
@@ -144,16 +148,13 @@ def text_numbers(text: str, spans: _Spans) -> array:
 
 
 def _block_rows(block: int, sequences: list[array], numbers: _Numbers, slots: int):
-    """Packed sequences, with numbers in order of frequency, and packed word lists by slot."""
+    """The packed sequences, with numbers in order of frequency, and packed word lists by slot."""
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
     flat = np.frombuffer(b"".join(s.tobytes() for s in sequences), np.uint32)
     order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    data, size = pack_numbers(rank[flat])
-    ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(lengths)]
-    starts = np.concatenate(([0], ends[:-1]))
-    documents = [data[a:b] for a, b in zip(starts, ends)]
+    text = _pack(pack_numbers(lengths)[0], pack_numbers(rank[flat])[0])
 
     words = [w.encode() for w in numbers]
     slot = np.fromiter((zlib.crc32(w) % slots for w in words), np.int64, len(words))
@@ -167,7 +168,7 @@ def _block_rows(block: int, sequences: list[array], numbers: _Numbers, slots: in
             steps = np.diff(rank[mine], prepend=0)
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             lists.append((block, s, _pack(pack_numbers(steps)[0], pack_numbers(sizes)[0], b"".join(own))))
-    return documents, lists
+    return text, lists
 
 
 def _cut(schema: pa.Schema, pattern: str, slots: int, block_chars: int):
@@ -182,13 +183,9 @@ def _cut(schema: pa.Schema, pattern: str, slots: int, block_chars: int):
 
         def flush():
             block = (task << 32) | nth
-            documents, lists = _block_rows(block, sequences, numbers, slots)
-            n = len(documents)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(
-                    ([block] * n + [r[0] for r in lists], [None] * n + [r[1] for r in lists],
-                     ids + [None] * len(lists), documents + [r[2] for r in lists],
-                     ["text"] * n + ["words"] * len(lists)), schema.types)], schema=schema)
+            text, lists = _block_rows(block, sequences, numbers, slots)
+            columns = [block] * (1 + len(lists)), [None] + [r[1] for r in lists], [ids] + [None] * len(lists), [text] + [r[2] for r in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types)], schema=schema)
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -241,7 +238,7 @@ def _resolve(id_type: pa.DataType, id_col: str):
     def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
         parts = [tuple(map(unpack_numbers, _unpack(x.as_py()))) for x in lists.column("data")]
         n = sum(len(p[0]) for p in parts)
-        start, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        start, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
         flat = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
         flat, done = flat.astype("<u4"), 0
         for steps, counts, ids in parts:
@@ -249,19 +246,25 @@ def _resolve(id_type: pa.DataType, id_col: str):
             count[rank] = counts
             start[rank] = done + np.cumsum(counts) - counts
             done += len(ids)
-        out, lengths = [], []
-        for x in texts.column("data"):
-            number = unpack_numbers(x.as_py())
-            each = count[number]
-            total = int(each.sum())
-            shift = np.repeat(start[number] - (np.cumsum(each) - each), each)
-            out.append(flat[shift + np.arange(total)].tobytes())
-            lengths.append(total)
-        return pa.table([texts.column("id").cast(id_type), pa.array(out, pa.binary()), pa.array(lengths, pa.int64())], [id_col, "ids", "n_tokens"])
+        lengths, number = (unpack_numbers(x) for x in _unpack(texts.column("data")[0].as_py()))
+        each = count[number]
+        shift = np.repeat(start[number] - (np.cumsum(each) - each), each)
+        shift += np.arange(len(shift))
+        ids = flat[shift]
+        ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(lengths)))]
+        keys = texts.column("ids").combine_chunks().flatten()
+        return pa.table([keys.cast(id_type), _binary(ids.tobytes(), 4 * ends), pa.array(np.diff(ends))], [id_col, "ids", "n_tokens"])
 
     return run
 
 
+def _binary(data: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary array over one buffer, from the values' bounds."""
+    if len(data) < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+    return pa.chunked_array([pa.array([data[a:b]], pa.binary()) for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, ids, n_tokens): token ids as little-endian unsigned 32-bit integers.
 
@@ -273,24 +276,25 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     small_batches(spark)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
-    spark_schema = f"block long, slot int, id {id_type.simpleString()}, data binary, kind string"
+    spark_schema = f"block long, slot int, ids array<{id_type.simpleString()}>, data binary"
     arrow_id = pa.schema([("x", _arrow_type(id_type))]).field(0).type
-    schema = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("id", arrow_id), ("data", pa.binary()), ("kind", pa.string())])
-    path = shared_folder(spark, "bpe-blocks")
+    schema = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("ids", pa.list_(arrow_id)), ("data", pa.binary())])
+    # Bucketed by block: the sequences, the bulk of it, then meet their words' ids without a shuffle.
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
     (
         docs.select(id_col, text_col)
         .mapInArrow(_cut(schema, pattern, slots, block_chars), spark_schema)
-        .write.partitionBy("kind").option("compression", "zstd").parquet(path)
+        .write.bucketBy(slots, "block").format("parquet").option("path", shared_folder(spark, "bpe-blocks")).saveAsTable(name)
     )
-    blocks = spark.read.schema(spark_schema).parquet(path)
+    blocks = spark.table(name)
     words = (
-        blocks.filter("kind = 'words'")
+        blocks.filter("slot IS NOT NULL")
         .select("block", "slot", "data")
         .repartition(slots, "slot")
         .sortWithinPartitions("slot")
         .mapInArrow(_encode_words(vocabulary), "block long, data binary")
     )
-    texts = blocks.filter("kind = 'text'").select("block", "id", "data")
+    texts = blocks.filter("slot IS NULL").select("block", "ids", "data")
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
         _resolve(arrow_id, id_col), f"{id_col} {id_type.simpleString()}, ids binary, n_tokens long"
     )
@@ -312,11 +316,13 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
     def run(batches):
         table = token_bytes(vocabulary)
         for batch in batches:
-            out = []
-            for x in batch.column(at):
-                ids = np.frombuffer(x.as_py() or b"", "<u4")
-                out.append(b"".join(table.take(pa.array(ids.astype(np.int64))).to_pylist()) if len(ids) else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+            given = batch.column(at)
+            ends = np.frombuffer(given.buffers()[1], np.int32)[given.offset : given.offset + len(given) + 1]
+            ids = np.frombuffer(given.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view("<u4")
+            found = table.take(pa.array(ids))
+            bounds = np.frombuffer(found.buffers()[1], np.int64, len(ids) + 1)[(ends - ends[0]) // 4]
+            decoded = _binary((found.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[bounds[0] : bounds[-1]], bounds - bounds[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*names, "decoded"])
 
     return encoded.select(*names).mapInArrow(run, f"{fields}, decoded binary")
 
