@@ -323,6 +323,11 @@ def oracle() -> dict[str, str]:
         # findings
         "severity_filter": _e(f"SELECT {_FLAT} FROM e WHERE severity <> 'info'"),
         "baseline_diff": _e(f"SELECT {_FLAT} FROM e WHERE {_NOT_KNOWN}", known=True),
+        "baseline_diff_snippet": _e(
+            f"SELECT {_FLAT} FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.event_id % 8 = 0 AND b.file = e.file "
+            "AND b.rule_id = e.rule_id AND b.event_type = e.event_type)"
+        ),
+        "report_json_full": _e(f"SELECT {_FLAT} FROM e"),
         "stream_new_findings": _e(f"SELECT {_FLAT} FROM e WHERE severity <> 'info' AND {_NOT_KNOWN}", known=True),
         "baseline_stats": _e(
             "SELECT count(*) AS total, count(*) FILTER (WHERE b.rule_id IS NULL) AS new, count(b.rule_id) AS known FROM e "

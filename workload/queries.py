@@ -21,7 +21,7 @@ from coralint.operators.sweep import innermost
 from coralint.plans import findings as FN
 from coralint.plans.review import attach, detect, rule_scope, select_rules
 from coralint.session import ensure_checkpoint_dir
-from coralint.sinks.reports import finding_line
+from coralint.sinks.reports import finding_line, write_report
 from coralint.sources import corpus as S
 from coralint.sources.baseline import baseline_of
 from coralint.streaming.stream import findings_stream
@@ -488,6 +488,14 @@ def baseline_diff(spark, sf):
     return flat(FN.new_findings(findings(spark, sf), baseline_of(known)))
 
 
+@query
+def baseline_diff_snippet(spark, sf):
+    """The difference on a key that survives moved lines."""
+    key = ("file", "rule_id", "snippet")
+    known = findings(spark, sf).where((F.col("snapshot") == "s0") & (F.col("fid") % 8 == 0))
+    return flat(FN.new_findings(findings(spark, sf), baseline_of(known, key), key))
+
+
 @query
 def baseline_stats(spark, sf):
     known = findings(spark, sf).where(F.col("snapshot") == "s0")
@@ -562,6 +570,19 @@ def report_json_roundtrip(spark, sf):
     return baseline_of(back)
 
 
+@query
+def report_json_full(spark, sf):
+    """All findings, written as the JSON document and read back from its lines."""
+    folder = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    status = spark.createDataFrame([], "fid long, path string, status string, error string")
+    write_report(findings(spark, sf), status, folder, "json")
+    lines = spark.read.text(folder).select(F.regexp_extract("value", r'^,?(\{"rule_id".*\})$', 1).alias("v")).where("v <> ''")
+    shape = "rule_id string, severity string, location struct<file:string,line:int,column:bigint>"
+    return lines.select(F.from_json("v", shape).alias("f")).select(
+        F.col("f.location.column").alias("event_id"), "f.rule_id", "f.severity", "f.location.file", "f.location.line"
+    )
+
+
 @query
 def stream_new_findings(spark, sf):
     """The baseline diff on a stream: every event arrives once, known findings are dropped."""
