@@ -28,7 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage, computes a frame that several branches use once, and survives lost executors.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,9 @@ Pages are then read through their host's wrapper.
 Scale: a page is parsed once and stored as blocks. Alignment runs on distinct pairs of reference and
 tree, not on pages. Judging is a sum per (host, slot) and a distinct count per (host, slot, text),
 both combined on the map side, so a host with a third of all pages is spread by slot and text. A
-wrapper is one row per host, as large as its template; pages join it on the host, where adaptive skew
-join splits a hot host. No group of pages is ever gathered.
+wrapper is one row per host and tree, as large as its template; pages join it by broadcast while all
+wrappers together are small, else by host and tree, where adaptive skew join splits a hot host. No
+group of pages is ever gathered.
 
 Defined results: null, empty and markup-only html gives an empty text; a null url is the host "";
 a host with few pages has no constant text and is judged by slots alone; copies of one page count
@@ -34,6 +35,8 @@ from coralint.llm.common import small_batches, stored
 
 # Text on at least this share of a host's differing pages is template, from MIN_PAGES such pages on.
 CONSTANT, MIN_PAGES = 0.9, 5
+# Wrappers of all hosts up to this many bytes are broadcast; beyond, pages are shuffled to them.
+BROADCAST_BYTES = 32 << 20
 
 # Elements of the HTML standard by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -360,8 +363,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         .agg(F.collect_set(F.when(half("main"), F.col("slot"))).alias("inside"), F.collect_set("slot").alias("all"))
         .select("host", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("all")).alias("content"))
     )
-    wrappers = content.join(constant, "host", "left")
-    read = placed.select("id", "url", "host", "node", "text", "hash", "slots").join(wrappers, "host", "left")
+    wrappers = stored(
+        slots.join(content, "host", "left").join(constant, "host", "left").select("host", "tree", "slots", "content", "constant"),
+        "page-wrappers",
+    )
+    # Texts move only if the wrappers of all hosts are too many to be sent to every executor.
+    marks = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+    size = wrappers.agg(F.sum(F.octet_length("tree") + marks("slots") + F.coalesce(marks("content"), F.lit(0)) + F.coalesce(F.size("constant"), F.lit(0)) * 64)).first()[0]
+    side = F.broadcast(wrappers) if (size or 0) <= BROADCAST_BYTES else wrappers
+    read = parsed.select("id", "url", "host", "tree", "node", "text", "hash").join(side, ["host", "tree"])
     kept = F.filter(
         F.arrays_zip("node", "text", "hash"),
         lambda b: F.array_contains("content", F.col("slots")[b["node"]])
