@@ -37,8 +37,13 @@ MAGIC = b"CTI1"
 BLOCK_IDS = 2_000_000
 FILE_BYTES = 16 << 20
 # Words that a worker remembers; beyond it starts afresh, which costs time and changes nothing.
-MEMO = 1_000_000
+WORDS = 1_000_000
 _SAFE_BLANK = re.compile(r"[ \n]")
+# The words of the tokenizer's own pattern, once a text is in lower case ..
+_WORD = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
+# .. except in texts that hold a special token, letters that may need composing or have no single lower
+# case, numbers that Python takes for letters, or blanks that only Python takes for white space.
+_SPECIAL = re.compile("<\\||[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0130\u02b0-\U0010ffff]")
 
 # Lengths of the four numbers that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -89,14 +94,20 @@ def write_block(keys: list[int | None], ids: list[np.ndarray], rank: np.ndarray)
     ))
 
 
-def read_blocks(content: bytes, id_of: np.ndarray):
-    """(key, ids) of every document of a file, in order."""
+def block_sizes(content: bytes):
+    """(place, documents, ids, data bytes) of every block of a file, from the heads alone."""
     at = 0
     while at < len(content):
         if content[at : at + 4] != MAGIC:
             raise ValueError(f"no block at byte {at}")
         n, m, size = map(int, np.frombuffer(content, "<u8", 3, at + 4))
-        at += 28
+        yield at + 28, n, m, size
+        at += 28 + 17 * n + -(-m // 4) + size + 1  # the row's newline
+
+
+def read_blocks(content: bytes, id_of: np.ndarray):
+    """(key, ids) of every document of a file, in order."""
+    for at, n, m, size in block_sizes(content):
         keys = np.frombuffer(content, "<i8", n, at)
         null = np.frombuffer(content, np.uint8, n, at + 8 * n)
         lengths = np.frombuffer(content, "<u8", n, at + 9 * n).astype(np.int64)
@@ -104,7 +115,6 @@ def read_blocks(content: bytes, id_of: np.ndarray):
         control = np.frombuffer(content, np.uint8, -(-m // 4), at)
         at += len(control)
         ids = id_of[decode_ranks(control, np.frombuffer(content, np.uint8, size, at), m)]
-        at += size + 1  # the row's newline
         ends = np.cumsum(lengths)
         for i in range(n):
             yield (None if null[i] else int(keys[i])), ids[ends[i] - lengths[i] : ends[i]]
@@ -121,65 +131,109 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Known(dict):
-    """Ids of a span of text without blanks and newlines, as bytes."""
+def id_width(path: str) -> str:
+    """Two bytes an id where the vocabulary allows, else four."""
+    return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
 
-    def __init__(self, path):
-        self.encode = _tokenizer(path).encode
+def _is_plain(text: str) -> bool:
+    if text.isascii():
+        return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return not _SPECIAL.search(text)
 
-    def __missing__(self, span):
-        if len(self) >= MEMO:
-            self.clear()
-        core = span.rstrip(".,;:!?")
-        if len(core) < len(span) and core.isalpha() and core.isascii():
-            ids = self[core] + self[span[len(core) :]]  # letters and marks are always cut apart
-        elif core != core.lower() and core == span and core.isalpha() and core.isascii():
-            ids = self[core.lower()]
-        else:
-            ids = np.array(self.encode(span, add_special_tokens=False).ids, "<u4").tobytes()
-        self[span] = ids
-        return ids
+
+class _Words:
+    """Ids of words, as bytes, for a worker process.
+
+    The tokenizer lower-cases, drops white space, and encodes each match of its pattern by itself. So
+    plain texts are cut into words here, and unknown words are encoded many in one call by the same
+    model without the normaliser, whose work is done. Other texts go through the tokenizer itself,
+    blank by blank.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
+        self.width, self.whole = id_width(path), _tokenizer(path)
+        self.plain = type(self.whole).from_str(self.whole.to_str())
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        ids = np.array(self.plain.encode(" ".join(words), add_special_tokens=False).ids, self.width)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            self.known.update((w, self.alone(w)) for w in words)
+            return
+        raw, size, a = ids.tobytes(), ids.itemsize, 0
+        for w, b in zip(words, (ends * size).tolist()):
+            self.known[w] = raw[a:b]
+            a = b
+
+    def alone(self, span: str) -> bytes:
+        return np.array(self.whole.encode(span, add_special_tokens=False).ids, self.width).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > WORDS:
+            self.known.clear()
+        cut = [_WORD.findall(t.lower()) if _is_plain(t) else None for t in texts]
+        if fresh := set().union(*(c for c in cut if c)) - self.known.keys():
+            self.learn(list(fresh))
+        get = self.known.__getitem__
+        return [
+            b"".join(map(self.alone, filter(None, _SAFE_BLANK.split(t)))) if c is None else b"".join(map(get, c))
+            for t, c in zip(texts, cut)
+        ]
 
 
 @lru_cache(maxsize=2)
-def _known(path: str) -> _Known:
+def _words(path: str) -> _Words:
     """One memory per worker process, kept from task to task."""
-    return _Known(path)
+    return _Words(path)
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(id, ids): ids as little-endian unsigned 32-bit integers, the end id last.
+    """(key, ids): ids as little-endian integers of ``id_width``, the end id last.
 
-    The tokenizer drops white space and cuts at it, so spans between blanks or newlines are encoded
-    one by one and remembered; this gives what it gives on the whole text.
+    This gives what the tokenizer gives on the whole text.
     """
     small_batches(docs.sparkSession)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = b"" if end_id is None else np.array([end_id], id_width(vocabulary)).tobytes()
 
     def run(batches):
-        known = _known(vocabulary)
+        words = _words(vocabulary)
         for batch in batches:
-            ids = [b"".join(map(known.__getitem__, _SAFE_BLANK.split(t.as_py() or ""))) + end for t in batch.column(1)]
+            ids = [x + end for x in words.encode([t.as_py() or "" for t in batch.column(1)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "key long, ids binary")
 
 
-def _counts(batches):
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            one = np.bincount(np.frombuffer(x.as_py(), "<u4"))
-            if len(one) > len(total):
-                total = np.concatenate((total, np.zeros(len(one) - len(total), np.int64)))
-            total[: len(one)] += one
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["id", "n"])
+def _count(width: str):
+    def run(batches):
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                one = np.bincount(np.frombuffer(x.as_py(), width))
+                if len(one) > len(total):
+                    total = np.concatenate((total, np.zeros(len(one) - len(total), np.int64)))
+                total[: len(one)] += one
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["id", "n"])
+
+    return run
 
 
-def rank_table(tokens: DataFrame) -> list[int]:
+def rank_table(tokens: DataFrame, width: str) -> list[int]:
     """Ids by falling frequency, ties by id. One entry per id of the vocabulary in use."""
-    counted = tokens.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("ids").mapInArrow(_count(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [r["id"] for r in counted.orderBy(F.desc("n"), "id").select("id").collect()]
 
 
@@ -190,7 +244,8 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | Non
     """Tokenise ``docs`` and write the folder."""
     spark = docs.sparkSession
     tokens = stored(tokenize(docs, vocabulary, end_id, id_col, text_col), "token-ids")
-    id_of = rank_table(tokens)
+    width = id_width(vocabulary)
+    id_of = rank_table(tokens, width)
     spark.createDataFrame([(r, i) for r, i in enumerate(id_of)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max(id_of, default=0) + 1, np.uint32)
     rank[np.array(id_of, np.int64)] = np.arange(len(id_of))
@@ -200,7 +255,7 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | Non
         for batch in batches:
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys.append(key)
-                ids.append(np.frombuffer(x.as_py(), "<u4"))
+                ids.append(np.frombuffer(x.as_py(), width))
                 size += len(ids[-1])
                 if size >= BLOCK_IDS:
                     yield pa.RecordBatch.from_arrays([pa.array([write_block(keys, ids, rank)], pa.binary())], ["block"])
@@ -209,7 +264,8 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | Non
             yield pa.RecordBatch.from_arrays([pa.array([write_block(keys, ids, rank)], pa.binary())], ["block"])
 
     total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    files = max(1, -(-int(total) * 2 // 5 // FILE_BYTES))  # four bytes an id here, some 1.6 in a file
+    n_ids = int(total) // np.dtype(width).itemsize
+    files = max(1, -(-n_ids * 8 // 5 // FILE_BYTES))  # some 1.6 bytes an id
     ordered = tokens.repartitionByRange(files, F.col("key").asc_nulls_first(), "ids").sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
     # The text writer puts out a string's bytes as they are.
     ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string")).write.option("lineSep", "\n").text(f"{folder}/ids")
@@ -255,7 +311,13 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").load(f"{folder}/ids/part-*").select("path", "content")
     rows = files.mapInArrow(documents, "file string, key long, ids binary, n_tokens long, at long")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+
+    def heads(batches):
+        for batch in batches:
+            total = [sum(b[2] for b in block_sizes(c.as_py())) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64())], ["file", "total"])
+
+    totals = files.mapInArrow(heads, "file string, total long")
     # Part numbers rise with the id range; one row per file.
     before = F.coalesce(F.sum("total").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     begins = stored(totals.select(F.col("file").alias("f"), before.alias("begin")), "file-starts")
