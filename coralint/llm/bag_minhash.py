@@ -12,9 +12,10 @@ multisets: sum of minima at least ``similarity`` times sum of maxima. Groups are
 
 Scale: equal texts are one class before any sketch is compared. Candidates of a bucket are first
 compared with its smallest class only, which settles groups of copies with one comparison a
-member. Only buckets that still hold several components are compared within, in chunks of bounded
-size, by signature; only pairs whose signatures allow the similarity, and that are not yet
-connected, are verified. No test is capped: every pair of a bucket is either connected or tested.
+member. Only buckets that still hold several components are compared within, in pairs of chunks of
+bounded size; a pair is looked at in the first bucket it shares, by signature, and verified only if
+its signature allows the similarity and it is not yet connected. No pair becomes a row, and no test is
+capped: every pair of a bucket is either connected or tested.
 A hub's members are salted, so a large group is many tasks, each streaming past one multiset.
 
 Defined results: words are split at white space and lower-cased; texts of fewer than five words are
@@ -41,7 +42,7 @@ MARGIN = 0.15
 SHINGLES_AT_ONCE = 200_000
 MEMO = 500_000
 PER_HUB = 500  # members of a hub in one task
-PER_CHUNK = 1500  # classes of a bucket in one chunk
+PER_CHUNK = 500  # classes of a bucket in one chunk
 BROADCAST_KEYS = 1_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -240,27 +241,39 @@ def verified(edges: DataFrame, bags: DataFrame, similarity: float, name: str) ->
     )
 
 
-def _inside(least: float):
-    """Pairs of one chunk pair of a bucket that are in different components and may be similar."""
+def _inside(similarity: float):
+    """Links between the components of one chunk pair of a bucket; pairs once connected are not tested.
+
+    A pair is tested only in the first bucket that it shares, and only if its signatures allow the
+    similarity, the most alike first.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        c = np.array(table.column("c"))
-        group, side, hub = (np.array(table.column(n)) for n in ("component", "side", "hub"))
+        c, band = np.array(table.column("c")), table.column("band")[0].as_py()
+        side, hub = np.array(table.column("side")), np.array(table.column("hub"))
+        group = np.unique(np.array(table.column("component")), return_inverse=True)[1]
         slots = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in table.column("slots")])
-        same = len(set(side.tolist())) == 1
-        left = np.arange(len(c)) if same else np.flatnonzero(side == side.min())
-        right = np.arange(len(c)) if same else np.flatnonzero(side != side.min())
+        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(c), -1)
+        items, counts = table.column("items"), table.column("counts")
+        bag = lambda i: (np.frombuffer(items[i].as_py(), np.uint64), np.frombuffer(counts[i].as_py(), "<u4").astype(np.int64))
+        one = side.min() == side.max()
+        right = np.flatnonzero((one | (side == side.max())) & ~hub)
         a, b = [], []
-        for i in left:
-            others = right[(group[right] != group[i]) & ~hub[right]]
-            if same:
-                others = others[c[others] > c[i]]
-            if hub[i] or not len(others):
-                continue
-            agree = (slots[others] == slots[i]).mean(axis=1)
-            for j in others[(agree - 1 / 256) / (1 - 1 / 256) >= least]:
-                a.append(min(c[i], c[j]))
-                b.append(max(c[i], c[j]))
+        for i in np.flatnonzero((one | (side == side.min())) & ~hub):
+            others = right[group[right] != group[i]]
+            others = others[c[others] > c[i]] if one else others
+            others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
+            agree = ((slots[others] == slots[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            order = np.argsort(-agree, kind="stable")
+            own = None
+            for j in others[order[agree[order] >= similarity - MARGIN]].tolist():
+                if group[j] == group[i]:
+                    continue
+                own = own or bag(i)
+                if similar(own, bag(j), similarity):
+                    a.append(c[i])
+                    b.append(c[j])
+                    group[group == group[j]] = group[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -299,16 +312,17 @@ def _pairs_of(classes: DataFrame, docs_keyed: DataFrame, similarity: float) -> D
     placed = _labelled(shared.filter("n > 2"), groups, "c", "component")
     apart = placed.filter("c <> hub").groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
     open_ = placed.join(apart.select("band", "h", F.ceil(F.col("m") / F.lit(PER_CHUNK)).cast("int").alias("chunks")), ["band", "h"])
-    open_ = open_.join(classes.select("c", "slots"), "c").withColumn("side", F.pmod(F.xxhash64(F.lit(1), "c"), F.col("chunks")).cast("int"))
+    open_ = open_.withColumn("side", F.pmod(F.xxhash64(F.lit(1), "c"), F.col("chunks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
-    pairs = (
-        dealt.select("band", "h", "x", "y", "side", "c", "component", "slots", (F.col("c") == F.col("hub")).alias("hub"))
+    dealt = dealt.join(classes.select("c", "slots", "bands"), "c").join(bags, "c")
+    inside = (
+        dealt.withColumn("hub", F.col("c") == F.col("hub"))
+        .select("band", "h", "x", "y", "side", "c", "component", "hub", "slots", "bands", "items", "counts")
         .groupBy("band", "h", "x", "y")
-        .applyInArrow(_inside(similarity - MARGIN), "a long, b long")
-        .distinct()
+        .applyInArrow(_inside(similarity), "a long, b long")
     )
-    return links.unionByName(verified(stored(pairs, "minhash-pairs"), bags, similarity, "minhash-inside"))
+    return links.unionByName(stored(inside, "minhash-inside"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
