@@ -361,10 +361,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         judged.filter(~half("linked") & ~half("boiler"))
         .groupBy("host")
         .agg(F.collect_set(F.when(half("main"), F.col("slot"))).alias("inside"), F.collect_set("slot").alias("all"))
-        .select("host", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("all")).alias("content"))
     )
+    # Each page template decides for itself: a host may have old pages without article or main.
+    chosen = F.when(F.arrays_overlap("slots", "inside"), F.col("inside")).otherwise(F.col("all")).alias("content")
     wrappers = stored(
-        slots.join(content, "host", "left").join(constant, "host", "left").select("host", "tree", "slots", "content", "constant"),
+        slots.join(content, "host", "left").join(constant, "host", "left").select("host", "tree", "slots", chosen, "constant"),
         "page-wrappers",
     )
     # Texts move only if the wrappers of all hosts are too many to be sent to every executor.

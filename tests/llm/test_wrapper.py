@@ -35,6 +35,13 @@ def test_constant_slots_are_template_but_copies_are_no_evidence(spark):
     assert all(got[100 + k] == "Welcome to the site\n\nStory same here\n\nAll rights reserved" for k in range(8))
 
 
+def test_templates_of_a_host_with_and_without_article(spark):
+    new = "<html><head><title>T{k}</title></head><body><article><p>Story {k} here</p></article></body></html>"
+    old = "<html><head><title>T{k}</title></head><body><div class=post><p>Old story {k} here</p></div></body></html>"
+    rows = [(k, "http://h.example/x", (new if k < 7 else old).replace("{k}", str(k))) for k in range(10)]
+    assert text_of(spark, rows) == {k: f"Story {k} here" if k < 7 else f"Old story {k} here" for k in range(10)}
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html><body></body></html>", "<!-- only", "<script>x", "<nav><a>menu</a></nav>"])
 def test_pages_without_text(spark, html):
     assert text_of(spark, [(1, None, html)]) == {1: ""}
