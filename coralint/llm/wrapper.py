@@ -8,15 +8,15 @@ slots of links, menus, adverts, forms and comments are boilerplate, and the vary
 Pages are then read through their host's wrapper.
 
 Scale: a page is parsed once and stored as blocks. Alignment runs on distinct pairs of reference and
-tree, not on pages. Judging is a sum per (host, slot) and a distinct count per (host, slot, text),
-both combined on the map side, so a host with a third of all pages is spread by slot and text. A
+tree, not on pages. Judging is a sum per (host, slot) and a count of distinct pages per (host, slot)
+and (host, slot, text), both combined on the map side, so a host with a third of all pages is spread by slot and text. A
 wrapper is one row per host and tree, as large as its template; pages join it by broadcast while all
 wrappers together are small, else by host and tree, where adaptive skew join splits a hot host. No
 group of pages is ever gathered.
 
 Defined results: null, empty and markup-only html gives an empty text; a null url is the host "";
-a host with few pages has no constant text and is judged by slots alone; copies of one page count
-once, as pages are told apart by their titles; repeated rows are extracted each; an empty table
+a slot on few pages has no constant text; copies of one page count once, as pages are told apart by
+their title and texts; repeated rows are extracted each; an empty table
 gives an empty table.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from coralint.llm.common import small_batches, stored
 
-# Text on at least this share of a host's differing pages is template, from MIN_PAGES such pages on.
+# Text on at least this share of the differing pages that have its slot is template, from MIN_PAGES such pages on.
 CONSTANT, MIN_PAGES = 0.9, 5
 # Wrappers of all hosts up to this many bytes are broadcast; beyond, pages are shuffled to them.
 BROADCAST_BYTES = 32 << 20
@@ -270,12 +270,12 @@ def _paths(nodes) -> list[str]:
 
 def _parse_batches(batches):
     for batch in batches:
-        trees, titles, columns = [], [], [[] for _ in range(5)]
+        trees, keys, columns = [], [], [[] for _ in range(5)]
         for text in batch.column(2):
             page = parse(text.as_py() or "")
             trees.append(json.dumps(page.nodes))
             body = [b[1] for b in page.blocks]
-            titles.append(xxhash.xxh64_intdigest(page.title or "\n".join(body)) - (1 << 63))
+            keys.append(xxhash.xxh64_intdigest("\n".join([page.title, *body])) - (1 << 63))
             for column, values in zip(columns, (
                 [b[0] for b in page.blocks], body, [xxhash.xxh64_intdigest(t) - (1 << 63) for t in body],
                 [b[2] for b in page.blocks], [b[3] for b in page.blocks],
@@ -283,9 +283,9 @@ def _parse_batches(batches):
                 column.append(values)
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(trees, pa.string()), pa.array(titles, pa.int64()),
+            [batch.column(0), batch.column(1), pa.array(trees, pa.string()), pa.array(keys, pa.int64()),
              *(pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds))],
-            ["id", "url", "tree", "title", "node", "text", "hash", "linked", "flags"],
+            ["id", "url", "tree", "page", "node", "text", "hash", "linked", "flags"],
         )
 
 
@@ -307,7 +307,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = pages.schema[id_col].dataType.simpleString()
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html_col).mapInArrow(
         _parse_batches,
-        f"id {kind}, url string, tree string, title long, node array<int>, text array<string>, hash array<long>, "
+        f"id {kind}, url string, tree string, page long, node array<int>, text array<string>, hash array<long>, "
         "linked array<int>, flags array<int>",
     )
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -325,13 +325,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     placed = parsed.join(slots, ["host", "tree"])
     blocks = placed.select(
         "host",
-        "title",
         F.inline(
             F.transform(
-                F.arrays_zip("node", "hash", "linked", "flags", F.transform("text", F.char_length).alias("size")),
+                F.arrays_zip("node", "linked", "flags", F.transform("text", F.char_length).alias("size")),
                 lambda b: F.struct(
-                    F.col("slots")[b["node"]].alias("slot"), b["hash"].alias("hash"), b["size"].alias("size"),
-                    b["linked"].alias("linked"), b["flags"].alias("flags"),
+                    F.col("slots")[b["node"]].alias("slot"), b["size"].alias("size"), b["linked"].alias("linked"), b["flags"].alias("flags"),
                 ),
             )
         ),
@@ -343,16 +341,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         weigh(F.col("flags").bitwiseAND(1) > 0).alias("boiler"),
         weigh(F.col("flags").bitwiseAND(2) > 0).alias("main"),
     )
-    # Pages with one title count once: copies of a page are no evidence of a template.
-    titles = parsed.select("host", "title").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("titles")).filter(F.col("titles") >= MIN_PAGES)
-    constant = (
-        blocks.select("host", "slot", "hash", "title")
+    # Copies of a page count once. A slot's pages are those that have text there; they count at hash null.
+    texts = F.array_distinct(F.arrays_zip("slot", "hash"))
+    owned = F.transform(F.array_distinct("slot"), lambda s: F.struct(s.alias("slot"), F.lit(None).cast("long").alias("hash")))
+    counts = (
+        placed.select("host", "page", F.transform("node", lambda n: F.col("slots")[n]).alias("slot"), "hash")
+        .select("host", "page", F.inline(F.concat(texts, owned)))
         .distinct()
         .groupBy("host", "slot", "hash")
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= CONSTANT * MIN_PAGES)
-        .join(titles, "host")
-        .filter(F.col("n") >= CONSTANT * F.col("titles"))
+    )
+    owners = counts.groupBy("host", "slot").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("owners"))
+    constant = (
+        counts.filter(F.col("n") >= CONSTANT * MIN_PAGES)
+        .join(owners.filter(F.col("owners") >= MIN_PAGES), ["host", "slot"])
+        .filter(F.col("hash").isNotNull() & (F.col("n") >= CONSTANT * F.col("owners")))
         .groupBy("host")
         .agg(F.collect_set(F.struct("slot", "hash")).alias("constant"))
     )

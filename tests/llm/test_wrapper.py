@@ -42,6 +42,16 @@ def test_templates_of_a_host_with_and_without_article(spark):
     assert text_of(spark, rows) == {k: f"Story {k} here" if k < 7 else f"Old story {k} here" for k in range(10)}
 
 
+def test_constant_text_is_counted_on_the_pages_of_its_slot(spark):
+    new = "<html><head><title>T{k}</title></head><body><article><p>Story {k} here</p><div class=legal>All rights reserved</div></article></body></html>"
+    old = "<html><head><title>T{k}</title></head><body><div class=post><p>Old {k} here</p></div><div class=slogan>Best of all</div></body></html>"
+    rows = [(k, "http://h.example/x", (new if k < 12 else old).replace("{k}", str(k))) for k in range(20)]
+    one = "<html><head><title>Site</title></head><body><div class=text><p>Story {k} here</p><div class=legal>All rights reserved</div></div></body></html>"
+    rows += [(100 + k, "http://one.example/x", one.replace("{k}", str(k))) for k in range(8)]
+    want = {k: f"Story {k} here" if k < 12 else f"Old {k} here" for k in range(20)}
+    assert text_of(spark, rows) == want | {100 + k: f"Story {k} here" for k in range(8)}
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html><body></body></html>", "<!-- only", "<script>x", "<nav><a>menu</a></nav>"])
 def test_pages_without_text(spark, html):
     assert text_of(spark, [(1, None, html)]) == {1: ""}
