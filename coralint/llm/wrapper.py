@@ -4,7 +4,8 @@ Each page becomes a DOM tree whose children of equal kind are one node, so a lis
 paragraphs has one place. The commonest tree of a host is its reference; every other tree of the host
 is aligned to it by simple tree matching, which gives each node of a page its slot. Over all pages
 of the host a slot is judged: text that stands there on nearly all differing pages is template,
-slots of links, menus, adverts, forms and comments are boilerplate, and the varying rest is content.
+slots of menus, adverts, forms and comments, and of links outside the article, are boilerplate, and
+the varying rest is content.
 Pages are then read through their host's wrapper.
 
 Scale: a page is parsed once and stored as blocks. Alignment runs on distinct pairs of reference and
@@ -361,7 +362,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     half = lambda c: F.col(c) * 2 >= F.col("size")
     content = (
-        judged.filter(~half("linked") & ~half("boiler"))
+        judged.filter((half("main") | ~half("linked")) & ~half("boiler"))
         .groupBy("host")
         .agg(F.collect_set(F.when(half("main"), F.col("slot"))).alias("inside"), F.collect_set("slot").alias("all"))
     )

@@ -52,6 +52,13 @@ def test_constant_text_is_counted_on_the_pages_of_its_slot(spark):
     assert text_of(spark, rows) == want | {100 + k: f"Story {k} here" for k in range(8)}
 
 
+def test_lists_of_links_inside_the_article_stay(spark):
+    body = "<p>Story {k}</p><ul><li><a href=/r>Reference {k} with a long title</a><li>Plain {k}</ul><p class=links><a href=/s>Source {k}</a></p>"
+    rows = [(k, "http://h.example/x", page(k, body.replace("{k}", str(k)))) for k in range(6)]
+    got = text_of(spark, rows)
+    assert all(got[k] == f"Story {k}\n\nReference {k} with a long title\n\nPlain {k}\n\nSource {k}" for k in range(6))
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html><body></body></html>", "<!-- only", "<script>x", "<nav><a>menu</a></nav>"])
 def test_pages_without_text(spark, html):
     assert text_of(spark, [(1, None, html)]) == {1: ""}
