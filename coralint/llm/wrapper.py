@@ -11,9 +11,10 @@ Pages are then read through their host's wrapper.
 Scale: a page is parsed once and stored as blocks. Alignment runs on distinct pairs of reference and
 tree, not on pages. Judging is a sum per (host, slot) and a count of distinct pages per (host, slot)
 and (host, slot, text), both combined on the map side, so a host with a third of all pages is spread by slot and text. A
-wrapper is one row per host and tree, as large as its template; pages join it by broadcast while all
-wrappers together are small, else by host and tree, where adaptive skew join splits a hot host. No
-group of pages is ever gathered.
+verdict is one row per host and slot; the verdicts on a tree's nodes are joined by slot and gathered
+per host and tree, so a wrapper is as large as its tree, however varied the host. Pages join it by
+broadcast while all wrappers together are small, else by host and tree, where adaptive skew join
+splits a hot host. No group of pages is ever gathered.
 
 Defined results: null, empty and markup-only html gives an empty text; a null url is the host "";
 a slot on few pages has no constant text; copies of one page count once, as pages are told apart by
@@ -36,6 +37,8 @@ from coralint.llm.common import small_batches, stored
 
 # Text on at least this share of the differing pages that have its slot is template, from MIN_PAGES such pages on.
 CONSTANT, MIN_PAGES = 0.9, 5
+# A host's verdict on a slot goes to this many parts of its trees.
+SALTS = 16
 # Wrappers of all hosts up to this many bytes are broadcast; beyond, pages are shuffled to them.
 BROADCAST_BYTES = 32 << 20
 
@@ -293,12 +296,12 @@ def _parse_batches(batches):
 def _align_batches(batches):
     for batch in batches:
         slots = []
-        for tree, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for tree, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             nodes, fixed = ([tuple(x) for x in json.loads(t)] for t in (tree, reference))
             own, known = _paths(nodes), _paths(fixed)
             slots.append([known[m] if m >= 0 else "+" + own[i] for i, m in enumerate(align(nodes, fixed))])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.string()))], ["host", "tree", "slots"]
+            [batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.string()))], ["host", "key", "slots"]
         )
 
 
@@ -312,23 +315,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         "linked array<int>, flags array<int>",
     )
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    parsed = stored(parsed.withColumn("host", host), "page-blocks")
+    parsed = stored(parsed.withColumn("host", host).withColumn("key", F.md5("tree")), "page-blocks")
 
-    trees = parsed.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("pages"))
+    trees = parsed.groupBy("host", "key", "tree").agg(F.count(F.lit(1)).alias("pages"))
     reference = trees.groupBy("host").agg(F.max_by("tree", F.struct("pages", "tree")).alias("reference"))
     slots = stored(
-        trees.select("host", "tree")
+        trees.select("host", "key", "tree")
         .join(reference, "host")
-        .select("host", "tree", "reference")
-        .mapInArrow(_align_batches, "host string, tree string, slots array<string>"),
+        .select("host", "key", "tree", "reference")
+        .mapInArrow(_align_batches, "host string, key string, slots array<string>"),
         "page-slots",
     )
-    placed = parsed.join(slots, ["host", "tree"])
+    sizes = F.transform("text", F.char_length).alias("size")
+    placed = parsed.select("host", "key", "page", "node", "hash", "linked", "flags", sizes).join(slots, ["host", "key"])
     blocks = placed.select(
         "host",
         F.inline(
             F.transform(
-                F.arrays_zip("node", "linked", "flags", F.transform("text", F.char_length).alias("size")),
+                F.arrays_zip("node", "linked", "flags", "size"),
                 lambda b: F.struct(
                     F.col("slots")[b["node"]].alias("slot"), b["size"].alias("size"), b["linked"].alias("linked"), b["flags"].alias("flags"),
                 ),
@@ -353,36 +357,47 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         .agg(F.count(F.lit(1)).alias("n"))
     )
     owners = counts.groupBy("host", "slot").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("owners"))
+    # A slot's constant texts are at most as many as a page's blocks, as each stands on nearly all its pages.
     constant = (
         counts.filter(F.col("n") >= CONSTANT * MIN_PAGES)
         .join(owners.filter(F.col("owners") >= MIN_PAGES), ["host", "slot"])
-        .filter(F.col("hash").isNotNull() & (F.col("n") >= CONSTANT * F.col("owners")))
-        .groupBy("host")
-        .agg(F.collect_set(F.struct("slot", "hash")).alias("constant"))
+        .filter(F.col("n") >= CONSTANT * F.col("owners"))
+        .groupBy("host", "slot")
+        .agg(F.collect_list("hash").alias("constant"))
     )
     half = lambda c: F.col(c) * 2 >= F.col("size")
-    content = (
+    verdicts = (
         judged.filter((half("main") | ~half("linked")) & ~half("boiler"))
-        .groupBy("host")
-        .agg(F.collect_set(F.when(half("main"), F.col("slot"))).alias("inside"), F.collect_set("slot").alias("all"))
+        .select("host", "slot", half("main").alias("main"))
+        .join(constant, ["host", "slot"], "left")
+    )
+    # Verdicts reach the nodes of each tree by slot; salted by tree, as most trees of a host share its slots.
+    nodes = slots.select("host", "key", F.posexplode("slots").alias("node", "slot"))
+    salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gathered = (
+        nodes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["host", "slot", "salt"], "left")
+        .groupBy("host", "key")
+        .agg(F.array_sort(F.collect_list(F.struct("node", "main", "constant"))).alias("nodes"))
     )
     # Each page template decides for itself: a host may have old pages without article or main.
-    chosen = F.when(F.arrays_overlap("slots", "inside"), F.col("inside")).otherwise(F.col("all")).alias("content")
+    inside = F.exists("nodes", lambda n: F.coalesce(n["main"], F.lit(False)))
+    keep = lambda n: F.coalesce(n["main"] | (n["main"].isNotNull() & ~F.col("inside")), F.lit(False))
     wrappers = stored(
-        slots.join(content, "host", "left").join(constant, "host", "left").select("host", "tree", "slots", chosen, "constant"),
+        gathered.withColumn("inside", inside).select(
+            "host", "key", F.transform("nodes", lambda n: F.struct(keep(n).alias("keep"), n["constant"].alias("constant"))).alias("nodes")
+        ),
         "page-wrappers",
     )
     # Texts move only if the wrappers of all hosts are too many to be sent to every executor.
-    marks = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
-    size = wrappers.agg(F.sum(F.octet_length("tree") + marks("slots") + F.coalesce(marks("content"), F.lit(0)) + F.coalesce(F.size("constant"), F.lit(0)) * 64)).first()[0]
+    marks = F.aggregate("nodes", F.lit(0).cast("long"), lambda n, x: n + 16 + F.coalesce(F.size(x["constant"]), F.lit(0)) * 8)
+    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("key") + marks)).first()[0]
     side = F.broadcast(wrappers) if (size or 0) <= BROADCAST_BYTES else wrappers
-    read = parsed.select("id", "url", "host", "tree", "node", "text", "hash").join(side, ["host", "tree"])
+    read = parsed.select("id", "url", "host", "key", "node", "text", "hash").join(side, ["host", "key"], "left")
+    own = lambda b: F.col("nodes")[b["node"]]
     kept = F.filter(
         F.arrays_zip("node", "text", "hash"),
-        lambda b: F.array_contains("content", F.col("slots")[b["node"]])
-        & ~F.coalesce(
-            F.exists("constant", lambda c: (c["slot"] == F.col("slots")[b["node"]]) & (c["hash"] == b["hash"])), F.lit(False)
-        ),
+        lambda b: own(b)["keep"] & ~F.coalesce(F.array_contains(own(b)["constant"], b["hash"]), F.lit(False)),
     )
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return read.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.coalesce(text, F.lit("")).alias("text"))

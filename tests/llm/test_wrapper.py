@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from coralint.llm import wrapper
 from coralint.llm.wrapper import align, extract, parse
 
 NAV = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>"
@@ -59,6 +61,21 @@ def test_lists_of_links_inside_the_article_stay(spark):
     assert all(got[k] == f"Story {k}\n\nReference {k} with a long title\n\nPlain {k}\n\nSource {k}" for k in range(6))
 
 
+def test_a_wrapper_is_as_large_as_its_tree(spark, monkeypatch):
+    rows, stored = {}, wrapper.stored
+
+    def watched(df, name):
+        rows[name] = stored(df, name)
+        return rows[name]
+
+    monkeypatch.setattr(wrapper, "stored", watched)
+    names = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    html = "<html><head><title>T{n}</title></head><body><div class=gen-{n}><p>Story {n} here</p></div></body></html>"
+    got = text_of(spark, [(k, "http://h.example/x", html.replace("{n}", n)) for k, n in enumerate(names)])
+    assert got == {k: f"Story {n} here" for k, n in enumerate(names)}
+    assert rows["page-wrappers"].agg(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 500
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html><body></body></html>", "<!-- only", "<script>x", "<nav><a>menu</a></nav>"])
 def test_pages_without_text(spark, html):
     assert text_of(spark, [(1, None, html)]) == {1: ""}
