@@ -5,7 +5,8 @@ paragraphs has one place. The commonest tree of a host is its reference; every o
 is aligned to it by simple tree matching, which gives each node of a page its slot. Over all pages
 of the host a slot is judged: text that stands there on nearly all differing pages is template,
 slots of menus, adverts, forms and comments, and of links outside the article, are boilerplate, and
-the varying rest is content.
+the varying rest is content. Words in class names and forms are weak signs: an article resets those
+around it, and those around most of a page template's varying text are overruled.
 Pages are then read through their host's wrapper.
 
 Scale: a page is parsed once and stored as blocks. Alignment runs on distinct pairs of reference and
@@ -51,8 +52,8 @@ BLOCK = set(
     "tbody td tfoot th thead tr ul title".split()
 )
 SKIPPED = set("head script style noscript template svg canvas object embed iframe select textarea button audio video math".split())
-BOILER_TAGS = set("nav footer aside form dialog menu".split())
-BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+BOILER_TAGS = set("nav footer aside dialog menu".split())
+BOILER_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 BOILER_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices alert popup modal overlay sidebar sidebars rail widget widgets nav navbar navigation menu menus breadcrumb "
@@ -60,6 +61,13 @@ BOILER_WORDS = set(
     "newsletter subscribe subscription login signup search".split()
 )
 HEADER_WORDS = {"header", "masthead", "topbar"}
+# Sections of other articles or of comments, whose parts may be <article> too.
+LISTED_WORDS = set("comment comments disqus replies respond related recommended".split())
+# Class names that tell about a layout, not what an element is.
+_STATE = re.compile(r"(?:has|no|with|without|hide)[-_]")
+# Flags of a block: surely boilerplate, in the article, in a section of LISTED_WORDS; above them the
+# number of elements around it that look like boilerplate by a word or are forms.
+STRONG, MAIN, LISTED, DEPTH = 1, 2, 4, 8
 CLOSES_P = BLOCK - {"title", "head", "body", "html", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "li", "dd", "dt", "legend", "summary", "figcaption"}
 # What a start tag closes, and what it cannot close beyond.
 IMPLIED = {
@@ -82,12 +90,12 @@ class _Page:
         self.known: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int, int]] = []  # (node, text, characters in links, flags)
         self.title = ""
-        self.stack: list[tuple[str, int, bool, bool, bool]] = []  # (tag, node, skipped, boiler, main)
+        self.stack: list[tuple[str, int, bool, int, bool]] = []  # (tag, node, skipped, boiler, main)
         self.text: list[str] = []
         self.linked = self.links = 0
 
     def top(self):
-        return self.stack[-1] if self.stack else ("", -1, False, False, False)
+        return self.stack[-1] if self.stack else ("", -1, False, 0, False)
 
     def node(self, parent: int, kind: str) -> int:
         key = (parent, kind)
@@ -104,7 +112,7 @@ class _Page:
                 _, node, _, boiler, main = self.top()
                 if node < 0:
                     node = self.node(-1, "body")
-                self.blocks.append((node, text, min(self.linked, len(text)), boiler + 2 * main))
+                self.blocks.append((node, text, min(self.linked, len(text)), boiler + MAIN * main))
             self.text, self.linked = [], 0
 
     def write(self, raw: str):
@@ -148,14 +156,17 @@ class _Page:
         if tag in BLOCK:
             kind = tag + ("." + _DIGITS.sub("0", " ".join(sorted(names.lower().split()))) if names else "")
             node = self.node(parent, kind)
-        if tag in ("article", "main") or attrs.get("itemprop") == "articleBody" or attrs.get("role") in ("main", "article"):
-            main = main or not boiler
-        words = set(_WORDS.split(names.lower()))
-        if tag not in ("html", "body", "article", "main") or "comment" in words:
-            boiler = (
-                boiler or tag in BOILER_TAGS or attrs.get("role") in BOILER_ROLES or bool(words & BOILER_WORDS)
-                or not main and (tag == "header" or bool(words & HEADER_WORDS))
-            )
+        role = attrs.get("role")
+        whole = tag == "main" or role == "main" or attrs.get("itemprop") == "articleBody"
+        words = {w for name in names.lower().split() if not _STATE.match(name) for w in _WORDS.split(name)}
+        if (whole or tag == "article" or role == "article") and "comment" not in words:
+            if not main and not boiler & STRONG and (whole or not boiler & LISTED):
+                boiler, main = 0, True  # what is round the article says nothing about it
+        elif tag not in ("html", "body"):
+            if tag in BOILER_TAGS or role in BOILER_ROLES or tag == "header" and not main:
+                boiler |= STRONG
+            elif tag == "form" or role == "form" or words & BOILER_WORDS or words & HEADER_WORDS and not main:
+                boiler = (boiler | LISTED if words & LISTED_WORDS else boiler) + DEPTH
         skipped = skipped or tag in SKIPPED or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         self.links += tag == "a"
         self.stack.append((tag, node, skipped, boiler, main))
@@ -343,33 +354,49 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     judged = blocks.groupBy("host", "slot").agg(
         F.sum("size").alias("size"),
         F.sum("linked").alias("linked"),
-        weigh(F.col("flags").bitwiseAND(1) > 0).alias("boiler"),
-        weigh(F.col("flags").bitwiseAND(2) > 0).alias("main"),
+        weigh(F.col("flags").bitwiseAND(STRONG) > 0).alias("boiler"),
+        weigh(F.col("flags").bitwiseAND(MAIN) > 0).alias("main"),
+        weigh(F.col("flags").bitwiseAND(LISTED) > 0).alias("listed"),
+        F.sum(F.col("size") * F.floor(F.col("flags") / DEPTH)).alias("depths"),
     )
     # Copies of a page count once. A slot's pages are those that have text there; they count at hash null.
-    texts = F.array_distinct(F.arrays_zip("slot", "hash"))
-    owned = F.transform(F.array_distinct("slot"), lambda s: F.struct(s.alias("slot"), F.lit(None).cast("long").alias("hash")))
+    texts = F.array_distinct(F.arrays_zip("slot", "hash", "size"))
+    none = [F.lit(None).cast("long").alias("hash"), F.lit(None).cast("int").alias("size")]
+    owned = F.transform(F.array_distinct("slot"), lambda s: F.struct(s.alias("slot"), *none))
     counts = (
-        placed.select("host", "page", F.transform("node", lambda n: F.col("slots")[n]).alias("slot"), "hash")
+        placed.select("host", "page", F.transform("node", lambda n: F.col("slots")[n]).alias("slot"), "hash", "size")
         .select("host", "page", F.inline(F.concat(texts, owned)))
         .distinct()
-        .groupBy("host", "slot", "hash")
+        .groupBy("host", "slot", "hash", "size")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    owners = counts.groupBy("host", "slot").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("owners"))
+    owners = counts.groupBy("host", "slot").agg(
+        F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("owners"), F.sum(F.col("n") * F.col("size")).alias("chars")
+    )
     # A slot's constant texts are at most as many as a page's blocks, as each stands on nearly all its pages.
     constant = (
         counts.filter(F.col("n") >= CONSTANT * MIN_PAGES)
-        .join(owners.filter(F.col("owners") >= MIN_PAGES), ["host", "slot"])
+        .join(owners.filter(F.col("owners") >= MIN_PAGES).drop("chars"), ["host", "slot"])
         .filter(F.col("n") >= CONSTANT * F.col("owners"))
         .groupBy("host", "slot")
-        .agg(F.collect_list("hash").alias("constant"))
+        .agg(F.collect_list("hash").alias("constant"), F.sum(F.col("n") * F.col("size")).alias("fixed"))
     )
     half = lambda c: F.col(c) * 2 >= F.col("size")
     verdicts = (
         judged.filter((half("main") | ~half("linked")) & ~half("boiler"))
-        .select("host", "slot", half("main").alias("main"))
+        .join(owners, ["host", "slot"])
         .join(constant, ["host", "slot"], "left")
+        .select(
+            "host",
+            "slot",
+            F.struct(
+                half("main").alias("main"),
+                half("listed").alias("listed"),
+                F.round(F.col("depths") / F.col("size")).cast("int").alias("depth"),
+                ((F.col("chars") - F.coalesce("fixed", F.lit(0))) / F.col("owners")).alias("varying"),
+            ).alias("verdict"),
+            "constant",
+        )
     )
     # Verdicts reach the nodes of each tree by slot; salted by tree, as most trees of a host share its slots.
     nodes = slots.select("host", "key", F.posexplode("slots").alias("node", "slot"))
@@ -378,13 +405,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         nodes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
         .join(salted, ["host", "slot", "salt"], "left")
         .groupBy("host", "key")
-        .agg(F.array_sort(F.collect_list(F.struct("node", "main", "constant"))).alias("nodes"))
+        .agg(F.array_sort(F.collect_list(F.struct("node", "verdict", "constant"))).alias("nodes"))
     )
     # Each page template decides for itself: a host may have old pages without article or main.
-    inside = F.exists("nodes", lambda n: F.coalesce(n["main"], F.lit(False)))
-    keep = lambda n: F.coalesce(n["main"] | (n["main"].isNotNull() & ~F.col("inside")), F.lit(False))
+    # Words are overruled by text: flags that most of the varying text has are of its layout.
+    judgements = F.filter(F.transform("nodes", lambda n: n["verdict"]), lambda v: v.isNotNull() & (v["varying"] > 0))
+    chars = lambda c: F.aggregate(c, F.lit(0.0), lambda n, v: n + v["varying"])
+    reached = F.aggregate(
+        F.array_sort(F.transform("varied", lambda v: F.struct(v["depth"].alias("depth"), v["varying"].alias("varying")))),
+        F.struct(F.lit(0.0).alias("chars"), F.lit(0).alias("depth")),
+        lambda a, v: F.when(a["chars"] * 2 >= F.col("all"), a).otherwise(F.struct((a["chars"] + v["varying"]).alias("chars"), v["depth"].alias("depth"))),
+    )["depth"]
+    chosen = (
+        gathered.withColumn("varied", judgements)
+        .withColumn("inside", F.exists("varied", lambda v: v["main"]))
+        .withColumn("varied", F.filter("varied", lambda v: v["main"] | ~F.col("inside")))
+        .withColumn("listed", ~F.exists("varied", lambda v: ~v["listed"]))
+        .withColumn("varied", F.filter("varied", lambda v: F.col("listed") | ~v["listed"]))
+        .withColumn("all", chars("varied"))
+        .withColumn("depth", reached)
+    )
+    fits = lambda v: (v["main"] | ~F.col("inside")) & (F.col("listed") | ~v["listed"]) & (v["depth"] <= F.col("depth"))
+    keep = lambda n: F.coalesce(fits(n["verdict"]), F.lit(False))
     wrappers = stored(
-        gathered.withColumn("inside", inside).select(
+        chosen.select(
             "host", "key", F.transform("nodes", lambda n: F.struct(keep(n).alias("keep"), n["constant"].alias("constant"))).alias("nodes")
         ),
         "page-wrappers",

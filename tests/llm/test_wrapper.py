@@ -76,6 +76,28 @@ def test_a_wrapper_is_as_large_as_its_tree(spark, monkeypatch):
     assert rows["page-wrappers"].agg(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 500
 
 
+STORY = "<h1>Title {k}</h1><p>Story {k} has many words to tell</p><ul><li>Point {k}</ul>"
+SIDE = "<div class=sidebar><p>Seen {k} times</p></div><nav><p>Menu {k}</p></nav><div id=comments><article><p>Nice {k}</p></article></div>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='layout has-sidebar'><article>{STORY}</article>{SIDE}</div>",
+        f"<div class=widget-area><main>{STORY}</main>{SIDE}</div>",
+        f"<form action=/x><article>{STORY}</article>{SIDE}</form>",
+        f"<form action=/x><div class=no-sidebar><div class=text>{STORY}</div>{SIDE}</div></form>",
+        f"<div class=search-results><div class=text>{STORY}</div>{SIDE}</div>",
+        f"<div class=elementor-widget>{STORY}</div>{SIDE.replace('class=sidebar', 'class=banner><div class=ad').replace('</p></div>', '</p></div></div>', 1)}",
+        f"<article><div class='elementor-widget wide'>{STORY}</div></article>{SIDE}",
+    ],
+)
+def test_words_round_the_text_do_not_drop_it(spark, body):
+    html = f"<html><head><title>T{{k}}</title></head><body>{body}</body></html>"
+    got = text_of(spark, [(k, "http://h.example/x", html.replace("{k}", str(k))) for k in range(6)])
+    assert got == {k: f"Title {k}\n\nStory {k} has many words to tell\n\nPoint {k}" for k in range(6)}
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html><body></body></html>", "<!-- only", "<script>x", "<nav><a>menu</a></nav>"])
 def test_pages_without_text(spark, html):
     assert text_of(spark, [(1, None, html)]) == {1: ""}
