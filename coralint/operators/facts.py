@@ -414,12 +414,8 @@ def number_literals(tok: DataFrame) -> DataFrame:
     """Number literals with their position, cut out of the code lexemes that hold digits.
 
     Pieces carry offsets only, never their lexeme, so one long line of numbers
-    stays linear. ``in_pattern`` marks Rust numbers before a match arrow.
+    stays linear.
     """
-    arrow = F.when(
-        (F.col("language") == "rust") & F.col("text").contains("=>"),
-        F.octet_length("text") - F.octet_length(F.substring_index("text", "=>", -1)),
-    ).otherwise(-1)
     pieces = tok.where((F.col("role") == "code") & F.col("text").rlike(r"(?<![\w$])[0-9]")).select(
         "fid",
         "language",
@@ -427,7 +423,6 @@ def number_literals(tok: DataFrame) -> DataFrame:
         "off",
         "row",
         "col",
-        arrow.alias("arrow"),
         F.posexplode(F.regexp_extract_all("text", F.lit(_NUMBER_PIECE), F.lit(0))).alias("i", "text"),
     )
     run = W.partitionBy("fid", "tok").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -440,10 +435,82 @@ def number_literals(tok: DataFrame) -> DataFrame:
         "row",
         (F.col("col") + back).alias("col"),
         "text",
-        (F.col("past") < F.col("arrow")).alias("in_pattern"),
     )
 
 
+_CONTEXT_PIECE = r"=>|->|::|\?\.|\?\?|[=!<>]=+|[=,:]|[^=,:?!<>-]+|[\s\S]"
+_TS_DECLARES = r"^(?:(?:export|declare)\s+)*(?:const|let|var)\b"
+_TS_TARGET = r"(?:[\w$]+|\{\}|\[\])"
+_TS_PARAM = rf"^(?:(?:public|private|protected|readonly|override)\s+)*(?:\.\.\.)?{_TS_TARGET}\s*\??$"
+
+
+def context_spans(tok: DataFrame) -> DataFrame:
+    """Spans of Rust match patterns with their guards, and of TypeScript annotations.
+
+    Siblings are cut at what separates arms, declarators and parameters; bracket groups inside a
+    span belong to it. A pattern runs up to its arrow. An annotation of a variable or parameter runs
+    from its colon up to ``=``, that of a result up to the body.
+    """
+    role, text, lang = F.col("role"), F.col("text"), F.col("language")
+    piece = F.when(role == "code", F.regexp_extract_all("text", F.lit(_CONTEXT_PIECE), F.lit(0))).otherwise(
+        F.array(F.when(role == "string", F.lit('""')).otherwise(text))
+    )
+    rows = tok.where(lang.isin("rust", *TS)).select(
+        "fid", "language", "level", F.when(lang == "rust", 0).otherwise(F.col("sid")).alias("sid"), "tok", "role",
+        "off", "end_off", "n_text", F.posexplode(piece).alias("i", "text"),
+    )
+    level = W.partitionBy("fid", "level").orderBy("tok", "i")
+    # A closing brace ends an arm unless it ends the pattern's own braces.
+    arm_end = (lang == "rust") & ((text == "=>") | (role == "close") & (text == "}") & ~F.coalesce(F.col("n_text").rlike(r"^(?:=>|\||if\b)"), F.lit(False)))
+    cut = F.when((text == ",") | role.isin("semi", "end") | arm_end, 1).otherwise(0)
+    before = W.partitionBy("fid", "level", "tok").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("off") + F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int")
+    rows = rows.select(
+        "fid", "language", "level", "sid", "tok", "i", "role", "text",
+        F.coalesce(F.sum(cut).over(level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part"),
+        F.first(F.when(role == "end", text), ignorenulls=True).over(level.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("closer"),
+        F.first("text").over(W.partitionBy("fid", "level", "sid").orderBy("tok", "i")).alias("opening"),
+        start.alias("off"),
+        F.when(role == "code", start + F.octet_length("text")).otherwise(F.col("end_off")).alias("end_off"),
+    )
+    key = ["fid", "level", "sid", "part"]
+    patterns = (
+        rows.where(lang == "rust").groupBy(*key).agg(F.min("off").alias("off"), F.max(F.when(text == "=>", F.col("off"))).alias("end_off"))
+    ).select("fid", "off", "end_off")
+    parts = (
+        rows.where(lang.isin(TS) & (role != "end") & (role != "semi") & (text != ","))
+        .groupBy(*key)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("tok", "i", "role", "text", "off", "end_off"))).alias("pieces"),
+            F.first("closer").alias("closer"),
+            F.first("opening").alias("opening"),
+        )
+        .withColumn("at", F.array_position(F.transform("pieces", lambda x: x["text"]), ":").cast("int"))
+        .where(F.col("at") > 1)
+        .withColumn("lead", F.trim(F.array_join(F.transform(F.slice("pieces", 1, F.greatest(F.col("at") - 1, F.lit(0))), lambda x: x["text"]), "")))
+        .withColumn("rest", F.slice("pieces", F.col("at") + 1, F.size("pieces")))
+    )
+    lead = F.col("lead")
+    named = (
+        lead.rlike(rf"{_TS_DECLARES}\s*{_TS_TARGET}\s*!?$")
+        | F.col("opening").rlike(_TS_DECLARES) & lead.rlike(r"^[\w$]+\s*!?$")
+        | (F.col("closer") == ")") & lead.rlike(_TS_PARAM)
+    )
+    body = F.exists("rest", lambda x: x["text"].isin("=>", "{"))
+    result = lead.rlike(r"\(\)$") & ~lead.contains("?") & ~lead.rlike(r"^case\b") & body
+    stops = F.filter("rest", lambda x: F.when(F.col("named"), x["text"] == "=").otherwise(x["text"].isin("=>", "{")))
+    annotations = (
+        parts.withColumn("named", F.coalesce(named, F.lit(False)))
+        .where(F.col("named") | result)
+        .select(
+            "fid",
+            F.get("pieces", F.col("at") - 1)["off"].alias("off"),
+            F.coalesce(F.get(stops, F.lit(0))["off"], F.element_at("pieces", -1)["end_off"]).alias("end_off"),
+        )
+    )
+    return patterns.unionByName(annotations).where(F.col("off") < F.col("end_off"))
+
+
 _IMPORT_HEAD = {
     "rust": r"^(?:# \[ \] )*(?:pub (?:\( \) )?)?use\s",
     "python": r"^(?:import|from)\s",

@@ -9,6 +9,7 @@ from coralint.functions.text import body_uses_word, contains_word, returns_hardc
 from coralint.operators import lexemes as L
 from coralint.operators import sweep
 from coralint.operators.bundle import Facts
+from coralint.operators.detectors import literal_rules as LR
 
 TRICKY = [
     ("a.rs", "fn a<'x>(s: &'x str) -> char { let r = r#\"x \" {\"#; let c = '\\''; let d = '{'; /* } */ b'\"' }\n"),
@@ -155,3 +156,17 @@ def test_csharp_forms(corpus):
         "class C {\n (int, string) M(int a) { }\n void IFoo.N(int b) { }\n Dictionary<string, (int, int)> P(int c) { }\n public C(int d) { }\n void Q() { if (a) { b(); } foreach (var x in y) { z(x); } }\n}\n",
     )
     assert [(n, p) for _, n, p in names_and_params(f)] == [("M", ["a"]), ("N", ["b"]), ("P", ["c"]), ("C", ["d"]), ("Q", [])]
+
+
+def test_magic_numbers_outside_patterns_and_annotations(corpus):
+    rust = (
+        "fn f() { match a { Some(88) => 31, (55, 77) => 32, P { x: 66 } => 33, 44 | 45 => { g(34) } 46 if b > 47 => 35, 48 => 36, _ => 37 } }\n"
+        "fn g() { let t = (38, 39); if x { 51 } else { 52 } }\n"
+    )
+    script = (
+        "let z: 77 | 88 = 31, y: 66 = 32;\nfunction f(a: 55, b?: 56 = 33): 57 { return c ? d : 34; }\nconst g = (a: 58): 59 => 35;\n"
+        "const o = { a: 36, b: 37 };\nf(c ? d : 38, { e: 39 });\nswitch (a) { case 51: b(); }\nlet w: { a: 67 } = h(52);\n"
+    )
+    found = LR.detect_r10(Facts(corpus([("a.rs", rust), ("a.ts", script)]))).collect()
+    got = {fid: sorted(int(r.subject) for r in found if r.fid == fid) for fid in (0, 1)}
+    assert got == {0: [31, 32, 33, 34, 35, 36, 37, 38, 39, 51, 52], 1: [31, 32, 33, 34, 35, 36, 37, 38, 39, 51, 52]}
