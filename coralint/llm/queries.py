@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coralint.llm import ann, bag_minhash, byte_bpe, chat_format, line_dedup, metric_join, mixing, pu_quality, token_files, wrapper
+from coralint.llm import (
+    alignment,
+    ann,
+    bag_minhash,
+    byte_bpe,
+    chat_format,
+    line_dedup,
+    metric_join,
+    mixing,
+    pu_quality,
+    spelling,
+    token_files,
+    toxicity,
+    wrapper,
+)
 from coralint.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +145,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_chat_format"] = chat_format.ORACLE
+
+
+@query
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = lambda c: F.when(c == "", F.lit("")).otherwise(F.sha2(c, 256))
+    return alignment.align(docs, a, b, groups=digest).withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every longer word of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(docs, change=spelling.damaged))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    scored = docs.select("doc_id", held_out, toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
