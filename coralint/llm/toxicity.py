@@ -1,21 +1,23 @@
 """Toxicity scores: subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams and of itself, a text the mean of its words'
-vectors, and a linear softmax on it gives the classes. Vectors and softmax are trained jointly, in numpy, by Adam
-on the labelled texts. A misspelt or unseen word shares most n-grams with the words it resembles, and so
-their vectors. Frequent words count less, by the weight ``a / (a + frequency)``; the frequencies are
-those of the sample.
-
-The scale of the problem: the model is fitted on at most ``SAMPLE`` labelled texts of each class, chosen by hash order;
-each class weighs as it does among all labels that may teach. What reaches the driver is the distinct
-words of those texts with their counts. Scoring is one pass over all whole texts, without a shuffle. A
-linear softmax of a mean is a mean of what each word adds, so a task looks a word's part up once and keeps it in a
-table that is cleared at ``TABLE_WORDS`` entries.
+vectors, and a linear softmax on it gives the classes. Vectors and softmax are trained jointly, in numpy, by
+gradient descent with momentum on all sampled texts. A misspelt or unseen word shares most n-grams with the
+words it resembles, and so their vectors. N-grams of fewer than ``MIN_TEXTS`` texts teach nothing, and a vector
+moves in steps that shrink with its n-gram's usual share of a text, so that rare n-grams are learnt as well as
+common ones.
+
+Scale: the model is fitted on at most ``SAMPLE`` labelled texts of each class, chosen by hash order; each class
+weighs as it does among all labels that may teach. What reaches the driver is the distinct words of those texts
+with their counts. Scoring is one pass over all whole texts, without a shuffle. A linear softmax of a mean is a
+mean of what each word adds, so a task looks a word's part up once and keeps it in a table that is cleared at
+``TABLE_WORDS`` entries.
 
 Defined results: texts that are null or have no words get the score of the softmax's bias; without labels of both
-classes every score is 0.5; null ids and ids without labels are scored like all others and never teach;
-a repeated document teaches once for each row within the sample; repeated rows get equal scores; an empty table gives an
-empty table; only the id and text columns are read, whatever else there is.
+classes every score is 0.5; null ids and ids without labels are scored like all others and never teach; an id
+with both labels teaches the higher one; a repeated document teaches once for each row within the sample;
+repeated rows get equal scores; an empty table gives an empty table; only the id and text columns are read,
+whatever else there is.
 """
 
 from __future__ import annotations
@@ -34,13 +36,12 @@ from pyspark.sql import functions as F
 
 from coralint.llm.common import small_batches
 
-SAMPLE = 2500  # labelled texts of each class
+SAMPLE = 3000  # labelled texts of each class
 BUCKETS = 1 << 17  # hashed n-grams
 DIM = 4
-GRAMS = (3, 4, 5)
-FREQUENT, LISTED = 1e-3, 1e-4  # the a of the word weight, and the frequency below which it is taken as 1
-SPREAD = 30.0  # factor on the mean, which is small where few words of many matter
-STEPS, RATE, DECAY = 120, 0.02, 2e-5
+GRAMS = (3, 4, 5, 6)
+MIN_TEXTS = 12
+STEPS, MOMENTUM, EVENING = 100, 0.9, 0.6
 TABLE_WORDS = 400_000
 FOLDS = 3
 WORDS = re.compile(r"[^\W_]+")
@@ -63,18 +64,19 @@ class Model:
 
     gain: np.ndarray
     bias: float
-    weight: dict[str, float]
 
     def part(self, word: str) -> float:
-        return float(self.gain[grams_of(word)].mean()) * self.weight.get(word, 1.0)
+        return float(self.gain[grams_of(word)].mean())
 
     def score(self, text: str | None, parts: dict[str, float]) -> float:
         words = words_of(text)
-        z = self.bias + (SPREAD * sum(map(parts.__getitem__, words)) / len(words) if words else 0.0)
+        z = self.bias + (sum(map(parts.__getitem__, words)) / len(words) if words else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-class _Parts(dict):
+class Parts(dict):
+    """The model's part of each word, worked out at its first use."""
+
     def __init__(self, model: Model):
         self.model = model
 
@@ -83,87 +85,88 @@ class _Parts(dict):
         return p
 
 
-UNFITTED = Model(np.zeros(BUCKETS, np.float32), 0.0, {})
+UNFITTED = Model(np.zeros(BUCKETS, np.float32), 0.0)
 
 
 # ------------------------------------------------------------------ training
 
 
-class _Mean:
-    """A sparse matrix of rows (places, weights); multiplies both ways by sums over sorted runs."""
-
-    def __init__(self, sizes: np.ndarray, places: np.ndarray, weights: np.ndarray, width: int):
-        self.rows, self.width = len(sizes), width
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        self.forward = self._runs(row, places, weights)
-        order = np.argsort(places, kind="stable")
-        self.backward = self._runs(places[order], row[order], weights[order])
-
-    @staticmethod
-    def _runs(out, source, weights):
-        starts = np.flatnonzero(np.diff(out, prepend=-1))
-        return out[starts], starts, source, weights.astype(np.float32)[:, None]
-
-    @staticmethod
-    def _sum(runs, x, height):
-        out = np.zeros((height, x.shape[1]), np.float32)
-        target, starts, source, weights = runs
-        if len(target):
-            out[target] = np.add.reduceat(x[source] * weights, starts, axis=0)
-        return out
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return self._sum(self.forward, x, self.rows)
+class _Bags:
+    """Texts as rows of bucket shares; products with a vector from either side."""
+
+    def __init__(self, texts: list[dict[str, int]]):
+        known: dict[str, np.ndarray] = {}
+        places, shares = [], []
+        for text in texts:
+            total = max(1, sum(text.values()))
+            for word in text:
+                if word not in known:
+                    known[word] = np.array(grams_of(word), np.int32)
+            grams = [known[w] for w in text]
+            each = np.repeat([n / total / len(g) for n, g in zip(text.values(), grams)], [len(g) for g in grams])
+            at, back = np.unique(np.concatenate(grams) if grams else np.empty(0, np.int32), return_inverse=True)
+            places.append(at)
+            shares.append(np.bincount(back, each, len(at)))
+        self.rows = len(texts)
+        self.row = np.repeat(np.arange(self.rows), list(map(len, places)))
+        self.place = np.concatenate(places) if places else np.empty(0, np.int32)
+        self.share = np.concatenate(shares) if shares else np.empty(0)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        here = wanted[self.place]
+        self.row, self.place, self.share = self.row[here], self.place[here], self.share[here]
+
+    def scale(self, by: np.ndarray) -> None:
+        self.share = self.share * by[self.place]
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.share * x[self.place], self.rows)
 
     def back(self, x: np.ndarray) -> np.ndarray:
-        return self._sum(self.backward, x, self.width)
+        return np.bincount(self.place, self.share * x[self.row], BUCKETS)
 
 
 def train(texts: list[dict[str, int]], labels: np.ndarray, class_weight: np.ndarray, steps: int = STEPS) -> Model:
-    """Vectors and softmax that minimise the weighted cross-entropy of the labels."""
-    total: Counter = Counter()
-    for t in texts:
-        total.update(t)
-    number = {w: i for i, w in enumerate(total)}
-    all_words = max(1, sum(total.values()))
-    weight = {w: FREQUENT / (FREQUENT + n / all_words) for w, n in total.items() if n / all_words >= LISTED}
-
-    grams = [grams_of(w) for w in number]
-    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-    flat = np.fromiter((g for word in grams for g in word), np.int64, int(sizes.sum()))
-    used, places = np.unique(flat, return_inverse=True)
-    of_word = np.fromiter((weight.get(w, 1.0) for w in number), np.float64, len(number))
-    to_words = _Mean(sizes, places, np.repeat(of_word / np.maximum(sizes, 1), sizes), len(used))
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    at = np.fromiter((number[w] for t in texts for w in t), np.int64, int(lengths.sum()))
-    counts = np.fromiter((n for t in texts for n in t.values()), np.float64, int(lengths.sum()))
-    chars = np.fromiter((max(1, sum(t.values())) for t in texts), np.float64, len(texts))
-    to_texts = _Mean(lengths, at, SPREAD * counts / np.repeat(chars, lengths), len(number))
+    """Vectors and softmax that lower the weighted cross-entropy of the labels."""
+    bags = _Bags(texts)
+    bags.keep(np.bincount(bags.place, minlength=BUCKETS) >= MIN_TEXTS)
+    if not len(bags.place):
+        return UNFITTED
+    usual = np.sqrt(np.bincount(bags.place, bags.share**2, BUCKETS) / len(texts))
+    middle = np.median(usual[usual > 0])
+    even = np.where(usual > 0, (usual + middle) ** -EVENING * middle ** (EVENING - 1), 0.0)
+    bags.scale(even)
 
-    rng = np.random.default_rng(7)
     each = class_weight[labels] / class_weight[labels].sum()
-    goal = np.zeros((len(labels), 2))
-    goal[np.arange(len(labels)), labels] = 1
-    state = [rng.uniform(-1, 1, (len(used), DIM)).astype(np.float32) / DIM, rng.uniform(-1, 1, (DIM, 2)), np.zeros(2)]
-    first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
-    for t in range(1, steps + 1):
-        vectors, softmax, bias = state
-        hidden = to_texts.of(to_words.of(vectors))
+    # The steepest curvature of the loss, by power iteration, bounds the step.
+    curve = np.ones(BUCKETS)
+    for _ in range(8):
+        curve = bags.back(each * bags.times(curve / np.linalg.norm(curve)))
+    rate = 4 / max(1e-12, float(np.linalg.norm(curve)))
+
+    rng = np.random.default_rng(7)
+    direction = rng.normal(size=DIM)
+    softmax = np.outer(direction / np.linalg.norm(direction), [-0.5, 0.5])
+    share = each @ labels
+    bias = np.array([0.0, np.log(share / (1 - share))])
+    vectors, hidden = np.zeros((BUCKETS, DIM)), np.zeros((len(texts), DIM))
+    # A step of the vectors is one column of slopes in a direction of the softmax, so the texts'
+    # vectors follow from one product.
+    run_vectors, run_hidden, run_softmax = np.zeros_like(vectors), np.zeros_like(hidden), np.zeros_like(softmax)
+    goal = np.eye(2)[labels]
+    for _ in range(steps):
         z = hidden @ softmax + bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        error = (p - goal) * each[:, None]
-        slope = to_words.back(to_texts.back((error @ softmax.T).astype(np.float32)))
-        slopes = [slope + DECAY * vectors / len(used), hidden.T @ error, error.sum(axis=0)]
-        for k, g in enumerate(slopes):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            state[k] = state[k] - RATE * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-9)
-    vectors, softmax, bias = state
-    gain = np.zeros(BUCKETS, np.float32)
-    gain[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Model(gain, float(bias[1] - bias[0]), weight)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        error = (p / p.sum(axis=1, keepdims=True) - goal) * each[:, None]
+        slope, towards = bags.back(error[:, 1]), softmax[:, 1] - softmax[:, 0]
+        run_vectors = MOMENTUM * run_vectors + np.outer(slope, towards)
+        run_hidden = MOMENTUM * run_hidden + np.outer(bags.times(slope), towards)
+        run_softmax = MOMENTUM * run_softmax + hidden.T @ error
+        vectors -= rate * run_vectors
+        hidden -= rate * run_hidden
+        softmax = softmax - 0.01 * run_softmax
+    gain = even * (vectors @ (softmax[:, 1] - softmax[:, 0]))
+    return Model(gain.astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fold(id_col: Column) -> Column:
@@ -202,11 +205,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(model: Model, text: Column) -> Column:
     """Scores from 0 to 1 of a text column: how likely the text is toxic."""
-    gain, bias, weight = model.gain, model.bias, model.weight
+    gain, bias = model.gain.tobytes(), model.bias
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        parts = _parts_of(bias, gain.tobytes(), tuple(weight.items()))
+        parts = _parts_of(bias, gain)
         out = []
         for t in texts:
             out.append(parts.model.score(t, parts))
@@ -218,6 +221,6 @@ def score(model: Model, text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _parts_of(bias: float, gain: bytes, weight: tuple) -> _Parts:
+def _parts_of(bias: float, gain: bytes) -> Parts:
     """The words' parts, kept from batch to batch of a worker."""
-    return _Parts(Model(np.frombuffer(gain, np.float32), bias, dict(weight)))
+    return Parts(Model(np.frombuffer(gain, np.float32), bias))
