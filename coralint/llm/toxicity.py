@@ -8,8 +8,8 @@ moves in steps that shrink with its n-gram's usual share of a text, so that rare
 common ones.
 
 Scale: the model is fitted on at most ``SAMPLE`` labelled texts of each class, chosen by hash order; each class
-weighs as it does among all labels that may teach. What reaches the driver is the distinct words of those texts
-with their counts. Scoring is one pass over all whole texts, without a shuffle. A linear softmax of a mean is a
+weighs as it does among all labels that may teach. What reaches the driver is their
+n-grams' shares, packed, at most ``BUCKETS`` of a text. Scoring is one pass over all whole texts, without a shuffle. A linear softmax of a mean is a
 mean of what each word adds, so a task looks a word's part up once and keeps it in a table that is cleared at
 ``TABLE_WORDS`` entries.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from coralint.llm.common import small_batches
 
-SAMPLE = 3000  # labelled texts of each class
+SAMPLE = 2000  # labelled texts of each class
 BUCKETS = 1 << 17  # hashed n-grams
 DIM = 4
 GRAMS = (3, 4, 5, 6)
@@ -91,48 +91,65 @@ UNFITTED = Model(np.zeros(BUCKETS, np.float32), 0.0)
 # ------------------------------------------------------------------ training
 
 
-class _Bags:
+ENTRIES = 1 << 20  # of a product that are worked on at once
+
+
+def bag_of(text: str | None) -> tuple[bytes, bytes]:
+    """A text's buckets (32-bit integers, ascending) and their shares of it (32-bit floats)."""
+    counts = Counter(words_of(text))
+    if not counts:
+        return b"", b""
+    grams = [np.array(grams_of(w), np.int32) for w in counts]
+    total = sum(counts.values())
+    each = np.repeat([n / total / len(g) for n, g in zip(counts.values(), grams)], [len(g) for g in grams])
+    at, back = np.unique(np.concatenate(grams), return_inverse=True)
+    return at.astype("<i4").tobytes(), np.bincount(back, each, len(at)).astype("<f4").tobytes()
+
+
+class Bags:
     """Texts as rows of bucket shares; products with a vector from either side."""
 
-    def __init__(self, texts: list[dict[str, int]]):
-        known: dict[str, np.ndarray] = {}
-        places, shares = [], []
-        for text in texts:
-            total = max(1, sum(text.values()))
-            for word in text:
-                if word not in known:
-                    known[word] = np.array(grams_of(word), np.int32)
-            grams = [known[w] for w in text]
-            each = np.repeat([n / total / len(g) for n, g in zip(text.values(), grams)], [len(g) for g in grams])
-            at, back = np.unique(np.concatenate(grams) if grams else np.empty(0, np.int32), return_inverse=True)
-            places.append(at)
-            shares.append(np.bincount(back, each, len(at)))
-        self.rows = len(texts)
-        self.row = np.repeat(np.arange(self.rows), list(map(len, places)))
-        self.place = np.concatenate(places) if places else np.empty(0, np.int32)
-        self.share = np.concatenate(shares) if shares else np.empty(0)
+    def __init__(self, bags: list[tuple[bytes, bytes]]):
+        sizes = [len(at) // 4 for at, _ in bags]
+        self.rows = len(bags)
+        self.row = np.repeat(np.arange(self.rows, dtype=np.int32), sizes)
+        self.place = np.frombuffer(b"".join(at for at, _ in bags), "<i4")
+        self.share = np.frombuffer(b"".join(share for _, share in bags), "<f4")
 
     def keep(self, wanted: np.ndarray) -> None:
         here = wanted[self.place]
         self.row, self.place, self.share = self.row[here], self.place[here], self.share[here]
 
     def scale(self, by: np.ndarray) -> None:
-        self.share = self.share * by[self.place]
+        self.share = self.share * by.astype(np.float32)[self.place]
+
+    def _sums(self, out: np.ndarray, target: np.ndarray, source: np.ndarray, x: np.ndarray) -> np.ndarray:
+        for a in range(0, len(target), ENTRIES):
+            part = slice(a, a + ENTRIES)
+            out += np.bincount(target[part], self.share[part] * x[source[part]], len(out))
+        return out
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.share * x[self.place], self.rows)
+        return self._sums(np.zeros(self.rows), self.row, self.place, x)
 
     def back(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.place, self.share * x[self.row], BUCKETS)
+        return self._sums(np.zeros(BUCKETS), self.place, self.row, x)
+
+    def usual(self) -> np.ndarray:
+        """Root mean square of each bucket's share."""
+        sums = np.zeros(BUCKETS)
+        for a in range(0, len(self.place), ENTRIES):
+            part = slice(a, a + ENTRIES)
+            sums += np.bincount(self.place[part], self.share[part].astype(np.float64) ** 2, BUCKETS)
+        return np.sqrt(sums / self.rows)
 
 
-def train(texts: list[dict[str, int]], labels: np.ndarray, class_weight: np.ndarray, steps: int = STEPS) -> Model:
+def train(bags: Bags, labels: np.ndarray, class_weight: np.ndarray, steps: int = STEPS) -> Model:
     """Vectors and softmax that lower the weighted cross-entropy of the labels."""
-    bags = _Bags(texts)
     bags.keep(np.bincount(bags.place, minlength=BUCKETS) >= MIN_TEXTS)
     if not len(bags.place):
         return UNFITTED
-    usual = np.sqrt(np.bincount(bags.place, bags.share**2, BUCKETS) / len(texts))
+    usual = bags.usual()
     middle = np.median(usual[usual > 0])
     even = np.where(usual > 0, (usual + middle) ** -EVENING * middle ** (EVENING - 1), 0.0)
     bags.scale(even)
@@ -149,7 +166,7 @@ def train(texts: list[dict[str, int]], labels: np.ndarray, class_weight: np.ndar
     softmax = np.outer(direction / np.linalg.norm(direction), [-0.5, 0.5])
     share = each @ labels
     bias = np.array([0.0, np.log(share / (1 - share))])
-    vectors, hidden = np.zeros((BUCKETS, DIM)), np.zeros((len(texts), DIM))
+    vectors, hidden = np.zeros((BUCKETS, DIM)), np.zeros((bags.rows, DIM))
     # A step of the vectors is one column of slopes in a direction of the softmax, so the texts'
     # vectors follow from one product.
     run_vectors, run_hidden, run_softmax = np.zeros_like(vectors), np.zeros_like(hidden), np.zeros_like(softmax)
@@ -173,12 +190,10 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS
 
 
-def _bags(batches):
-    schema = pa.schema([("at", pa.int64()), ("label", pa.int32()), ("words", pa.string()), ("counts", pa.list_(pa.int32()))])
+def _packed(batches):
     for batch in batches:
-        bags = [Counter(words_of(t.as_py())) for t in batch.column(2)]
-        columns = [batch.column(0), batch.column(1), ["\n".join(b) for b in bags], [list(b.values()) for b in bags]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) if isinstance(x, list) else x for x, t in zip(columns, schema.types)], schema=schema)
+        at, share = zip(*map(bag_of, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["nth", "at", "share"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1, sample: int = SAMPLE) -> Model:
@@ -187,20 +202,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     teach = labels.filter((fold(F.col(id_col)) != held_out) & F.col(label_col).isin(0, 1))
     teach = teach.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     shares = {r["__label"]: r["count"] for r in teach.groupBy("__label").count().collect()}
-    texts, marks = [], []
+    bags, marks = [], []
     for label in sorted(shares):
         picked = teach.filter(F.col("__label") == label).orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample)
         # The ids are bounded by the sample, so the join needs no shuffle of texts.
         found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
-        bags = found.select(F.xxhash64("__id", "__text").alias("at"), "__label", "__text").mapInArrow(_bags, "at long, label int, words string, counts array<int>")
-        for r in bags.orderBy("at", "words").limit(sample).collect():
-            texts.append(dict(zip(r["words"].split("\n"), r["counts"])) if r["words"] else {})
+        packed = found.select(F.xxhash64("__id", "__text").alias("nth"), "__label", "__text").mapInArrow(_packed, "nth long, at binary, share binary")
+        # Rows that agree in the order are equal.
+        for r in packed.orderBy("nth", "at", "share").limit(sample).collect():
+            bags.append((bytes(r["at"]), bytes(r["share"])))
             marks.append(label)
     marks = np.array(marks, np.int64)
     if set(marks.tolist()) != {0, 1}:
         return UNFITTED
     weight = np.array([shares[c] / (marks == c).sum() for c in (0, 1)])
-    return train(texts, marks, weight)
+    return train(Bags(bags), marks, weight)
 
 
 def score(model: Model, text: Column) -> Column:
