@@ -26,7 +26,7 @@ their names.
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -40,8 +40,10 @@ from coralint.llm.byte_bpe import pack_numbers, unpack_numbers
 from coralint.llm.common import small_batches, stored
 
 BLOCK_CHARS = 2_000_000
-# Characters that the tokenizer libraries are given at once; their own records are larger than the ids.
+# Characters that the piece model is given at once; its own records are larger than the ids.
 CALL_CHARS = 200_000
+# How byte-level vocabularies of this kind cut a text before merging: a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
 
 
@@ -57,17 +59,25 @@ def _byte_level() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def byte_tokenizer(path: str):
-    """The tokenizer and its token-byte table by id."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    """The tokenizer and its token-byte table by id.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    vocabulary, to_byte = tokenizer.get_vocab(with_added_tokens=True), _byte_level()
-    table = [b""] * (max(vocabulary.values()) + 1)
-    for token, i in vocabulary.items():
-        table[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
-    return tokenizer, pa.array(table, pa.large_binary())
+    The file's merges must stand in the order of the ids they make, so that ids are ranks; then the
+    rank encoder gives the same ids without a Python list per text. Special tokens are left out.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    vocabulary, to_byte = given["model"]["vocab"], _byte_level()
+    special = {t["id"] for t in given["added_tokens"]}
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in given["model"]["merges"]]
+    if given["normalizer"] or given["pre_tokenizer"]["type"] != "ByteLevel" or merged != sorted(merged):
+        raise ValueError(f"{path}: not a byte-level vocabulary whose ids are ranks")
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in vocabulary.items() if i not in special}
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), pa.array(table, pa.large_binary())
 
 
 @lru_cache(maxsize=2)
@@ -84,20 +94,23 @@ def piece_tokenizer(path: str):
     return tokenizer, pa.array([spelled(i) for i in range(tokenizer.get_piece_size())], pa.large_binary())
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def _tokenized(texts: list[str], a_path: str, b_path: str) -> tuple[pa.Array, pa.Array]:
-    """Id lists of both tokenizers; the libraries are called on a bounded amount of text."""
+    """Id lists of both tokenizers; the piece model is called on a bounded amount of text."""
     a, b = byte_tokenizer(a_path)[0], piece_tokenizer(b_path)[0]
-    parts_a, parts_b, at = [], [], 0
+    found, at = [], 0
     while at < len(texts):
         end, chars = at, 0
         while end < len(texts) and (end == at or chars + len(texts[end]) <= CALL_CHARS):
             chars += len(texts[end])
             end += 1
-        given = texts[at:end]
-        parts_a.append(pa.array([e.ids for e in a.encode_batch_fast([" " + t for t in given], add_special_tokens=False)], pa.list_(pa.int32())))
-        parts_b.append(pa.array(b.encode(given, num_threads=1), pa.list_(pa.int32())))
+        found.extend(np.array(ids, np.int32) for ids in b.encode(texts[at:end], num_threads=1))
         at = end
-    return (pa.concat_arrays(p) if p else pa.array([], pa.list_(pa.int32())) for p in (parts_a, parts_b))
+    return _lists([a.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]), _lists(found)
 
 
 # ------------------------------------------------------------------ tokens of a block as columns
