@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coralint.functions.modes import scanned
+
 LANGUAGES = ["rust", "python", "typescript", "tsx", "csharp", "java"]
 BRACE_LANGUAGES = ["rust", "typescript", "tsx", "csharp", "java"]
 
@@ -44,11 +46,12 @@ STRING = {
     "java": "|".join([_TRIPLE_DQ, _DQ_LINE, _CHAR]),
 }
 
-# A slash opens a regular-expression literal only after an operator, a line break, or a word that a
-# value follows. A look-behind must have a longest form; no line of code is indented deeper than this.
-_BLANKS = r"[ \t]{0,400}"
-_TS_OPERATOR_BEFORE = rf"(?:[(=,:;!&|?{{}}\[+\n]|\b(?:return|case|typeof|throw|await|yield|in|of)[ \t]){_BLANKS}"
-_TS_REGEX = rf"(?<={_TS_OPERATOR_BEFORE})/(?![/*])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
+# In a piece of a file a slash opens a pattern literal behind an operator, a line break, a condition or a word that a
+# value follows. What stands before the literal is matched along with it, so blanks may be of any number.
+_TS_REGEX = (
+    r"((?:[(=,:;!&|?{}\[+\n]|\b(?:return|case|typeof|throw|await|yield|in|of)\b|\b(?:if|while)\s*+\([^()\n]*+\))[ \t]*+)"
+    r"/(?![/*])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
+)
 
 _SPACE = r"\s++"
 _MARK = r"[\[\](){};]"
@@ -57,7 +60,7 @@ _PLAIN = r"[^\w\s\[\](){};\"'/"
 _CODE_UNITS = {
     "rust": [r"(?!(?:br|cr|r)#*\"|[bc]\"|b')\w++", r"'[A-Za-z_]\w*+(?!')", _PLAIN + "]", r"/(?![/*])"],
     "python": [r"(?![rRbBfFuUtT]{1,2}[\"'])\w++", _PLAIN + "#]", "/"],
-    "typescript": [r"\w++", _PLAIN + "`]", rf"(?<!{_TS_OPERATOR_BEFORE})/(?![/*])"],
+    "typescript": [r"\w++", _PLAIN + "`]", r"/(?![/*])"],
     "csharp": [r"\w++", _PLAIN + "$@]", r"[$@](?![$@]*+\")", r"/(?![/*])"],
     "java": [r"\w++", _PLAIN + "]", r"/(?![/*])"],
 }
@@ -65,16 +68,12 @@ _CODE_UNITS = {
 
 def _total(lang: str) -> str:
     code = "(?:" + "|".join([*_CODE_UNITS[lang], r"[ \t]++"]) + ")++"
-    parts = [COMMENT[lang], STRING[lang]]
-    if lang == "typescript":
-        parts.append(_TS_REGEX)
-    return "|".join([*parts, _SPACE, _MARK, code, r"[\s\S]"])
+    return "|".join([COMMENT[lang], STRING[lang], _SPACE, _MARK, code, r"[\s\S]"])
 
 
 LEXER = {lang: _total(lang) for lang in COMMENT}
 LEXER["tsx"] = LEXER["typescript"]
 LITERAL_OR_COMMENT = {lang: f"{COMMENT[lang]}|{STRING[lang]}" for lang in COMMENT}
-LITERAL_OR_COMMENT["typescript"] += f"|{_TS_REGEX}"
 LITERAL_OR_COMMENT["tsx"] = LITERAL_OR_COMMENT["typescript"]
 
 
@@ -97,12 +96,21 @@ def by_language(language: Column, make) -> Column:
 
 
 def lexemes_of(text: Column, language: Column) -> Column:
+    """The text's lexemes by one pattern, or by a scan where one pattern is not enough."""
+    pieces = scanned(text, language)
+    return F.when(pieces.isNotNull(), F.transform(pieces, lambda p: F.substring(p, F.lit(2), F.length(p)))).otherwise(patterned(text, language))
+
+
+def patterned(text: Column, language: Column) -> Column:
     return by_language(language, lambda lang: F.regexp_extract_all(text, F.lit(LEXER[lang]), F.lit(0)))
 
 
 def code_only(text: Column, language: Column) -> Column:
-    """The text with comments and string literals removed."""
-    return by_language(language, lambda lang: F.regexp_replace(text, LITERAL_OR_COMMENT[lang], " "))
+    """A piece of a file with comments, string literals and pattern literals removed."""
+    plain = by_language(language, lambda lang: F.regexp_replace(text, LITERAL_OR_COMMENT[lang], " "))
+    # The group is what stands before a pattern literal; it is empty for the rest.
+    script = F.regexp_replace(text, f"{COMMENT['typescript']}|(?:{STRING['typescript']})|{_TS_REGEX}", "$1 ")
+    return F.when(language.isin("typescript", "tsx") & text.contains("/"), script).otherwise(plain)
 
 
 def lexeme_kind(t: Column, language: Column) -> Column:
@@ -115,9 +123,5 @@ def lexeme_kind(t: Column, language: Column) -> Column:
         .when((language == "python") & (first == "#"), "comment")
         .when((language != "python") & (t.startswith("//") | t.startswith("/*")), "comment")
         .when((F.length(t) > 1) & t.rlike(r"^[A-Za-z$@]{0,3}#*[\"'`]") & t.rlike(r"[\"'`]#*$"), "string")
-        .when(
-            language.isin("typescript", "tsx") & (F.length(t) > 2) & t.rlike(r"^/(?![/*]).*/[a-z]*$"),
-            "regex",
-        )
         .otherwise("code")
     )

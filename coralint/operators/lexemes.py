@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coralint.functions.lexer import lexeme_kind, lexemes_of
+from coralint.functions.lexer import lexeme_kind, patterned
+from coralint.functions.modes import CLOSES_EXPRESSION, OPENS_EXPRESSION, piece_kind, scanned
 
 
 def split_lines(text: Column) -> Column:
@@ -31,9 +32,21 @@ def lexemes(files: DataFrame) -> DataFrame:
     ``off``/``end_off`` are byte offsets, ``col`` is a 0-based byte column.
     ``doc_off`` is the offset of the last documentation comment so far.
     """
-    cut = files.select("fid", "language", F.posexplode(lexemes_of(F.col("text"), F.col("language"))).alias("tok", "raw"))
-    cut = cut.withColumn("kind", lexeme_kind(F.col("raw"), F.col("language")))
-    spans_rows = F.col("kind").isin("space", "comment", "string")
+    cut = files.select("fid", "language", "text", scanned(F.col("text"), F.col("language")).alias("pieces"))
+    by_scan = F.col("pieces").isNotNull()
+    pieces = F.when(by_scan, F.col("pieces")).otherwise(patterned(F.col("text"), F.col("language")))
+    cut = cut.select("fid", "language", by_scan.alias("scanned"), F.posexplode(pieces).alias("tok", "piece"))
+    cut = cut.select(
+        "fid",
+        "language",
+        "tok",
+        F.when(F.col("scanned"), F.expr("substring(piece, 2)")).otherwise(F.col("piece")).alias("raw"),
+        F.when(F.col("scanned"), piece_kind(F.col("piece"))).otherwise(lexeme_kind(F.col("piece"), F.col("language"))).alias("kind"),
+        F.when(F.col("scanned") & F.col("piece").startswith("i"), OPENS_EXPRESSION)
+        .when(F.col("scanned") & F.col("piece").startswith("j"), CLOSES_EXPRESSION)
+        .alias("mark"),
+    )
+    spans_rows = F.col("kind").isin("space", "comment", "string") | F.col("mark").isNotNull()
     cut = cut.withColumn("bytes", F.octet_length("raw")).withColumn(
         "nl",
         F.when(spans_rows, F.length("raw") - F.length(F.replace(F.col("raw"), F.lit("\n"), F.lit("")))).otherwise(0),
@@ -48,6 +61,7 @@ def lexemes(files: DataFrame) -> DataFrame:
         "tok",
         "kind",
         "raw",
+        "mark",
         "bytes",
         "nl",
         F.sum("bytes").over(upto).cast("int").alias("stop"),
@@ -64,7 +78,8 @@ def lexemes(files: DataFrame) -> DataFrame:
         F.coalesce(F.max(line_start).over(before), F.lit(0)).alias("line_off"),
         F.max(F.when(is_doc, off)).over(upto).alias("doc_off"),
     )
-    text = F.when(F.col("kind") == "code", F.rtrim("raw")).otherwise(F.col("raw"))
+    text = F.when(F.col("kind") == "code", F.rtrim("raw")).otherwise(F.coalesce("mark", "raw"))
+    end_off = F.when(F.col("kind") == "code", off + F.octet_length(text)).otherwise(F.col("stop"))
     return out.where(F.col("kind") != "space").select(
         "fid",
         "language",
@@ -72,7 +87,7 @@ def lexemes(files: DataFrame) -> DataFrame:
         "kind",
         text.alias("text"),
         off.alias("off"),
-        (off + F.octet_length(text)).alias("end_off"),
+        end_off.alias("end_off"),
         (F.col("row_end") - F.col("nl")).alias("row"),
         "row_end",
         (off - F.col("line_off")).alias("col"),
