@@ -108,7 +108,7 @@ class Facts:
 
     @cached_property
     def functions(self) -> DataFrame:
-        return self._shared("functions", X.functions(self.statements, self.blocks, self.files))
+        return self._shared("functions", X.functions(self.statements, self.blocks, self.tokens, self.files))
 
     @cached_property
     def params(self) -> DataFrame:

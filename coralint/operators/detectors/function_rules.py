@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from coralint.functions.lexer import code_only
 from coralint.functions.text import contains_any, count_any, quote_word
 from coralint.operators.bundle import Facts
-from coralint.operators.facts import JVMISH, TS, with_text
+from coralint.operators.facts import JVMISH, TS, bare_controls, with_slices, with_text
 from coralint.operators.hits import hits
 from coralint.operators.sweep import count_within, enclosing_all, nesting_at
 
@@ -92,7 +92,17 @@ def _block_weights(facts: Facts) -> DataFrame:
         .otherwise(F.when(bare & ~type_body, 1).otherwise(0))
     )
     weight = F.when(lang == "rust", rust).when(lang == "python", python).when(lang.isin(TS), ts).otherwise(jvm)
-    return blk.select("fid", "off", "end_off", weight.cast("int").alias("w")).where(F.col("w") > 0)
+    braced = blk.select("fid", "off", "end_off", weight.cast("int").alias("w"))
+    return braced.unionByName(_bare_weights(facts)).where(F.col("w") > 0)
+
+
+def _bare_weights(facts: Facts) -> DataFrame:
+    """Nesting weight of controls without braces: their own kind only, there is no block."""
+    rows = with_slices(bare_controls(facts.statements), facts.files, {"between": ("from", "to")})
+    counted = F.col("between").contains(";") | (F.col("language") == "csharp")
+    weight = F.when(F.col("word").isin("if", "while"), 1).when((F.col("word") == "for") & counted, 1)
+    weight = weight.when((F.col("word") == "with") & F.col("language").isin(TS), 1).otherwise(0)
+    return rows.select("fid", "off", "end_off", weight.cast("int").alias("w"))
 
 
 def deep_nesting(facts: Facts, limit: int = 4) -> DataFrame:

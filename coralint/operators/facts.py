@@ -104,17 +104,14 @@ _TS_METHOD = (
     r"(#?[\w$]+)(?:<[^()]*>)? \( \)(?: ?:[^{}]*)? \{ \}$"
 )
 _TS_FUNCTION = r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s+([\w$]+)"
-# An arrow with a parameter list whose body is an expression.
-_TS_SHORT_ARROW = r"(?:^|[=:,?] ?|\breturn |\bdefault )(?:async )?\( \)(?: ?:[^=;{}()]*)? => (?!\{)\S"
 _MODIFIERS = r"^(?:(?:public|private|protected|internal|static|extern|unsafe|async|partial|final)\s*)*$"
 
 
 def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
-    """Statements that define a function, with their kind and name."""
+    """Statements that define a named function, with their kind and name."""
     head = F.col("head")
     # Expression-bodied methods end with a semicolon and own no block.
-    short_arrow = F.col("language").isin(TS) & ~F.col("braced") & head.rlike(_TS_SHORT_ARROW)
-    short = stm.where(((F.col("language") == "csharp") & ~F.col("braced") & head.rlike(r"\( \) =>")) | short_arrow)
+    short = stm.where((F.col("language") == "csharp") & ~F.col("braced") & head.rlike(r"\( \) =>"))
     all_rows = blk.unionByName(short.select(*blk.columns))
     jvm_prefix = F.regexp_extract(head, _JVM_HEAD, 1)
     jvm_name = F.regexp_extract(head, _JVM_HEAD, 2)
@@ -138,41 +135,27 @@ def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
         .when(lang.isin(TS), F.when(ts_fn != "", ts_fn).when(~ts_method.isin(_NOT_NAMES), ts_method).otherwise(""))
         .otherwise(F.when(jvm_ok, jvm_name).otherwise(""))
         .alias("name"),
-        (lang.isin(TS) & head.rlike(rf"=> \{{ \}}$|{_TS_SHORT_ARROW}")).alias("arrow"),
         F.when(lang == "rust", "function_item")
         .when(lang == "python", "function_definition")
         .when(lang.isin(TS), F.when(ts_fn != "", "function_declaration").otherwise("method_definition"))
         .otherwise(F.when(jvm_prefix.rlike(_MODIFIERS), "constructor_declaration").otherwise("method_declaration"))
         .alias("kind"),
-    ).where((F.col("name") != "") | F.col("arrow"))
+    ).where(F.col("name") != "")
 
     key = F.when(
         lang == "rust", _index_of(lambda s: (s["role"] == "code") & s["text"].rlike(r"\bfn\s"))
     ).otherwise(F.lit(1))
-    rows = named.withColumn("arrow", F.col("arrow") & (F.col("name") == "")).withColumn("key", key)
+    rows = named.withColumn("key", key)
     # `pub(crate) fn` starts three siblings before the keyword.
     restricted = (lang == "rust") & (F.col("key") > 3) & (_sib(F.col("key") - 3)["text"] == "pub")
     rows = rows.withColumn("key", F.when(restricted, F.col("key") - 3).otherwise(F.col("key")))
     rows = rows.withColumn("restricted", F.coalesce(restricted, F.lit(False)))
 
-    # The piece that starts with the arrow; it is the last but two where a block follows.
-    at = F.when(
-        F.col("arrow") & ~head.rlike(r"=> \{ \}$"), _index_of(lambda s: (s["role"] == "code") & s["text"].rlike(r"^(?::[^=]*)?=>"))
-    ).otherwise(n - 2)
-    arrow_chunk = _sib(at)
-    listed = arrow_chunk["text"].rlike(r"^(?:=>|:)")
-    ident_lead = _bytes(F.regexp_extract(arrow_chunk["text"], r"^(.*?)(?:async\s+)?[\w$]+\s*=>$", 1))
-    first = _sib(F.col("key"))
-    export_lead = _bytes(F.regexp_extract(first["text"], r"^((?:export\s+(?:default\s+)?)?|,\s*)", 1))
+    begin = _sib(F.col("key"))
+    export_lead = _bytes(F.regexp_extract(begin["text"], r"^((?:export\s+(?:default\s+)?)?|,\s*)", 1))
     lead = F.when(lang.isin(TS), export_lead).otherwise(0)
-    begin = (
-        F.when(F.col("arrow") & listed, _sib(at - 2))
-        .when(F.col("arrow"), arrow_chunk)
-        .otherwise(first)
-    )
-    lead = F.when(F.col("arrow"), F.when(listed, 0).otherwise(ident_lead)).otherwise(lead)
     # Parameter list: the first round bracket after the name.
-    after = F.when(F.col("arrow"), at - 2).when(F.col("restricted"), F.col("key") + 3).otherwise(F.col("key"))
+    after = F.when(F.col("restricted"), F.col("key") + 3).otherwise(F.col("key"))
     is_attr_call = lambda i: F.coalesce(_sib(i - 1)["text"].rlike(r"^@[\w.]+$"), F.lit(False))
     count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
 
@@ -192,16 +175,14 @@ def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("open"))
     paren = F.aggregate(F.sequence(F.lit(1), n), start, look)["at"]
-    rows = rows.withColumn(
-        "paren", F.when(F.col("arrow") & ~listed, F.lit(0)).otherwise(paren)
-    )
+    rows = rows.withColumn("paren", paren)
     has_list = (F.col("paren") > 0) & (F.col("paren") < n)
     return rows.select(
         "fid",
         "language",
         "level",
         "sid",
-        F.when(F.col("arrow"), "arrow_function").otherwise(F.col("kind")).alias("kind"),
+        "kind",
         "name",
         (begin["off"] + lead).alias("off"),
         "end_off",
@@ -211,16 +192,172 @@ def _function_rows(stm: DataFrame, blk: DataFrame) -> DataFrame:
         F.col("off").alias("stmt_off"),
         "prev_end",
         begin["doc_off"].alias("doc_off"),
-        (F.when(F.col("arrow"), 0).otherwise(lead) > 0).alias("exported"),
+        (lead > 0).alias("exported"),
         F.when(has_list, _sib(F.col("paren"))["end_off"]).alias("params_from"),
         F.when(has_list, _sib(F.col("paren") + 1)["off"]).alias("params_to"),
         head.rlike(r"(?:^|\s)async\s+(?:def|function)\b|^async def").alias("is_async"),
     )
 
 
-def functions(stm: DataFrame, blk: DataFrame, files: DataFrame) -> DataFrame:
+# What a brace opens, by the code before it and by the beginning of its statement.
+_TYPE_BODY = r"\binterface\b|^(?:(?:export|declare)\s+)*type\s+[\w$]+"
+_CLASS_BODY = r"\bclass\b"
+
+
+# Control words with their bracket, from the beginning of a statement; else may lead.
+_CONTROL_HEADS = r"^((?:(?:else )?(?:if|for|foreach|while|with|using|lock|synchronized)(?: await)? \( \) ?)+)"
+
+
+def bare_controls(stm: DataFrame) -> DataFrame:
+    """Controls whose body is one statement without braces, with the span that body makes them reach.
+
+    A statement can begin with several heads, each owning the rest. A script statement that is only
+    heads owns the next one. An ``else`` belongs to the last ``if``, so up to that ``if`` the heads reach
+    to the end of its run: the statements up to the last ``else`` that follows without a break.
+    """
+    rows = stm.where(F.col("language").isin(*TS, *JVMISH))
+    heads = F.regexp_extract("head", _CONTROL_HEADS, 1)
+    rows = rows.select(
+        "*",
+        heads.alias("heads"),
+        F.col("head").rlike(r"^else\b").alias("is_else"),
+        ((heads != "") & (F.trim(heads) == F.trim("head")) | (F.col("head") == "else")).alias("bodyless"),
+    )
+    order = W.partitionBy("fid", "level").orderBy("sid")
+    goes_on = F.col("is_else") | F.coalesce(F.lag("bodyless").over(order), F.lit(False))
+    # The end of one bracket group and the beginning of the next are apart in offsets, not in numbers.
+    rows = rows.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
+    run = W.partitionBy("fid", "level", "run")
+    rows = rows.select(
+        "*",
+        F.max("end_off").over(run).alias("run_end"),
+        F.first(F.when(~F.col("bodyless"), F.col("end_off")), ignorenulls=True)
+        .over(run.orderBy("sid").rowsBetween(W.currentRow, W.unboundedFollowing))
+        .alias("own_end"),
+    )
+    # A loop with an empty body is the end of a do statement as well as a loop; it holds nothing.
+    rows = rows.where((F.col("heads") != "") & ~F.col("head").rlike(r"^while \( \) ;$"))
+    rows = rows.withColumn("n", F.size(F.regexp_extract_all("heads", F.lit(r"\( \)"), F.lit(0))))
+    rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    word = F.regexp_extract(F.get("sibs", 3 * F.col("c"))["text"], r"(\w+)(?: await)?$", 1)
+    ifs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("sibs", 3 * i)["text"].rlike(r"\bif$"))
+    last_if = F.col("n") - 1 - (F.array_position(F.reverse(ifs), True) - 1).cast("int")
+    last_if = F.when(F.array_contains(ifs, True), last_if).otherwise(-1)
+    lead = F.octet_length(F.regexp_extract(F.get("sibs", 3 * F.col("c"))["text"], r"^(else )", 1))
+    # The first head of a statement with a block is a block statement of its own.
+    return rows.where((F.col("c") > 0) | ~F.col("braced")).select(
+        "fid",
+        "language",
+        word.alias("word"),
+        (F.get("sibs", 3 * F.col("c"))["off"] + lead).alias("off"),
+        F.when((F.col("c") <= last_if), F.col("run_end")).otherwise(F.coalesce("own_end", "run_end")).alias("end_off"),
+        F.get("sibs", 3 * F.col("c") + 1)["end_off"].alias("from"),
+        F.get("sibs", 3 * F.col("c") + 2)["off"].alias("to"),
+    )
+
+
+def with_group(tok: DataFrame) -> DataFrame:
+    """Script tokens with ``group``, what the bracket around them opens: ``class``, ``type``, ``list`` or ``other``.
+
+    Each opening bracket also appears as a mark on the level inside, in front of its content; the
+    last mark seen on a level is the bracket around.
+    """
+    stmt = W.partitionBy("fid", "level", "sid").orderBy("tok")
+    opening, before = F.first("text").over(stmt), F.col("p_text")
+    body = F.col("text") == "{"
+    kind = (
+        F.when(body & F.coalesce(before.rlike(_CLASS_BODY) | opening.rlike(rf"^(?:(?:export|default|declare|abstract)\s+)*{_CLASS_BODY}"), F.lit(False)), "class")
+        .when(body & F.coalesce(before.rlike(_TYPE_BODY) | opening.rlike(rf"^(?:(?:export|default|declare)\s+)*{_TYPE_BODY}"), F.lit(False)), "type")
+        .when(F.col("text") == "(", "list")
+        .otherwise("other")
+    )
+    rows = tok.where(F.col("language").isin(TS)).select("*", F.when(F.col("role") == "open", kind).alias("opens"))
+    inside = F.when(F.col("role") == "open", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("*", F.explode(inside).alias("mark")).withColumn("at_level", F.col("level") + F.col("mark"))
+    upto = W.partitionBy("fid", "at_level").orderBy("tok", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = F.last(F.when(F.col("mark") == 1, F.col("opens")), ignorenulls=True).over(upto)
+    return rows.withColumn("group", F.coalesce(found, F.lit("other"))).where(F.col("mark") == 0).drop("mark", "at_level", "opens")
+
+
+_ARROW_PIECE = r"=>|,|[^=,]+|[\s\S]"
+
+
+def arrow_functions(tok: DataFrame) -> DataFrame:
+    """Every arrow function of a script: one row for each ``=>`` that is not part of a type.
+
+    The parameters are the name before the arrow or the round bracket before it and its result type. The
+    body is the block behind the arrow, or all up to the next comma of the same level or the end of the
+    statement, found by looking ahead to the next separator.
+    """
+    stmt = W.partitionBy("fid", "level", "sid")
+    seq = W.partitionBy("fid", "level").orderBy("tok")
+    rows = with_group(tok).select(
+        "*",
+        *[F.lag(c, 2).over(seq).alias(f"o_{c}") for c in ("text", "off", "end_off", "row", "col", "doc_off", "p_text", "p_role")],
+        F.lag("off").over(seq).alias("c_off"),
+        F.max(F.when((F.col("role") == "code") & F.col("text").contains("=>"), 1)).over(stmt).alias("has_arrow"),
+        F.first("off").over(stmt.orderBy("tok")).alias("stmt_off"),
+        F.first("prev_end").over(stmt.orderBy("tok")).alias("first_end"),
+        F.first("text").over(stmt.orderBy("tok")).alias("opening"),
+        F.lead("close_end").over(seq).alias("block_end"),
+        F.lead("row_end", 2).over(seq).alias("block_row"),
+    )
+    rows = rows.where((F.col("has_arrow") == 1) & (F.col("role") != "end"))
+    cut = F.when(F.col("role") == "code", F.regexp_extract_all("text", F.lit(_ARROW_PIECE), F.lit(0))).otherwise(F.array("text"))
+    rows = rows.select("*", F.posexplode(cut).alias("i", "piece"))
+    order = stmt.orderBy("tok", "i")
+    within = W.partitionBy("fid", "level", "tok").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("past", F.coalesce(F.sum(F.char_length("piece")).over(within), F.lit(0)).cast("int"))
+    rows = rows.withColumn("before", F.expr("left(text, past)"))
+    at = F.col("off") + F.octet_length("before")
+    end = F.when(F.col("role") == "code", at + F.octet_length(F.rtrim("piece"))).otherwise(F.col("end_off"))
+    last = F.struct(end.alias("off"), F.col("row_end").alias("row"))
+    rows = rows.withColumn("last", last)
+    separator = (F.col("role") == "semi") | ((F.col("role") == "code") & (F.col("piece") == ","))
+    rows = rows.withColumn("stop", F.when(separator, F.lag("last").over(order)))
+    rows = rows.select(
+        "*",
+        F.first("stop", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("until"),
+        F.max(F.when(F.col("role") != "semi", F.col("last"))).over(stmt).alias("rest"),
+    ).where((F.col("role") == "code") & (F.col("piece") == "=>"))
+
+    # A bracketed list: the lexeme up to the arrow is empty or a result type.
+    listed = (F.col("p_text") == ")") & (F.col("o_text") == "(") & F.col("before").rlike(r"^\s*(?::[^=]*)?$")
+    name = F.regexp_extract("before", r"((?:\basync\s+)?[\w$]+)\s*$", 1)
+    # In a type the list stands behind the colon of a declared name, in a type alias or in the body of a type.
+    ahead = F.when(listed, F.when(F.col("o_p_role") == "code", F.col("o_p_text")).otherwise("")).otherwise(F.expr("left(before, length(before) - length(regexp_extract(before, '((?:async +)?[a-zA-Z0-9_$]+) *$', 1)))"))
+    declared = ahead.rlike(r"\b(?:const|let|var)\s+[\w$]+[!]?\s*:[^=]*$")
+    member = (F.col("group") == "class") & ahead.rlike(r"^(?:(?:public|private|protected|static|readonly|declare|override|abstract)\s+)*[#\w$]+[?!]?\s*:[^=]*$")
+    parameter = (F.col("group") == "list") & ahead.rlike(r"(?:^|,)\s*(?:(?:public|private|protected|readonly|override)\s+)*(?:\.\.\.)?[\w$]+\??\s*:\s*$")
+    in_type = (F.col("group") == "type") | F.col("opening").rlike(r"^(?:(?:export|declare)\s+)*type\s+[\w$]+") | declared | member | parameter
+    block = (F.rtrim("text") == F.concat("before", "piece")) & (F.col("n_role") == "open") & (F.col("n_text") == "{")
+    body_end = F.when(block, F.struct(F.col("block_end").alias("off"), F.col("block_row").alias("row"))).otherwise(F.coalesce("until", "rest"))
+    lead = F.octet_length("before") - F.octet_length(F.regexp_extract("before", r"((?:\basync\s+)?[\w$]+\s*)$", 1))
+    return rows.where((listed | (name != "")) & ~F.coalesce(in_type, F.lit(False))).select(
+        "fid",
+        "language",
+        "level",
+        "sid",
+        F.lit("arrow_function").alias("kind"),
+        F.lit("").alias("name"),
+        F.when(listed, F.col("o_off")).otherwise(F.col("off") + lead).alias("off"),
+        body_end["off"].alias("end_off"),
+        F.when(listed, F.col("o_row")).otherwise(F.col("row")).alias("row"),
+        body_end["row"].alias("row_end"),
+        F.when(listed, F.col("o_col")).otherwise(F.col("col") + lead).alias("col"),
+        "stmt_off",
+        F.col("first_end").alias("prev_end"),
+        F.when(listed, F.col("o_doc_off")).otherwise(F.col("doc_off")).alias("doc_off"),
+        F.lit(False).alias("exported"),
+        F.when(listed, F.col("o_end_off")).alias("params_from"),
+        F.when(listed, F.col("c_off")).alias("params_to"),
+        F.lit(False).alias("is_async"),
+    )
+
+
+def functions(stm: DataFrame, blk: DataFrame, tok: DataFrame, files: DataFrame) -> DataFrame:
     """Functions with their text, the text before them and their parameter list."""
-    rows = _function_rows(stm, blk)
+    rows = _function_rows(stm, blk).unionByName(arrow_functions(tok))
     rows = rows.withColumn("n_lines", F.col("row_end") - F.col("row") + 1)
     slices = {"body": ("off", "end_off"), "attributes": ("stmt_off", "off"), "params_text": ("params_from", "params_to")}
     return with_slices(rows, files, slices)
@@ -441,6 +578,10 @@ def number_literals(tok: DataFrame) -> DataFrame:
 _CONTEXT_PIECE = r"=>|->|::|\?\.|\?\?|[=!<>]=+|[=,:]|[^=,:?!<>-]+|[\s\S]"
 _TS_DECLARES = r"^(?:(?:export|declare)\s+)*(?:const|let|var)\b"
 _TS_TARGET = r"(?:[\w$]+|\{\}|\[\])"
+_TS_FIELD = (
+    r"^(?:@[\w$.]+(?:\(\))?\s*)*(?:(?:public|private|protected|static|readonly|declare|override|abstract|accessor)\s+)*"
+    r"(?:#?[\w$]+|\[\]|\"\")\s*[?!]?$"
+)
 _TS_PARAM = rf"^(?:(?:public|private|protected|readonly|override)\s+)*(?:\.\.\.)?{_TS_TARGET}\s*\??$"
 
 
@@ -455,8 +596,9 @@ def context_spans(tok: DataFrame) -> DataFrame:
     piece = F.when(role == "code", F.regexp_extract_all("text", F.lit(_CONTEXT_PIECE), F.lit(0))).otherwise(
         F.array(F.when(role == "string", F.lit('""')).otherwise(text))
     )
-    rows = tok.where(lang.isin("rust", *TS)).select(
-        "fid", "language", "level", F.when(lang == "rust", 0).otherwise(F.col("sid")).alias("sid"), "tok", "role",
+    rust = tok.where(lang == "rust").withColumn("group", F.lit("other"))
+    rows = rust.unionByName(with_group(tok)).select(
+        "fid", "language", "group", "level", F.when(lang == "rust", 0).otherwise(F.col("sid")).alias("sid"), "tok", "role",
         "off", "end_off", "n_text", F.posexplode(piece).alias("i", "text"),
     )
     level = W.partitionBy("fid", "level").orderBy("tok", "i")
@@ -466,7 +608,7 @@ def context_spans(tok: DataFrame) -> DataFrame:
     before = W.partitionBy("fid", "level", "tok").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("off") + F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int")
     rows = rows.select(
-        "fid", "language", "level", "sid", "tok", "i", "role", "text",
+        "fid", "language", "group", "level", "sid", "tok", "i", "role", "text",
         F.coalesce(F.sum(cut).over(level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part"),
         F.first(F.when(role == "end", text), ignorenulls=True).over(level.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("closer"),
         F.first("text").over(W.partitionBy("fid", "level", "sid").orderBy("tok", "i")).alias("opening"),
@@ -484,6 +626,7 @@ def context_spans(tok: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("tok", "i", "role", "text", "off", "end_off"))).alias("pieces"),
             F.first("closer").alias("closer"),
             F.first("opening").alias("opening"),
+            F.first("group").alias("group"),
         )
         .withColumn("at", F.array_position(F.transform("pieces", lambda x: x["text"]), ":").cast("int"))
         .where(F.col("at") > 1)
@@ -495,9 +638,11 @@ def context_spans(tok: DataFrame) -> DataFrame:
         lead.rlike(rf"{_TS_DECLARES}\s*{_TS_TARGET}\s*!?$")
         | F.col("opening").rlike(_TS_DECLARES) & lead.rlike(r"^[\w$]+\s*!?$")
         | (F.col("closer") == ")") & lead.rlike(_TS_PARAM)
+        | F.col("group").isin("class", "type") & lead.rlike(_TS_FIELD)
     )
     body = F.exists("rest", lambda x: x["text"].isin("=>", "{"))
-    result = lead.rlike(r"\(\)$") & ~lead.contains("?") & ~lead.rlike(r"^case\b") & body
+    signature = F.col("group").isin("class", "type")
+    result = lead.rlike(r"\(\)$") & ~lead.contains("?") & ~lead.rlike(r"^case\b") & (body | signature)
     stops = F.filter("rest", lambda x: F.when(F.col("named"), x["text"] == "=").otherwise(x["text"].isin("=>", "{")))
     annotations = (
         parts.withColumn("named", F.coalesce(named, F.lit(False)))
