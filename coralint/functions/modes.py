@@ -151,9 +151,14 @@ def scan(text: str, language: str) -> list[str]:
                 continue
             flush()
             out.append("s" + m.group())
-        elif kind in "ku":
+        elif kind == "u":
+            # A quote that closes nothing.
+            flush()
+            out.append("k" + m.group())
+            value_before, wanted, word = False, False, ""
+        elif kind == "k":
             piece = m.group()
-            if kind == "k" and (piece[0] == "_" or piece[0].isalnum()):
+            if piece[0] == "_" or piece[0].isalnum():
                 known = _LAST_WORD.search(piece)
                 word = known.group() if known else piece
                 value_before, wanted = word not in _BEFORE_VALUE, word in _BEFORE_VALUE - {"do", "else", "default"}
@@ -197,7 +202,7 @@ def scan(text: str, language: str) -> list[str]:
                 value_before, wanted, word = len(strings) < depth, len(strings) >= depth, ""
                 continue
             out.append("x" + m.group())
-            value_before, wanted, word = brackets.pop() if brackets else True, False, ""
+            value_before, wanted, word = brackets.pop() if brackets else m.group() != "}", False, ""
         else:
             flush()
             out.append(";;")

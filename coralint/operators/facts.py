@@ -458,6 +458,11 @@ def calls(tok: DataFrame) -> DataFrame:
     """Calls: a name directly before a round bracket. ``off`` is where the whole chain starts."""
     tail = F.col("p_tail")
     name = F.regexp_extract(tail, r"([\w$]+)(?:::)?(?:<[^()]*>)?$", 1)
+    # A method with a result type, and a signature in the body of a type, are declared, not called.
+    typed = F.col("language").isin(TS) & F.col("plain") & F.col("n2_text").startswith(":") & (F.col("n3_text") == "{")
+    with_types = tok.where(F.col("language").isin(TS) & (F.col("role") == "code") & F.col("text").rlike(_TYPE_BODY)).select("fid").distinct()
+    signatures = with_group(tok.join(with_types, "fid", "left_semi")).where((F.col("group") == "type") & (F.col("role") == "open"))
+    tok = tok.join(signatures.select("fid", "tok"), ["fid", "tok"], "left_anti")
     return (
         tok.where((F.col("role") == "open") & (F.col("text") == "(") & (F.col("p_role") == "code") & (tail != ""))
         .withColumn("before", F.expr("left(p_text, length(p_text) - length(p_tail))"))
@@ -470,7 +475,7 @@ def calls(tok: DataFrame) -> DataFrame:
             & ~F.col("before").rlike(r"\b(?:def|function|fn|class|new)\s*\*?\s*$")
             & ~(F.col("plain") & F.col("before").rlike(r"[\w>]\s+$") & ~F.col("before").rlike(_VALUE_WORDS))
             & ~F.coalesce(
-                F.col("language").isin(BRACES) & F.col("plain") & (F.col("n2_role") == "open") & (F.col("n2_text") == "{"),
+                F.col("language").isin(BRACES) & F.col("plain") & (F.col("n2_role") == "open") & (F.col("n2_text") == "{") | typed,
                 F.lit(False),
             )
         )

@@ -154,6 +154,7 @@ def tokens(lex: DataFrame) -> DataFrame:
         *[F.lead(c).over(seq).alias(f"n_{c}") for c in ("role", "text")],
         F.lead("role", 2).over(seq).alias("n2_role"),
         F.lead("text", 2).over(seq).alias("n2_text"),
+        F.lead("text", 3).over(seq).alias("n3_text"),
         F.when(F.col("role") == "open", F.lead("end_off").over(seq)).alias("close_end"),
     )
     after_value = F.col("p_role").isin("code", "close", "string")

@@ -6,14 +6,17 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload.oracle import oracle
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["scan_ignore_inherited", "facts_lines", "facts_tokens_lossless", "top_files", "sort_ranked", "r14_secrets_documents", "stream_new_findings", "review_by_rule"]
+SAMPLE = ["scan_ignore_inherited", "facts_lines", "facts_tokens_lossless", "top_files", "sort_ranked", "r14_secrets_documents", "stream_new_findings", "review_by_rule", "facts_functions_all_kinds", "facts_calls_in_template", "facts_pattern_literals", "r10_contexts", "r02_braceless", "r18_in_template"]
 
 
 def test_registry_is_complete():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) >= 70
+    assert set(QUERIES) == set(oracle())
+    assert len(QUERIES) >= 84
+    assert set(QUERIES) <= set(entry.queries()) and set(oracle()) <= set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")

@@ -6,6 +6,7 @@ Nothing here reads generated source text or shares logic with the detectors.
 from __future__ import annotations
 
 from workload.corpus import KNOBS_SQL, line_sql, path_sql, total_lines_sql
+from workload.odd import ORACLE as ODD
 
 # Path layouts over a key ``k``; the expressions are valid in both SQL dialects.
 LAYOUTS = {
@@ -378,4 +379,4 @@ def oracle() -> dict[str, str]:
     ]
     parts.append(f"SELECT 'R01', severity FROM ({q['r01_catch_return']}) x")
     q["review_by_rule"] = f"SELECT rule_id, severity, count(*) AS n FROM ({' UNION ALL '.join(parts)}) u GROUP BY rule_id, severity"
-    return q
+    return {**q, **ODD}

@@ -26,7 +26,9 @@ from coralint.sources import corpus as S
 from coralint.sources.baseline import baseline_of
 from coralint.streaming.stream import findings_stream
 from workload import corpus as C
+from workload import odd
 from workload.oracle import LAYOUTS
+from workload.shared import shared_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,24 +40,9 @@ def query(fn: Query) -> Query:
     return fn
 
 
-_SHARED: dict[tuple, Facts] = {}
-
-
 def facts(spark: SparkSession, sf: str, snapshot: int = 1) -> Facts:
-    """Facts of the corpus, built once per session and table folder and then shared.
-
-    The detectors read the stored tables; facts of another folder are released first.
-    """
-    key = (spark.sparkContext.applicationId, sf, snapshot)
-    if key not in _SHARED:
-        for old in [k for k in _SHARED if k[:2] != key[:2]]:
-            dropped = _SHARED.pop(old)
-            if old[0] == key[0]:
-                dropped.release()
-        store = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
-        files, n = C.code_files(spark, sf, snapshot), C.corpus_partitions(spark, sf)
-        _SHARED[key] = Facts(files, clustered=True, store=store, partitions=n)
-    return _SHARED[key]
+    """Stored facts of the corpus; the detectors read its tables."""
+    return shared_facts(spark, sf, f"s{snapshot}", lambda: C.code_files(spark, sf, snapshot), C.corpus_partitions(spark, sf))
 
 
 def placed(hits: DataFrame, *extra: str) -> DataFrame:
@@ -608,3 +595,6 @@ def corpus_compare_snapshots(spark, sf):
 def review_by_rule(spark, sf):
     """All detectors over the corpus: findings per rule and severity."""
     return detect(facts(spark, sf)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+QUERIES.update(odd.QUERIES)
