@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coralint.llm.common import hash128, small_batches, stored
+from coralint.llm.common import give_back, hash128, small_batches, stored
 from coralint.llm.components import components
 
 SHINGLE = 5
@@ -191,6 +191,8 @@ def _sketch(batches):
             [batch.column(0), batch.column(1), batch.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(slots, pa.binary())],
             ["id", "k1", "k2", "bands", "slots"],
         )
+    del words, seen
+    give_back()
 
 
 def _bags(batches):
@@ -202,6 +204,8 @@ def _bags(batches):
              pa.array([b[1].astype("<u4").tobytes() for b in bags], pa.binary())],
             ["c", "items", "counts"],
         )
+    del words
+    give_back()
 
 
 def _verify(similarity: float):
@@ -250,16 +254,17 @@ def _inside(similarity: float):
 
     def run(table: pa.Table) -> pa.Table:
         c, band = np.array(table.column("c")), table.column("band")[0].as_py()
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         side, hub = np.array(table.column("side")), np.array(table.column("hub"))
         group = np.unique(np.array(table.column("component")), return_inverse=True)[1]
-        slots = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in table.column("slots")])
+        slots = np.stack([np.frombuffer(v.as_py(), np.uint8) for v in table.column("slots")])
         bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(c), -1)
         items, counts = table.column("items"), table.column("counts")
         bag = lambda i: (np.frombuffer(items[i].as_py(), np.uint64), np.frombuffer(counts[i].as_py(), "<u4").astype(np.int64))
-        one = side.min() == side.max()
-        right = np.flatnonzero((one | (side == side.max())) & ~hub)
+        one = x == y
+        right = np.flatnonzero((side == y) & ~hub)
         a, b = [], []
-        for i in np.flatnonzero((one | (side == side.min())) & ~hub):
+        for i in np.flatnonzero((side == x) & ~hub):
             others = right[group[right] != group[i]]
             others = others[c[others] > c[i]] if one else others
             others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
@@ -310,10 +315,24 @@ def _pairs_of(classes: DataFrame, docs_keyed: DataFrame, similarity: float) -> D
     groups = components(links)
     # Buckets in which members are still apart: pairs that do not hold the hub were never tested.
     placed = _labelled(shared.filter("n > 2"), groups, "c", "component")
-    apart = placed.filter("c <> hub").groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
-    open_ = placed.join(apart.select("band", "h", F.ceil(F.col("m") / F.lit(PER_CHUNK)).cast("int").alias("chunks")), ["band", "h"])
-    open_ = open_.withColumn("side", F.pmod(F.xxhash64(F.lit(1), "c"), F.col("chunks")).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    parts = placed.filter("c <> hub").groupBy("band", "h", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("sum"))
+    apart = (
+        parts.groupBy("band", "h")
+        .agg(F.max(F.struct("m", "component")).alias("largest"), F.sum("m").alias("m"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("parts"))
+        .filter("parts > 1")
+    )
+    # Buckets with the same members are treated once, in their first band.
+    apart = apart.groupBy("m", "sum").agg(F.min(F.struct("band", "h", "largest")).alias("of")).select("m", "of.*")
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(PER_CHUNK))).cast("int")
+    apart = apart.select(
+        "band", "h", F.col("largest.component").alias("largest"), chunks(F.col("largest.m")).alias("first"), chunks(F.col("m") - F.col("largest.m")).alias("others")
+    )
+    # No two members of the largest component are compared, so each of its chunks meets the others' chunks only.
+    open_ = placed.join(apart, ["band", "h"]).withColumn("in_largest", F.col("component") == F.col("largest"))
+    at = F.xxhash64(F.lit(1), "c")
+    open_ = open_.withColumn("side", F.when(F.col("in_largest"), F.pmod(at, F.col("first"))).otherwise(F.col("first") + F.pmod(at, F.col("others"))).cast("int"))
+    meets = F.sequence(F.when(F.col("in_largest"), F.col("first")).otherwise(0), F.col("first") + F.col("others") - 1)
+    dealt = open_.withColumn("other", F.explode(meets))
     dealt = dealt.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
     dealt = dealt.join(classes.select("c", "slots", "bands"), "c").join(bags, "c")
     inside = (
