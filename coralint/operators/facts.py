@@ -256,27 +256,27 @@ def bare_controls(stm: DataFrame) -> DataFrame:
     )
 
 
-def with_group(tok: DataFrame) -> DataFrame:
-    """Script tokens with ``group``, what the bracket around them opens: ``class``, ``type``, ``list`` or ``other``.
+def with_group(rows: DataFrame, tok: DataFrame) -> DataFrame:
+    """Rows ``(fid, level, tok, ..)`` of scripts with ``group``, what the bracket around them opens.
 
-    Each opening bracket also appears as a mark on the level inside, in front of its content; the
-    last mark seen on a level is the bracket around.
+    ``group`` is ``class``, ``type``, ``list`` or ``other``. Each opening bracket is a mark on the level
+    inside, in front of its content; the last mark seen on a level is the bracket around.
     """
     stmt = W.partitionBy("fid", "level", "sid").orderBy("tok")
-    opening, before = F.first("text").over(stmt), F.col("p_text")
-    body = F.col("text") == "{"
+    narrow = tok.where(F.col("language").isin(TS)).select("fid", "level", "sid", "tok", "role", "text", "p_text")
+    opened = narrow.withColumn("opening", F.first("text").over(stmt)).where(F.col("role") == "open")
+    opening, before, body = F.col("opening"), F.col("p_text"), F.col("text") == "{"
     kind = (
         F.when(body & F.coalesce(before.rlike(_CLASS_BODY) | opening.rlike(rf"^(?:(?:export|default|declare|abstract)\s+)*{_CLASS_BODY}"), F.lit(False)), "class")
         .when(body & F.coalesce(before.rlike(_TYPE_BODY) | opening.rlike(rf"^(?:(?:export|default|declare)\s+)*{_TYPE_BODY}"), F.lit(False)), "type")
         .when(F.col("text") == "(", "list")
         .otherwise("other")
     )
-    rows = tok.where(F.col("language").isin(TS)).select("*", F.when(F.col("role") == "open", kind).alias("opens"))
-    inside = F.when(F.col("role") == "open", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = rows.select("*", F.explode(inside).alias("mark")).withColumn("at_level", F.col("level") + F.col("mark"))
-    upto = W.partitionBy("fid", "at_level").orderBy("tok", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = F.last(F.when(F.col("mark") == 1, F.col("opens")), ignorenulls=True).over(upto)
-    return rows.withColumn("group", F.coalesce(found, F.lit("other"))).where(F.col("mark") == 0).drop("mark", "at_level", "opens")
+    packed = rows.select("fid", "level", "tok", F.lit(None).cast("string").alias("opens"), F.struct(*rows.columns).alias("r"))
+    marks = opened.select("fid", (F.col("level") + 1).alias("level"), "tok", kind.alias("opens"), F.lit(None).cast(packed.schema["r"].dataType).alias("r"))
+    upto = W.partitionBy("fid", "level").orderBy("tok").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = packed.unionByName(marks).withColumn("group", F.coalesce(F.last("opens", ignorenulls=True).over(upto), F.lit("other")))
+    return found.where(F.col("r").isNotNull()).select("r.*", "group")
 
 
 _ARROW_PIECE = r"=>|,|[^=,]+|[\s\S]"
@@ -290,19 +290,21 @@ def arrow_functions(tok: DataFrame) -> DataFrame:
     statement, found by looking ahead to the next separator.
     """
     stmt = W.partitionBy("fid", "level", "sid")
-    seq = W.partitionBy("fid", "level").orderBy("tok")
-    rows = with_group(tok).select(
+    seq = stmt.orderBy("tok")
+    needed = "fid language level sid tok role text off end_off row row_end col doc_off prev_end close_end p_role p_text n_role n_text".split()
+    rows = tok.where(F.col("language").isin(TS) & (F.col("role") != "end")).select(*needed)
+    # All that an arrow needs stands in its own statement; the others leave here.
+    rows = rows.withColumn("has_arrow", F.max(F.when((F.col("role") == "code") & F.col("text").contains("=>"), 1)).over(stmt))
+    rows = rows.where(F.col("has_arrow") == 1).select(
         "*",
         *[F.lag(c, 2).over(seq).alias(f"o_{c}") for c in ("text", "off", "end_off", "row", "col", "doc_off", "p_text", "p_role")],
         F.lag("off").over(seq).alias("c_off"),
-        F.max(F.when((F.col("role") == "code") & F.col("text").contains("=>"), 1)).over(stmt).alias("has_arrow"),
-        F.first("off").over(stmt.orderBy("tok")).alias("stmt_off"),
-        F.first("prev_end").over(stmt.orderBy("tok")).alias("first_end"),
-        F.first("text").over(stmt.orderBy("tok")).alias("opening"),
+        F.first("off").over(seq).alias("stmt_off"),
+        F.first("prev_end").over(seq).alias("first_end"),
+        F.first("text").over(seq).alias("opening"),
         F.lead("close_end").over(seq).alias("block_end"),
         F.lead("row_end", 2).over(seq).alias("block_row"),
     )
-    rows = rows.where((F.col("has_arrow") == 1) & (F.col("role") != "end"))
     cut = F.when(F.col("role") == "code", F.regexp_extract_all("text", F.lit(_ARROW_PIECE), F.lit(0))).otherwise(F.array("text"))
     rows = rows.select("*", F.posexplode(cut).alias("i", "piece"))
     order = stmt.orderBy("tok", "i")
@@ -320,6 +322,7 @@ def arrow_functions(tok: DataFrame) -> DataFrame:
         F.first("stop", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("until"),
         F.max(F.when(F.col("role") != "semi", F.col("last"))).over(stmt).alias("rest"),
     ).where((F.col("role") == "code") & (F.col("piece") == "=>"))
+    rows = with_group(rows, tok)
 
     # A bracketed list: the lexeme up to the arrow is empty or a result type.
     listed = (F.col("p_text") == ")") & (F.col("o_text") == "(") & F.col("before").rlike(r"^\s*(?::[^=]*)?$")
@@ -461,7 +464,9 @@ def calls(tok: DataFrame) -> DataFrame:
     # A method with a result type, and a signature in the body of a type, are declared, not called.
     typed = F.col("language").isin(TS) & F.col("plain") & F.col("n2_text").startswith(":") & (F.col("n3_text") == "{")
     with_types = tok.where(F.col("language").isin(TS) & (F.col("role") == "code") & F.col("text").rlike(_TYPE_BODY)).select("fid").distinct()
-    signatures = with_group(tok.join(with_types, "fid", "left_semi")).where((F.col("group") == "type") & (F.col("role") == "open"))
+    typed_files = tok.join(with_types, "fid", "left_semi")
+    opens = typed_files.where((F.col("role") == "open") & (F.col("text") == "(")).select("fid", "level", "tok")
+    signatures = with_group(opens, typed_files).where(F.col("group") == "type")
     tok = tok.join(signatures.select("fid", "tok"), ["fid", "tok"], "left_anti")
     return (
         tok.where((F.col("role") == "open") & (F.col("text") == "(") & (F.col("p_role") == "code") & (tail != ""))
@@ -602,7 +607,7 @@ def context_spans(tok: DataFrame) -> DataFrame:
         F.array(F.when(role == "string", F.lit('""')).otherwise(text))
     )
     rust = tok.where(lang == "rust").withColumn("group", F.lit("other"))
-    rows = rust.unionByName(with_group(tok)).select(
+    rows = rust.unionByName(with_group(tok.where(lang.isin(TS)), tok)).select(
         "fid", "language", "group", "level", F.when(lang == "rust", 0).otherwise(F.col("sid")).alias("sid"), "tok", "role",
         "off", "end_off", "n_text", F.posexplode(piece).alias("i", "text"),
     )
