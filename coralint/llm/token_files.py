@@ -40,7 +40,8 @@ FILE_BYTES = 16 << 20
 WORDS = 1_000_000
 _SAFE_BLANK = re.compile(r"[ \n]")
 # The words of the tokenizer's own pattern, once a text is in lower case ..
-_WORD = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
+_LETTERS = re.escape("".join(c for c in map(chr, range(0x2B0)) if re.fullmatch(r"[^\W\d_]", c)))
+_WORD = re.compile(rf"[{_LETTERS}]++|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)++")
 # .. except in texts that hold a special token, letters that may need composing or have no single lower
 # case, numbers that Python takes for letters, or blanks that only Python takes for white space.
 _SPECIAL = re.compile("<\\||[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0130\u02b0-\U0010ffff]")
@@ -167,7 +168,7 @@ class _Words:
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        ids = np.array(self.plain.encode(" ".join(words), add_special_tokens=False).ids, self.width)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
             self.known.update((w, self.alone(w)) for w in words)
@@ -266,7 +267,10 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | Non
     total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     n_ids = int(total) // np.dtype(width).itemsize
     files = max(1, -(-n_ids * 8 // 5 // FILE_BYTES))  # some 1.6 bytes an id
-    ordered = tokens.repartitionByRange(files, F.col("key").asc_nulls_first(), "ids").sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
+    # Range bounds come from a sample of their columns at the driver, so a few bytes stand for the ids there;
+    # they order rows of one key as the ids do, and rows that agree in them share a partition.
+    key = F.col("key").asc_nulls_first()
+    ordered = tokens.repartitionByRange(files, key, F.substring("ids", 1, 16)).sortWithinPartitions(key, "ids")
     # The text writer puts out a string's bytes as they are.
     ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string")).write.option("lineSep", "\n").text(f"{folder}/ids")
 
@@ -307,8 +311,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 if keys:
                     yield flush()
 
-    # A file is one value here, so batches hold one file each.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    # A file is one value here; batches are bounded in bytes.
     files = spark.read.format("binaryFile").load(f"{folder}/ids/part-*").select("path", "content")
     rows = files.mapInArrow(documents, "file string, key long, ids binary, n_tokens long, at long")
 
@@ -318,8 +321,9 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64())], ["file", "total"])
 
     totals = files.mapInArrow(heads, "file string, total long")
-    # Part numbers rise with the id range; one row per file.
-    before = F.coalesce(F.sum("total").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # Part numbers rise with the id range, in name order only up to 99,999; one row per file.
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    before = F.coalesce(F.sum("total").over(W.orderBy(number, "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     begins = stored(totals.select(F.col("file").alias("f"), before.alias("begin")), "file-starts")
     return rows.join(begins, F.col("file") == F.col("f")).select("key", "ids", "n_tokens", (F.col("begin") + F.col("at")).alias("start"))
 

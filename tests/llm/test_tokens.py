@@ -73,3 +73,22 @@ def test_empty_tables(spark, tmp_path):
     assert byte_bpe.decode(byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
     token_files.write_files(df, WORDS, str(tmp_path / "none"), end_id=2)
     assert token_files.read_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_files_are_ordered_by_number(spark, tmp_path):
+    from pyspark.sql import Row
+
+    docs = spark.createDataFrame([Row(doc_id=1, text="one two"), Row(doc_id=2, text="three")])
+    folder = str(tmp_path / "t")
+    token_files.write_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
+    parts = sorted((tmp_path / "t" / "ids").glob("part-*"))
+    content = b"".join(p.read_bytes() for p in parts)
+    for p in parts:
+        p.unlink()
+    other = str(tmp_path / "u")
+    token_files.write_files(docs.withColumn("doc_id", docs.doc_id - 10), public_tokenizers.path("word_bpe_49k.json"), other, end_id=2)
+    (tmp_path / "t" / "ids" / "part-100000-x").write_bytes(content)
+    first = b"".join(p.read_bytes() for p in sorted((tmp_path / "u" / "ids").glob("part-*")))
+    (tmp_path / "t" / "ids" / "part-99999-x").write_bytes(first)
+    got = sorted((r.start, r.key) for r in token_files.read_files(spark, folder).collect())
+    assert [k for _, k in got] == [-9, -8, 1, 2] and got[0][0] == 0
