@@ -37,9 +37,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coralint.llm.common import shared_folder, small_batches
+from coralint.llm.common import give_back, shared_folder, small_batches
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
+# Spans whose numbers are remembered, and ids or words that are worked on at once.
+SPANS, SLICE = 30_000, 1 << 17
 # A single blank between two characters that are no white space always ends a pre-token.
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _ODD_BLANK = re.compile(r" \s|\s ")
@@ -105,6 +107,11 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return out
 
 
+def pack_in_slices(values, n: int) -> bytes:
+    """``pack_numbers`` of n values, ``values(a, b)`` giving a slice of them."""
+    return b"".join(pack_numbers(values(a, min(n, a + SLICE)))[0] for a in range(0, n, SLICE))
+
+
 def _pack(*parts: bytes) -> bytes:
     head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
     return zlib.compress(head + b"".join(parts), 1)
@@ -152,9 +159,9 @@ def _block_rows(block: int, sequences: list[array], numbers: _Numbers, slots: in
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
     flat = np.frombuffer(b"".join(s.tobytes() for s in sequences), np.uint32)
     order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    text = _pack(pack_numbers(lengths)[0], pack_numbers(rank[flat])[0])
+    text = _pack(pack_numbers(lengths)[0], pack_in_slices(lambda a, b: rank[flat[a:b]], len(flat)))
 
     words = [w.encode() for w in numbers]
     slot = np.fromiter((zlib.crc32(w) % slots for w in words), np.int64, len(words))
@@ -165,7 +172,7 @@ def _block_rows(block: int, sequences: list[array], numbers: _Numbers, slots: in
         mine = by_slot[bounds[s] : bounds[s + 1]]
         if len(mine):
             own = [words[i] for i in mine]
-            steps = np.diff(rank[mine], prepend=0)
+            steps = np.diff(rank[mine].astype(np.int64), prepend=0)
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             lists.append((block, s, _pack(pack_numbers(steps)[0], pack_numbers(sizes)[0], b"".join(own))))
     return text, lists
@@ -193,6 +200,8 @@ def _cut(schema: pa.Schema, pattern: str, slots: int, block_chars: int):
                 ids.append(key)
                 sequences.append(text_numbers(text, spans))
                 chars += len(text)
+                if len(spans) > SPANS:
+                    spans.clear()
                 if chars >= block_chars:
                     yield from flush()
                     numbers = _Numbers()
@@ -200,6 +209,8 @@ def _cut(schema: pa.Schema, pattern: str, slots: int, block_chars: int):
                     ids, sequences, chars, nth = [], [], 0, nth + 1
         if ids:
             yield from flush()
+        del numbers, spans, sequences
+        give_back()
 
     return run
 
@@ -228,6 +239,8 @@ def _encode_words(path: str):
                 flat = np.frombuffer(b"".join(found), "<u4")
                 out.append(_pack(steps, pack_numbers(counts)[0], pack_numbers(flat)[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "data"])
+        known.clear()
+        give_back()
 
     return run
 
@@ -236,22 +249,29 @@ def _resolve(id_type: pa.DataType, id_col: str):
     """Sequences of word numbers to token ids, for the documents of one block."""
 
     def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        parts = [tuple(map(unpack_numbers, _unpack(x.as_py()))) for x in lists.column("data")]
-        n = sum(len(p[0]) for p in parts)
-        start, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        flat = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
-        flat, done = flat.astype("<u4"), 0
-        for steps, counts, ids in parts:
-            rank = np.cumsum(steps)
+        parts = [_unpack(x.as_py()) for x in lists.column("data")]
+        ranks = [np.cumsum(unpack_numbers(p[0])) for p in parts]
+        n = sum(map(len, ranks))
+        start, count, done, flat = np.zeros(n, np.int64), np.zeros(n, np.int32), 0, []
+        for rank, (_, counts, words) in zip(ranks, parts):
+            counts, words = unpack_numbers(counts), unpack_numbers(words).astype("<u4")
             count[rank] = counts
             start[rank] = done + np.cumsum(counts) - counts
-            done += len(ids)
+            done += len(words)
+            flat.append(words)
+        flat = np.concatenate(flat) if flat else np.empty(0, "<u4")
         lengths, number = (unpack_numbers(x) for x in _unpack(texts.column("data")[0].as_py()))
+        number = number.astype(np.uint32)
         each = count[number]
-        shift = np.repeat(start[number] - (np.cumsum(each) - each), each)
-        shift += np.arange(len(shift))
-        ids = flat[shift]
-        ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(lengths)))]
+        ids = np.empty(int(each.sum(dtype=np.int64)), "<u4")
+        at = 0
+        for a in range(0, len(number), SLICE):
+            size = each[a : a + SLICE].astype(np.int64)
+            place = np.repeat(start[number[a : a + SLICE]] - (np.cumsum(size) - size), size)
+            place += np.arange(len(place))
+            ids[at : at + len(place)] = flat[place]
+            at += len(place)
+        ends = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))[np.concatenate(([0], np.cumsum(lengths)))]
         keys = texts.column("ids").combine_chunks().flatten()
         return pa.table([keys.cast(id_type), _binary(ids.tobytes(), 4 * ends), pa.array(np.diff(ends))], [id_col, "ids", "n_tokens"])
 

@@ -47,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): ids as little-endian unsigned 32-bit integers."""
-    encoded = byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
+    # Written in between, so that a task runs one Python worker at a time.
+    encoded = stored(byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), "stage-ids")
     return byte_bpe.decode(encoded, VOCABULARY).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
