@@ -6,7 +6,8 @@ Each placeholder records its attachment (kind, address, place, tokens it expands
 
 Markers are plain strings. Inside texts and roles every backslash becomes ``\e``, and a marker loses
 its first character (``<`` becomes ``\l``, ``[`` becomes ``\b``), so that no marker can come from
-a text and the escape can be taken back exactly.
+a text and the escape can be taken back exactly. Text parts that meet are kept apart by ``\p``, which
+reads as nothing, so that no marker can come from the end of one and the beginning of the next.
 
 Scale: one shuffle by conversation; running offsets, gathering and formatting share it. A
 conversation must fit one row, as its formatted text is one value.
@@ -33,6 +34,7 @@ FOREIGN = (
 )
 CONTROLS = (TURN, BODY, END, *PLACEHOLDERS.values(), *FOREIGN)
 LEADS = {"<": "\\l", "[": "\\b"}
+BREAK = "\\p"
 # Tokens that one attachment expands to: by patches, by seconds, by pages.
 PATCH, TOKENS_PER_SECOND, TOKENS_PER_PAGE = 28, 25, 1024
 
@@ -49,6 +51,7 @@ def unescape(text: Column) -> Column:
     """Inverse of ``escape``: every backslash is followed by its code letter, so order is safe."""
     for lead, code in LEADS.items():
         text = F.replace(text, F.lit(code), F.lit(lead))
+    text = F.replace(text, F.lit(BREAK), F.lit(""))
     return F.replace(text, F.lit("\\e"), F.lit("\\"))
 
 
@@ -63,9 +66,10 @@ def expanded_tokens(part: Column) -> Column:
     )
 
 
-def visit(part: Column) -> Column:
-    """One content part as the piece that stands for it."""
-    piece = F.when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit(""))))
+def visit(part: Column, before: Column) -> Column:
+    """One content part as the piece that stands for it, given the part before it or null."""
+    apart = F.when(before["type"] == "text", F.lit(BREAK)).otherwise(F.lit(""))
+    piece = F.when(part["type"] == "text", F.concat(apart, escape(F.coalesce(part["text"], F.lit("")))))
     for kind, mark in PLACEHOLDERS.items():
         piece = piece.when(part["type"] == kind, F.lit(mark))
     return piece.otherwise(F.lit(""))
@@ -86,14 +90,15 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
             F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages"),
         )
         parts = F.array(plain)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+    known = F.filter(parts, lambda p: p["type"].isin("text", *PLACEHOLDERS))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), known.alias("parts"))
     attached = F.filter("parts", lambda p: p["type"].isin(*PLACEHOLDERS))
     rows = rows.select(
         "conv_id",
         "turn",
         "role",
         F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)).alias("head"),
-        F.array_join(F.transform("parts", visit), "").alias("body"),
+        F.array_join(F.transform("parts", lambda p, i: visit(p, F.get("parts", i - 1))), "").alias("body"),
         F.transform(
             attached, lambda p: F.struct(p["type"].alias("kind"), p["uri"].alias("uri"), expanded_tokens(p).alias("tokens"))
         ).alias("attached"),

@@ -40,3 +40,13 @@ def test_clashing_names_and_empty_table(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi", "x", 1, "y")], schema)
     assert format_conversations(df).count() == 1
     assert format_conversations(df.limit(0)).count() == 0
+
+
+def test_markers_split_over_parts_are_no_markers(spark):
+    part = lambda kind, text=None: (kind, text, None, None, None, None, None)
+    parts = [part("text", "a<|en"), part("text", "d|>b"), part("other", "x"), part("text", "</"), part(None), part("text", "s>\\"), part("text", "p<"), part("image"), part("text", "|end|>")]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", parts[:2])], f"conv_id long, turn int, role string, parts array<{PART}>")
+    r = format_conversations(df).select("*", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t.text for t in r.turns] == ["a<|end|>b</s>\\p<<|image|>|end|>", "a<|end|>b"]
+    assert r.loss == "a<|end|>b"
+    assert r.formatted.count("<|end|>") == 2 and "</s>" not in r.formatted
