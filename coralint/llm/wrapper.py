@@ -19,8 +19,10 @@ splits a hot host. No group of pages is ever gathered.
 
 Defined results: null, empty and markup-only html gives an empty text; a null url is the host "";
 a slot on few pages has no constant text; copies of one page count once, as pages are told apart by
-their title and texts; repeated rows are extracted each; an empty table
-gives an empty table.
+their title and texts; repeated rows are extracted each; of trees equally common on a host the
+largest by text is the reference; other columns are not read, whatever their names; an empty table
+gives an empty table. Parsing takes time linear in the page for tags and quotes that never close,
+and children of one parent beyond some sixty on either side are aligned piece by piece between those of equal kind.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import xxhash
@@ -38,6 +41,8 @@ from coralint.llm.common import small_batches, stored
 
 # Text on at least this share of the differing pages that have its slot is template, from MIN_PAGES such pages on.
 CONSTANT, MIN_PAGES = 0.9, 5
+# Child lists whose lengths' product is beyond FULL are matched in pieces, runs of RUN at most.
+FULL, RUN = 4096, 32
 # A host's verdict on a slot goes to this many parts of its trees.
 SALTS = 16
 # Wrappers of all hosts up to this many bytes are broadcast; beyond, pages are shuffled to them.
@@ -76,12 +81,44 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, set()),
 }
 
-_TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?""", re.S)
+_TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/><]*)|<[!?/][^>]*>?""", re.S)
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[^a-zA-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+class _Ends:
+    """Where a tag ends: at the first > outside quotes.
+
+    A stop sign from which no end is found is remembered, so that unclosed tags cost linear time.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.failed = text, set()
+        self.free = (0, -1)  # no stop sign between these places
+
+    def stop(self, at: int) -> int:
+        m = _STOP.search(self.text, at)
+        return m.start() if m else len(self.text)
+
+    def find(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at ``at``, or -1."""
+        if not self.free[0] <= at <= self.free[1]:
+            self.free = (at, self.stop(at))
+        s, seen = self.free[1], []
+        while s < len(self.text) and s not in self.failed:
+            if self.text[s] == ">":
+                return s
+            seen.append(s)
+            close = self.text.find(self.text[s], s + 1)
+            if close < 0:
+                break
+            s = self.stop(close + 1)
+        self.failed.update(seen)
+        return -1
+
+
 class _Page:
     """One pass over the tokens: the tree of kinds and the text blocks in page order."""
 
@@ -91,6 +128,7 @@ class _Page:
         self.blocks: list[tuple[int, str, int, int]] = []  # (node, text, characters in links, flags)
         self.title = ""
         self.stack: list[tuple[str, int, bool, int, bool]] = []  # (tag, node, skipped, boiler, main)
+        self.open: dict[str, int] = {}  # tags on the stack
         self.text: list[str] = []
         self.linked = self.links = 0
 
@@ -126,9 +164,12 @@ class _Page:
         self.flush()
         for tag, *_ in self.stack[at:]:
             self.links -= tag == "a"
+            self.open[tag] -= 1
         del self.stack[at:]
 
     def close_open(self, tags: set, stop: set):
+        if not any(self.open.get(t) for t in tags):
+            return None
         for at in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[at][0]
             if tag in tags:
@@ -169,16 +210,20 @@ class _Page:
                 boiler = (boiler | LISTED if words & LISTED_WORDS else boiler) + DEPTH
         skipped = skipped or tag in SKIPPED or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         self.links += tag == "a"
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.stack.append((tag, node, skipped, boiler, main))
 
     def end(self, tag: str):
         if tag == "br":
             return self.write(" ")
+        if not self.open.get(tag):
+            return None
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 if tag in BLOCK or tag in SKIPPED or any(t in BLOCK for t, *_ in self.stack[at:]):
                     return self.pop_to(at)
                 self.links -= tag == "a"  # inline: only this element ends
+                self.open[tag] -= 1
                 inner = self.stack[at + 1 :]
                 del self.stack[at:]
                 self.stack.extend(inner)
@@ -186,7 +231,7 @@ class _Page:
         return None
 
     def read(self, text: str) -> _Page:
-        at, n = 0, len(text)
+        at, n, ends = 0, len(text), _Ends(text)
         while at < n:
             m = _TOKEN.search(text, at)
             if not m:
@@ -196,6 +241,14 @@ class _Page:
             at = m.end()
             if not m[2]:
                 continue
+            end = ends.find(at)
+            if end < 0:  # never closed: an end tag runs to the next >, a start tag is text
+                if m[1]:
+                    at = text.find(">", at) + 1 or n
+                else:
+                    self.write(m[0])
+                continue
+            raw, at = text[at:end], end + 1
             tag = m[2].lower()
             if m[1]:
                 self.end(tag)
@@ -207,8 +260,8 @@ class _Page:
                 if tag == "title" and not self.title:
                     self.title = " ".join(entities.unescape(body).split())
                 continue
-            self.start(tag, m[3])
-            if m[3].endswith("/") and tag not in BLOCK and tag not in VOID:
+            self.start(tag, raw)
+            if raw.endswith("/") and tag not in BLOCK and tag not in VOID:
                 self.end(tag)
         self.flush()
         return self
@@ -228,7 +281,7 @@ def _children(nodes) -> list[list[int]]:
     return out
 
 
-def _pairs(a, b, mine, theirs, score):
+def _pairs(mine, theirs, score):
     """Heaviest order-preserving matching of two child lists: (weight, matched pairs)."""
     rows = [[0.0] * (len(theirs) + 1) for _ in range(len(mine) + 1)]
     for i, x in enumerate(mine):
@@ -246,6 +299,43 @@ def _pairs(a, b, mine, theirs, score):
     return rows[-1][-1], out
 
 
+def _rising(places):
+    """The longest subsequence of (i, j) pairs, ordered by i, whose j rise."""
+    tails, ends, back = [], [], []
+    for n, (_, j) in enumerate(places):
+        at = bisect_left(tails, j)
+        tails[at : at + 1], ends[at : at + 1] = [j], [n]
+        back.append(ends[at - 1] if at else -1)
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(places[n])
+        n = back[n]
+    return out[::-1]
+
+
+def _parts(tree, reference, mine, theirs):
+    """Pieces of two child lists, in order, that are matched each within itself.
+
+    Lists of ordinary length are one piece. Long ones are cut at children of equal kind, and what
+    stands between two cuts into runs of RUN, so that the work grows with the lists, not their product.
+    """
+    if not mine or not theirs:
+        return []
+    if len(mine) * len(theirs) <= FULL:
+        return [(mine, theirs)]
+    place = {reference[y][1]: j for j, y in enumerate(theirs)}
+    common = [(i, place[tree[x][1]]) for i, x in enumerate(mine) if tree[x][1] in place]
+    out, a, b = [], 0, 0
+    for i, j in [*_rising(common), (len(mine), len(theirs))]:
+        rows, cols = mine[a:i], theirs[b:j]
+        runs = -(-max(len(rows), len(cols)) // RUN)
+        cut = lambda part, n: part[len(part) * n // runs : len(part) * (n + 1) // runs]  # noqa: B023, E731
+        out.extend((cut(rows, n), cut(cols, n)) for n in range(runs))
+        out.append((mine[i : i + 1], theirs[j : j + 1]))
+        a, b = i + 1, j + 1
+    return out
+
+
 def align(tree, reference) -> list[int]:
     """For each node of ``tree`` the matched node of ``reference``, or -1.
 
@@ -255,16 +345,18 @@ def align(tree, reference) -> list[int]:
     if tree == reference:
         return list(range(len(tree)))
     kids, others = _children(tree), _children(reference)
-    tag = lambda kind: kind.partition(".")[0]
-    todo, seen = [(-1, -1)], []
+    tags, known = ([kind.partition(".")[0] for _, kind in t] for t in (tree, reference))
+    todo, parts = [(-1, -1)], {}
     for x, y in todo:
-        seen.append((x, y))
-        todo.extend((i, j) for i in kids[x] for j in others[y] if tag(tree[i][1]) == tag(reference[j][1]))
+        parts[x, y] = _parts(tree, reference, kids[x], others[y])
+        todo.extend((i, j) for rows, cols in parts[x, y] for i in rows for j in cols if tags[i] == known[j])
     score: dict[tuple[int, int], float] = {}
     chosen = {}
-    for x, y in reversed(seen):
-        below, chosen[x, y] = _pairs(tree, reference, kids[x], others[y], score)
-        score[x, y] = below + (0 if x < 0 else 2.0 if tree[x][1] == reference[y][1] else 0.5)
+    for x, y in reversed(todo):
+        matched = [_pairs(rows, cols, score) for rows, cols in parts[x, y]]
+        chosen[x, y] = [pair for _, pairs in matched for pair in pairs]
+        own = 0 if x < 0 else 2.0 if tree[x][1] == reference[y][1] else 0.5
+        score[x, y] = own + sum(weight for weight, _ in matched)
     out, open_ = [-1] * len(tree), [(-1, -1)]
     for pair in open_:
         for i, j in chosen[pair]:
@@ -274,9 +366,10 @@ def align(tree, reference) -> list[int]:
 
 
 def _paths(nodes) -> list[str]:
+    """A hash of each node's path; paths themselves would be as long as the tree is deep."""
     out: list[str] = []
     for parent, kind in nodes:
-        out.append(f"{out[parent]}/{kind}" if parent >= 0 else kind)
+        out.append(xxhash.xxh3_128_hexdigest(f"{out[parent] if parent >= 0 else ''}/{kind}"))
     return out
 
 

@@ -1,3 +1,7 @@
+import random
+import time
+from functools import lru_cache
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +132,84 @@ def test_tree_matching_prefers_equal_classes():
 
 def test_empty_table(spark):
     assert text_of(spark, []) == {}
+
+
+def _random_tree(rng, n, kinds):
+    nodes, seen = [], set()
+    for _ in range(n):
+        node = (rng.randrange(-1, len(nodes)) if nodes else -1, rng.choice(kinds))
+        if node not in seen:
+            seen.add(node)
+            nodes.append(node)
+    return nodes
+
+
+def _heaviest(a, b):
+    """Simple tree matching by its recursive definition."""
+    kids = lambda t, x: [i for i, (p, _) in enumerate(t) if p == x]
+
+    @lru_cache(None)
+    def weight(x, y):
+        mine, theirs = kids(a, x), kids(b, y)
+
+        @lru_cache(None)
+        def best(i, j):
+            if i == len(mine) or j == len(theirs):
+                return 0.0
+            out = max(best(i + 1, j), best(i, j + 1))
+            p, q = a[mine[i]][1], b[theirs[j]][1]
+            if p.partition(".")[0] == q.partition(".")[0]:
+                out = max(out, (2.0 if p == q else 0.5) + weight(mine[i], theirs[j]) + best(i + 1, j + 1))
+            return out
+
+        return best(0, 0)
+
+    return weight(-1, -1)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_alignment_is_a_heaviest_matching(seed):
+    rng = random.Random(seed)
+    kinds = ["div", "div.a", "div.b", "p", "p.x", "ul", "li"]
+    a, b = _random_tree(rng, rng.randrange(1, 25), kinds), _random_tree(rng, rng.randrange(1, 25), kinds)
+    out = align(a, b)
+    got = sum(2.0 if a[i][1] == b[j][1] else 0.5 for i, j in enumerate(out) if j >= 0)
+    assert got == _heaviest(a, b)
+    for i, j in enumerate(out):  # parents of matched nodes are matched, tags agree, order is kept
+        if j >= 0:
+            up, there = a[i][0], b[j][0]
+            assert (out[up] if up >= 0 else -1) == there
+            assert a[i][1].partition(".")[0] == b[j][1].partition(".")[0]
+            assert all(out[h] < j for h in range(i) if a[h][0] == up and out[h] >= 0)
+
+
+def test_long_child_lists_keep_equal_kinds_and_order():
+    a = [(-1, "body"), *((0, f"p.k{i}") for i in range(900))]
+    b = [(-1, "body"), *((0, f"p.k{i}") for i in range(0, 1800, 2)), *((0, f"p.z{i}") for i in range(50))]
+    out = align(a, b)
+    assert all(b[out[i]][1] == a[i][1] for i in range(1, 901) if (i - 1) % 2 == 0)
+    matched = [j for j in out if j >= 0]
+    assert matched == sorted(set(matched))
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 300_000, "<a '" * 200_000, "<a \"'" * 200_000 + ">", "<a x " * 100_000 + "\" >", "</a " * 200_000, "<a" * 300_000 + " ' >",
+    "<div>" * 5_000 + "deep", "</i>" * 200_000, "<b>" * 5_000 + "</i>" * 100_000, "<!--" * 200_000, "a < b " * 200_000,
+])
+def test_hostile_pages_take_linear_time(html):
+    start = time.time()
+    page = parse(html)
+    sizes = sum(map(len, wrapper._paths(page.nodes)))
+    assert time.time() - start < 5 and sizes < 1 << 20
+
+
+def test_many_unlike_siblings_take_little_time():
+    tree, other = ([(-1, "body"), *((0, f"p.{c}{i}") for i in range(2_000))] for c in "ab")
+    start = time.time()
+    out = align(tree, other)
+    assert time.time() - start < 5 and sum(j >= 0 for j in out) == 2_001
+
+
+def test_unclosed_tags_are_text_and_quotes_hide_ends():
+    assert [b[1] for b in parse('<p title="a>b">one</p><p>two <b').blocks] == ["one", "two <b"]
+    assert [b[1] for b in parse("<p>1 <2 and <x 'y").blocks] == ["1 <2 and <x 'y"]
