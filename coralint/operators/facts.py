@@ -453,7 +453,7 @@ def with_catch_facts(rows: DataFrame) -> DataFrame:
 # A name after one of these words is a call; after any other word it is being declared.
 _VALUE_WORDS = (
     r"\b(?:return|throw|await|else|case|in|of|not|and|or|yield|is|if|elif|while|assert|typeof|void|delete|do|match|"
-    r"break|mut|move|unsafe|raise|del|from|=>)\s+$|=>\s+$|->\s+$"
+    r"break|mut|move|unsafe|raise|del|from|with|except|extends|default|=>)\s+$|=>\s+$|->\s+$"
 )
 
 

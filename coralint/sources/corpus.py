@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,6 @@ DEFAULT_EXCLUDES = [
 ]
 
 IGNORE_FILE = ".gitignore"
-_SALTS = 16
 
 
 def _component_matches(component: Column, pattern: str) -> Column:
@@ -62,38 +63,73 @@ def parse_ignore_files(ignore_files: DataFrame) -> DataFrame:
     )
 
 
-def exclude_by_ignore(files: DataFrame, ignore_rules: DataFrame, key: str = "fid") -> DataFrame:
-    """Drop files matched by an ignore rule of a directory above them.
+def _matches(component: Column, patterns: Column) -> Column:
+    """A name against ignore patterns: ``*suffix`` or the whole name."""
+    return F.exists(
+        patterns,
+        lambda p: F.when(p.startswith("*"), F.endswith(component, F.substring(p, 2, F.length(p)))).otherwise(component == p),
+    )
+
+
+def ignored_directories(dirs: DataFrame, ignore_rules: DataFrame) -> DataFrame:
+    """``(repo, dir, patterns, ignored)`` of the directories that ignore rules reach, from distinct ``(repo, dir)``.
 
-    A file is expanded to one row per directory above it and joined with the
-    rules of that directory. All files of a repository share its root directory,
-    so the join key carries a salt and the few rule rows are repeated per salt.
+    Level by level, each directory joins the one above it: it takes over that one's patterns, adds its
+    own, and is ignored if the one above is, or if an inherited pattern matches its name.
     """
-    parts = components(F.col("path"))
-    steps = F.sequence(F.lit(0), F.size(parts) - 1)
-    above = F.transform(
-        steps,
-        lambda i: F.struct(
-            F.array_join(F.slice(parts, 1, i), "/").alias("dir"),
-            F.slice(parts, i + 1, F.size(parts)).alias("below"),
-        ),
-    )
-    salt = F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")
-    expanded = files.select(key, "repo", salt.alias("salt"), F.inline(above))
-    rules = (
-        ignore_rules.groupBy("repo", "dir")
-        .agg(F.collect_set("pattern").alias("patterns"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    ensure_checkpoint_dir(dirs.sparkSession)
+    parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
+    ups = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.slice("parts", 1, n))
+    known = (
+        dirs.select("repo", parts.alias("parts"))
+        .select("repo", F.explode(ups).alias("parts"))
+        .distinct()
+        .select(
+            "repo",
+            F.array_join("parts", "/").alias("dir"),
+            F.size("parts").alias("depth"),
+            F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), "/").alias("above"),
+            F.try_element_at("parts", F.lit(-1)).alias("own"),
+        )
     )
-
-    def hit(c: Column) -> Column:
-        return F.exists(
-            "patterns",
-            lambda p: F.when(p.startswith("*"), F.endswith(c, F.substring(p, 2, F.length(p)))).otherwise(c == p),
+    own = ignore_rules.groupBy("repo", "dir").agg(F.collect_set("pattern").alias("added"))
+    known = known.join(own, ["repo", "dir"], "left").checkpoint()
+    none = F.array().cast("array<string>")
+    deepest = known.agg(F.max("depth")).first()[0]
+    levels: list[DataFrame] = []
+    for depth in range(0 if deepest is None else deepest + 1):
+        level = known.where(F.col("depth") == depth)
+        if levels:
+            above = levels[-1].select("repo", F.col("dir").alias("above"), "patterns", "ignored")
+            level = level.join(above, ["repo", "above"], "left")
+        else:
+            level = level.withColumns({"patterns": none, "ignored": F.lit(False)})
+        inherited = F.coalesce("patterns", none)
+        ignored = F.coalesce("ignored", F.lit(False)) | F.coalesce(_matches(F.col("own"), inherited), F.lit(False))
+        level = level.select(
+            "repo", "dir", F.array_union(inherited, F.coalesce("added", none)).alias("patterns"), ignored.alias("ignored")
         )
+        levels.append(level.where(F.col("ignored") | (F.size("patterns") > 0)).checkpoint())
+    if not levels:
+        return known.select("repo", "dir", none.alias("patterns"), F.lit(False).alias("ignored"))
+    return reduce(DataFrame.unionByName, levels)
 
-    excluded = expanded.join(rules, ["repo", "dir", "salt"]).where(F.exists("below", hit)).select(key).distinct()
-    return files.join(excluded, key, "left_anti")
+
+def exclude_by_ignore(files: DataFrame, ignore_rules: DataFrame) -> DataFrame:
+    """Drop files matched by an ignore rule of a directory above them.
+
+    What the rules say is worked out once for each distinct directory; a file joins its own directory
+    only. Few directories are broadcast; many are joined by directory, where adaptive skew join splits
+    one that holds very many files.
+    """
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
+    placed = files.withColumn("__dir", folder)
+    state = ignored_directories(placed.select("repo", F.col("__dir").alias("dir")).distinct(), ignore_rules).select(
+        F.col("repo").alias("__repo"), F.col("dir").alias("__at"), F.col("patterns").alias("__patterns"), F.col("ignored").alias("__ignored")
+    )
+    joined = placed.join(state, (F.col("repo") == F.col("__repo")) & (F.col("__dir") == F.col("__at")), "left")
+    hit = F.col("__ignored") | _matches(file_name(F.col("path")), F.col("__patterns"))
+    return joined.where(~F.coalesce(hit, F.lit(False))).select(*files.columns)
 
 
 def _status(raw: DataFrame) -> DataFrame:
@@ -110,22 +146,22 @@ def _status(raw: DataFrame) -> DataFrame:
     return raw.withColumn("language", lang).withColumn("error", error)
 
 
-def split_status(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_status(raw: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(files, file_status)`` from raw files with binary content.
 
-    The file key is a 128-bit hash of repository, snapshot and path.
+    The file key is a 128-bit hash of repository, snapshot and path. With ``store`` the rows are written
+    there once and both results read them, the status without the texts.
     """
     if "read_error" not in raw.columns:
         raw = raw.withColumn("read_error", F.lit(None).cast("string"))
     checked = _status(raw).withColumn("fid", F.md5(F.concat_ws("\u0001", "repo", "snapshot", "path")))
+    text = F.when(F.col("error").isNull(), F.col("content").cast("string")).alias("text")
+    checked = checked.select("fid", "repo", "snapshot", "path", "language", text, "error")
+    if store:
+        checked.write.mode("overwrite").parquet(store)
+        checked = raw.sparkSession.read.schema(checked.schema).parquet(store)
     files = checked.where(F.col("error").isNull()).select(
-        "fid",
-        "repo",
-        "snapshot",
-        "path",
-        file_name(F.col("path")).alias("name"),
-        "language",
-        F.col("content").cast("string").alias("text"),
+        "fid", "repo", "snapshot", "path", file_name(F.col("path")).alias("name"), "language", "text"
     )
     status = checked.select(
         "fid", "path", F.when(F.col("error").isNull(), "scanned").otherwise("skipped").alias("status"), "error"
@@ -133,6 +169,8 @@ def split_status(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, status
 
 
+# Contents a task gathers before it hands them on.
+_READ_BYTES = 16 << 20
 _LISTING = "path string, is_dir boolean"
 
 
@@ -162,15 +200,22 @@ def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "content", "read_error"]
     for pdf in batches:
+        rows, size = [], 0
         for full, path in zip(pdf["full"], pdf["path"]):
             try:
                 store, inner = _open_fs(full)
                 with store.open_input_stream(inner) as f:
-                    row = (path, f.read(), None)
+                    rows.append((path, f.read(), None))
+                    size += len(rows[-1][1])
             except OSError as e:
-                row = (path, None, str(e))
-            yield pd.DataFrame([row], columns=["path", "content", "read_error"])
+                rows.append((path, None, str(e)))
+            if size >= _READ_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def _uri(path: str) -> str:
@@ -214,6 +259,8 @@ def scan(
 
     Paths in the result are relative to the scanned directory. A file named
     directly skips the exclusions; with an unknown extension it becomes a skip.
+    Every file is read once, by this call: rows are kept below the checkpoint folder, so that
+    files and status tell of one state of the directory and no review reads it again.
     """
     from pyarrow import fs
 
@@ -223,10 +270,11 @@ def scan(
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"path not found: {path}")
     raw_schema = "path string, content binary, read_error string"
+    store = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
     if info.type == fs.FileType.File:
         listed = spark.createDataFrame([(root, root.rsplit("/", 1)[-1])], "full string, path string")
         raw = listed.mapInPandas(_read_files, raw_schema)
-        return split_status(raw.withColumn("repo", F.lit(repo)).withColumn("snapshot", F.lit(snapshot)))
+        return split_status(raw.withColumn("repo", F.lit(repo)).withColumn("snapshot", F.lit(snapshot)), store)
     listing = _walk(spark, root, exclude or []).select(
         F.col("path").alias("full"), F.substring(F.col("path"), len(root) + 2, 1 << 20).alias("path")
     )
@@ -239,10 +287,10 @@ def scan(
             F.col("content").cast("string").alias("text"),
         )
         keyed = sources.withColumn("repo", F.lit(repo))
-        sources = exclude_by_ignore(keyed, parse_ignore_files(texts), key="path").drop("repo")
+        sources = exclude_by_ignore(keyed, parse_ignore_files(texts)).drop("repo")
     spread = sources.repartition("full")
     raw = spread.mapInPandas(_read_files, raw_schema)
-    return split_status(raw.withColumn("repo", F.lit(repo)).withColumn("snapshot", F.lit(snapshot)))
+    return split_status(raw.withColumn("repo", F.lit(repo)).withColumn("snapshot", F.lit(snapshot)), store)
 
 
 def scan_table(
@@ -260,8 +308,7 @@ def scan_table(
             raw = raw.withColumn(c, F.lit(""))
     raw = exclude_paths(raw.where(language_of(F.col("path")).isNotNull()), exclude)
     if ignore_rules is not None:
-        keyed = raw.withColumn("fid", F.md5(F.concat_ws("\u0001", "repo", "snapshot", "path")))
-        raw = exclude_by_ignore(keyed, ignore_rules).drop("fid")
+        raw = exclude_by_ignore(raw, ignore_rules)
     return split_status(raw.select("repo", "snapshot", "path", "content"))
 
 

@@ -280,3 +280,15 @@ def test_release_deletes_the_store(spark, corpus, tmp_path):
         assert detect(facts, ["R08"]).count() == 1
         assert any(tmp_path.iterdir())
     assert not any(tmp_path.iterdir())
+
+
+def test_scan_reads_every_file_once(spark, tmp_path):
+    for name, data in {"a.py": b"x = 1\n", "__init__.py": b"", "sub/b.rs": b"fn f() {}\n", "sub/bad.ts": b"\xff\xfe"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    files, status = scan(spark, str(tmp_path))
+    for f in [*tmp_path.rglob("*.*")]:
+        f.unlink()
+    assert {r.path: r.text for r in files.collect()} == {"a.py": "x = 1\n", "__init__.py": "", "sub/b.rs": "fn f() {}\n"}
+    assert {r.path: r.status for r in status.collect()} == {"a.py": "scanned", "__init__.py": "scanned", "sub/b.rs": "scanned", "sub/bad.ts": "skipped"}
+    assert "text" not in status._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,11 @@ Nothing here reads generated source text or shares logic with the detectors.
 
 from __future__ import annotations
 
-from workload.corpus import KNOBS_SQL, line_sql, path_sql, total_lines_sql
+import re
+from collections.abc import Callable, Iterator
+
+from coralint.model import RULES
+from workload.corpus import KNOBS_SQL, SECTIONS, Pick, Rep, line_sql, path_sql, total_lines_sql
 from workload.odd import ORACLE as ODD
 
 # Path layouts over a key ``k``; the expressions are valid in both SQL dialects.
@@ -17,6 +21,9 @@ LAYOUTS = {
     "WHEN 10 THEN 'outer' ELSE 'lib/coverage' END, '/f', k, CASE k % 5 WHEN 0 THEN '.gen.rs' ELSE '.rs' END)",
     "nested": "concat('n', k % 30, '/m/', CASE WHEN k % 4 = 0 THEN concat('skip', k % 5) ELSE 'plain' END, '/f', k, "
     "CASE WHEN k % 6 = 0 THEN '.tmp.rs' ELSE '.rs' END)",
+    "hidden": "concat('d', k % 7, '/', CASE k % 6 WHEN 0 THEN '__tests__/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN '_in/.x/' "
+    "WHEN 3 THEN concat('sub', k % 5, '/') ELSE '' END, CASE k % 8 WHEN 0 THEN concat('__init', k, '__.py') WHEN 1 THEN concat('.h', k, '.rs') "
+    "WHEN 2 THEN concat('a b', k, '.ts') WHEN 3 THEN concat('f', k, '.tmp.py') WHEN 4 THEN concat('f', k, '.md') ELSE concat('f', k, '.java') END)",
     "tests": "concat(CASE k % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'Tests' WHEN 2 THEN 'test' WHEN 3 THEN 'a/__tests__/b' ELSE 'testing' END, '/', "
     "CASE k % 9 WHEN 0 THEN concat('test_f', k, '.rs') WHEN 1 THEN concat('test.f', k, '.rs') WHEN 2 THEN concat('f', k, '_test.rs') "
     "WHEN 3 THEN concat('f', k, '.Test.ts') WHEN 4 THEN concat('f', k, '.spec.ts') WHEN 5 THEN concat('F', k, 'Tests.cs') "
@@ -48,6 +55,91 @@ def _union(*parts: str) -> str:
     return _f(" UNION ALL ".join(parts))
 
 
+# ---------------------------------------------------------------- lines of the generator's templates
+
+_GROUP_COND = {"rust": RUST, "python": PY, "ts": TS, "csharp": "language = 'csharp'", "java": "language = 'java'"}
+_WIDTHS = {
+    "k": "CAST(k AS VARCHAR)", "i": "CAST(i AS VARCHAR)", "v": "CAST(2000 + k AS VARCHAR)",
+    "tn": "concat('test_calc', k, CASE WHEN j % 2 = 0 THEN '' ELSE '_when_ok' END)",
+    "pad": "repeat('    ', i + 1)", "padn": "repeat('    ', 1 + j % 6)",
+}
+
+
+def _templates() -> Iterator[tuple[str, str, str, str]]:
+    """(group, line template, line number as SQL, rows as SQL) of every line that a file may have."""
+    for section, groups in SECTIONS.items():
+        for group, items in groups.items():
+            before: list[str] = []
+            for item in items:
+                at = " + ".join(["0", *before])
+                if isinstance(item, Rep):
+                    source = f"f, unnest(range(CAST({item.count} AS BIGINT))) t(i) WHERE {_GROUP_COND[group]}"
+                    yield group, item.line, f"{line_sql(section, f'{at} + i')}", source
+                    before.append(f"({item.count})")
+                    continue
+                for n, text in enumerate(item.lines) if isinstance(item, Pick) else [(None, item)]:
+                    cond = "" if n is None else f" AND (CASE WHEN true THEN {item.index} END) = {n}".replace("case when", "CASE WHEN")
+                    yield group, text, line_sql(section, at), f"f WHERE {_GROUP_COND[group]}{cond}"
+                before.append("1")
+
+
+def _cut(group: str, text: str) -> tuple[str, int]:
+    """A line with its strings blanked out, and where its comment begins, or its length."""
+    plain = re.sub(r'"[^"]*"', lambda m: '"' + " " * (len(m[0]) - 2) + '"', text)
+    at = re.search("#(?!\\[)" if group == "python" else r"//|/\*", plain)
+    return plain, at.start() if at else len(text)
+
+
+def _sql_text(template: str) -> str:
+    pieces = [f"'{x}'" if n % 2 == 0 else _WIDTHS[x] for n, x in enumerate(re.split(r"\{(\w+)\}", template)) if n % 2 or x]
+    return f"concat({', '.join(pieces)})" if pieces else "''"
+
+
+def _each(find: Callable[[str, str], Iterator[str]]) -> str:
+    """Rows of ``find(group, template)``: SQL lists of columns after ``fid, line``."""
+    return _f(" UNION ALL ".join(
+        f"SELECT fid, ({at}) AS line, {columns} FROM {source}" for group, text, at, source in _templates() for columns in find(group, text)
+    ))
+
+
+def _comments_in(group: str, text: str) -> Iterator[str]:
+    _, at = _cut(group, text)
+    if at < len(text):
+        yield f"CAST(length({_sql_text(text[:at])}) AS INTEGER) AS col, {str(text[at:].startswith(('///', '/**'))).lower()} AS is_doc"
+
+
+def _numbers_in(group: str, text: str) -> Iterator[str]:
+    plain, end = _cut(group, text)
+    for m in re.finditer(r"(?<![\w.}])(?:\d[\w.]*|\{v\})", plain[:end]):
+        yield f"CAST(length({_sql_text(text[: m.start()])}) AS INTEGER) AS col, {_sql_text(m[0])} AS text"
+
+
+_HEAD = re.compile(r"^\s*(?:(?:pub|public|async) )*(?:fn|def|function|int|void|class) [\w{}]+(?:<[^>]*>)?\(")
+_NO_CALL = {"if", "for", "while", "catch", "except"}
+
+
+def _calls_in(group: str, text: str) -> Iterator[str]:
+    plain, end = _cut(group, text)
+    head = _HEAD.match(plain)
+    for m in re.finditer(r"(?:\w|\{\w+\})+(?=\()", plain[: end]):
+        if m[0] in _NO_CALL or head and m.end() < head.end():
+            continue
+        at, depth = m.start(), 0  # back to where the chain begins
+        while at and (depth or re.match(r'[\w.)"{}]', plain[at - 1])) and not (depth == 0 and plain[at - 2 : at] == "{ "):
+            depth += (plain[at - 1] == ")") - (plain[at - 1] == "(")
+            at -= 1
+        method = str(m.start() > 0 and plain[m.start() - 1] == ".").lower()
+        yield f"CAST(length({_sql_text(text[:at])}) AS INTEGER) AS col, {_sql_text(m[0])} AS name, {method} AS is_method"
+
+
+def _brackets_in(group: str, text: str) -> Iterator[str]:
+    plain, end = _cut(group, text)
+    signs = [(c in "([{") - (c in ")]}") for c in re.sub(r"\{\w+\}", "", plain[:end]) if c in "([{)]}"]
+    if signs:
+        depths = [sum(signs[: n + 1]) for n in range(len(signs))]
+        yield f"{signs.count(1)} AS opens, {signs.count(-1)} AS closes, {max(d for d, s in zip([*depths, 0], [*signs, 1]) if s == 1)} AS peak"
+
+
 def _by_lang(rust, py, ts, jvm) -> str:
     return f"CASE WHEN {RUST} THEN {rust} WHEN {PY} THEN {py} WHEN {TS} THEN {ts} ELSE {jvm} END"
 
@@ -146,6 +238,35 @@ _COUNTS = (
 _NOT_KNOWN = "NOT EXISTS (SELECT 1 FROM known b WHERE b.file = e.file AND b.line = e.line AND b.rule_id = e.rule_id)"
 
 
+_SKIPS = (
+    "s AS (SELECT path, concat('unsupported file extension: ', CASE WHEN k % 9 = 6 THEN 'txt' ELSE 'RS' END) AS error FROM "
+    f"(SELECT k, {LAYOUTS['extensions']} AS path FROM (SELECT p_partkey AS k FROM part)) WHERE k % 9 IN (6, 7))"
+)
+_N = f"n AS (SELECT {_COUNTS}, (SELECT count(*) FROM part WHERE p_partkey % 9 NOT IN (6, 7)) AS files, (SELECT count(*) FROM part WHERE p_partkey % 9 IN (6, 7)) AS skipped FROM e)"
+_TEXT_LINES = f"""WITH {_SKIPS}, {_N}
+SELECT concat(rule_id, ' ', severity, ' ', file, ':', line, ':', event_id, '  ', event_type) AS value FROM e
+UNION ALL SELECT concat(errors + warnings + infos, ' findings (', errors, ' errors, ', warnings, ' warnings, ', infos, ' infos) in ', files, ' files',
+  CASE WHEN skipped > 0 THEN concat(', ', skipped, ' skipped') ELSE '' END) FROM n
+UNION ALL SELECT concat('parse failed ', path, ': ', error) FROM s"""
+_ADVICE = ", ".join("('{}', '{}')".format(r.rule_id, r.advice.replace("'", "''")) for r in RULES if r.advice)
+_BEST = "row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, first) AS place FROM (SELECT {keys}, name, count(*) AS n, min(pos) AS first FROM r WHERE {cond} GROUP BY {keys}, name)"
+_MARKDOWN = f"""WITH {_SKIPS}, {_N}, a(rule_id, advice) AS (VALUES {_ADVICE})
+SELECT unnest(['# Review report', '', 'Scanned: /data/code', '', concat('Files: ', files, ' (skipped ', skipped, '), findings: ', errors + warnings + infos),
+  '', '## Totals', '', '| severity | count |', '|---|---|', concat('| error | ', errors, ' |'), concat('| warning | ', warnings, ' |'),
+  concat('| info | ', infos, ' |'), '', '', '## Errors', '', '', '## Warnings and infos', '']) AS value FROM n
+UNION ALL SELECT unnest([concat('## Parse failures (', skipped, ')'), '']) FROM n WHERE skipped > 0
+UNION ALL SELECT concat('- ', path, ': ', error) FROM s
+UNION ALL SELECT 'No errors.' FROM n WHERE errors = 0
+UNION ALL SELECT 'None.' FROM n WHERE warnings + infos = 0
+UNION ALL SELECT concat('### ', rule_id, ' rule-', lower(rule_id), ': ', count(*)) FROM e WHERE severity = 'error' GROUP BY rule_id
+UNION ALL SELECT concat('**Advice**: ', advice) FROM a WHERE rule_id IN (SELECT rule_id FROM e WHERE severity = 'error')
+UNION ALL SELECT concat('- ', name, ': ', n) FROM (SELECT *, {_BEST.format(keys="rule_id", cond="severity = 'error'")}) WHERE place <= 5
+UNION ALL SELECT concat('- ', file, ':', line, ': ', event_type) FROM
+  (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY pos) AS place FROM r WHERE severity = 'error') WHERE place <= 3
+UNION ALL SELECT concat('### ', rule_id, ' rule-', lower(rule_id), ' (', severity, '): ', count(*)) FROM e WHERE severity <> 'error' GROUP BY rule_id, severity
+UNION ALL SELECT concat('- ', name, ': ', n) FROM (SELECT *, {_BEST.format(keys="rule_id, severity", cond="severity <> 'error'")}) WHERE place <= 5"""
+
+
 def oracle() -> dict[str, str]:
     py_items = [
         ("wide", 0, "function"), ("parm", 0, "function"), ("deep", 0, "function"), ("fall", 0, "function"), ("doc", 1, "class"),
@@ -185,31 +306,37 @@ def oracle() -> dict[str, str]:
         "SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, max(n) - 1 AS last_row, "
         "count(*) FILTER (WHERE trim(line) = '') AS blank FROM u GROUP BY doc_id",
         "facts_tokens_lossless": "SELECT doc_id, strlen(text) AS bytes FROM documents WHERE text <> ''",
-        "facts_tokens_by_kind": _f(
-            "SELECT fid, n AS opens, n AS closes, CASE WHEN j % 6 = 0 THEN 2 ELSE greatest(1 + j % 6, 3) END AS deepest FROM ("
-            "SELECT *, 1 + least(j % 4, j % 3) + 2 + 2 + 2 + 2 * (j % 6) + CASE j % 6 WHEN 0 THEN 2 WHEN 2 THEN 7 ELSE 6 END "
-            "+ 2 + 2 + j % 3 + 2 + 4 + CASE WHEN j % 2 = 0 THEN 1 ELSE 0 END + 2 AS n FROM f WHERE language = 'java') t"
-        ),
-        "facts_comments": _union(
-            f"SELECT fid, {_l('notes', 'i')}, 0 AS col, false AS is_doc FROM f, unnest(range(j % 3)) t(i)",
-            f"SELECT fid, {_l('dead', '1 + i')}, 0, false FROM f, unnest(range(j % 7)) t(i)",
-            f"SELECT fid, {_l('dead', '1 + j % 7')}, 0, false FROM f WHERE j % 2 = 1",
-        ),
+        "facts_tokens_by_kind": "SELECT fid, CAST(sum(opens) AS BIGINT) AS opens, CAST(sum(closes) AS BIGINT) AS closes, "
+        "CAST(max(before + peak) - 1 AS INTEGER) AS deepest FROM (SELECT *, coalesce(sum(opens - closes) OVER (PARTITION BY fid ORDER BY line "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_each(_brackets_in)}) b) d GROUP BY fid",
+        "facts_comments": _each(_comments_in),
         "facts_string_literals": _f(f"SELECT fid, {_N_STR} AS n FROM f WHERE ({_N_STR}) > 0"),
-        "facts_number_literals": _union(
-            f"SELECT fid, {_l('numbers', 'i')}, {_NUM_COL} AS col, CAST(2000 + k AS VARCHAR) AS text FROM f, unnest(range(j % 3)) t(i)",
-            f"SELECT fid, {_l('numbers', 'j % 3 + 3')}, {_FIX_COL}, '4.5' FROM f",
-            f"SELECT fid, {_l('numbers', 'j % 3 + 4')}, {_FIX_COL}, '0x1F' FROM f",
-        ),
+        "facts_number_literals": _each(_numbers_in),
         "facts_functions": _union(
             f"SELECT fid, concat('wide', k) AS name, {_l('wide')}, 45 + j % 12 - CASE WHEN {PY} THEN 1 ELSE 0 END AS n_lines FROM f",
             f"SELECT fid, concat('parm', k), {_l('parm')}, CASE WHEN {PY} THEN 2 ELSE 3 END FROM f",
             f"SELECT fid, concat('deep', k), {_l('deep')}, CASE WHEN {PY} THEN 2 + j % 6 ELSE 3 + 2 * (j % 6) END FROM f",
-        ),
-        "facts_params": _f("SELECT fid, i AS pos, concat('p', i) AS name FROM f, unnest(range(3 + j % 5)) t(i)"),
-        "facts_enclosing_function": _f(
-            f"SELECT fid, {_l('fall', 2)}, CASE WHEN j % 6 = 5 AND NOT {PY} THEN concat('TryFall', k) ELSE concat('fall', k) END AS name "
-            f"FROM f WHERE NOT {RUST} AND j % 6 > 0"
+            f"SELECT fid, concat(CASE WHEN j % 6 = 5 AND NOT {PY} AND NOT {RUST} THEN 'TryFall' ELSE 'fall' END, k), {_l('fall')}, "
+            f"CASE WHEN {PY} THEN 6 ELSE 8 END FROM f",
+            f"SELECT fid, concat('exportDoc', k), {_l('doc', 1)}, 2 FROM f WHERE {TS}",
+            f"SELECT fid, concat('doc', k), {_l('doc', 1)}, 2 FROM f WHERE {JVM}",
+            f"SELECT fid, {_WIDTHS['tn']}, {_TEST_LINE}, {_by_lang('3 + j % 3', '2 + j % 3', '1', '4 + j % 3')} FROM f",
+            f"SELECT fid, '', {_l('test', 1)}, 3 + j % 3 FROM f WHERE {TS}",
+            f"SELECT fid, concat('end_to_end_flow', k), {_l('flow')}, CASE WHEN {PY} THEN 2 ELSE 3 END + j % 4 FROM f",
+            f"SELECT fid, concat('gen', k), {_l('trait', '3 + j % 4')}, 1 FROM f WHERE {RUST}",
+            f"SELECT fid, concat('job', k), {_l('job')}, 2 FROM f WHERE {PY} OR {TS}",
+            f"SELECT fid, concat('run', k), {_l('job', 2)}, CASE WHEN {PY} THEN 2 ELSE 3 END FROM f WHERE {PY} OR {TS}",
+            f"SELECT fid, '', {_l('loop')}, 1 FROM f WHERE {TS} AND j % 4 < 3",
+            f"SELECT fid, concat('leak', k), {_l('leak')}, 3 FROM f WHERE {PY}",
+            f"SELECT fid, concat(CASE WHEN {RUST} OR {PY} THEN 'pick' ELSE 'handler' END, k), {_l('pick', 1)}, CASE WHEN {PY} THEN 3 ELSE 4 END FROM f",
+            f"SELECT fid, concat('sure', k), {_l('sure')}, 3 FROM f WHERE {RUST} OR {TS}",
+            f"SELECT fid, CASE language WHEN 'java' THEN 'hashCode' ELSE 'GetHashCode' END, {_l('hash')}, 3 FROM f WHERE {JVM}",
+        ),
+        "facts_params": _union(
+            "SELECT fid, i AS pos, concat('p', i) AS name FROM f, unnest(range(3 + j % 5)) t(i)",
+            f"SELECT fid, 0, 'o' FROM f WHERE {RUST}",
+            "SELECT fid, i, CASE i WHEN 0 THEN 'items' ELSE 'at' END FROM f, unnest(range(2)) t(i)",
+            f"SELECT fid, 0, 'path' FROM f WHERE {PY}",
         ),
         "facts_catches": _union(
             f"SELECT fid, {_l('fall', 3)}, CASE WHEN {KIND} IN (2, 5) THEN 'e' ELSE '' END AS exc_var, {KIND} <> 3 AS is_broad, "
@@ -220,11 +347,7 @@ def oracle() -> dict[str, str]:
             f"WHEN language = 'csharp' AND {KIND} = 4 THEN 'OperationCanceledException' ELSE 'e' END, {KIND} IN (1, 2, 5), true "
             f"FROM f WHERE {JVM} AND {KIND} > 0",
         ),
-        "facts_calls": _union(
-            f"SELECT fid, {_l('fall', 1)}, 4 AS col, {_UNWRAP} AS name, true AS is_method FROM f WHERE {RUST} AND {KIND} IN (1, 2, 3)",
-            f"SELECT fid, {_l('sure', 1)}, 12, 'unwrap_or', true FROM f WHERE {RUST} AND j % 5 = 0",
-            f"SELECT fid, {_l('sure', 1)}, 12, 'Some', false FROM f WHERE {RUST} AND j % 5 = 0",
-        ),
+        "facts_calls": _each(_calls_in),
         "facts_imports": _f(f"SELECT fid, i + 1 AS line, {_IMP} AS name FROM f, unnest(range(j % 4)) t(i)"),
         "facts_loops": _union(
             f"SELECT fid, {_l('loop')}, 'for' AS kind, 'x' AS var, CASE j % 4 WHEN 1 THEN 'Model.objects.all()' "
@@ -325,10 +448,32 @@ def oracle() -> dict[str, str]:
         "severity_filter": _e(f"SELECT {_FLAT} FROM e WHERE severity <> 'info'"),
         "baseline_diff": _e(f"SELECT {_FLAT} FROM e WHERE {_NOT_KNOWN}", known=True),
         "baseline_diff_snippet": _e(
-            f"SELECT {_FLAT} FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.event_id % 8 = 0 AND b.file = e.file "
+            f"SELECT {_FLAT} FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.snapshot = 's0' AND b.severity = 'warning' AND b.file = e.file "
             "AND b.rule_id = e.rule_id AND b.event_type = e.event_type)"
         ),
         "report_json_full": _e(f"SELECT {_FLAT} FROM e"),
+        "report_text_full": _e(f"SELECT value FROM ({_TEXT_LINES}) x"),
+        "report_markdown_full": _e(f"SELECT value FROM ({_MARKDOWN}) x"),
+        "baseline_diff_loaded": _e(f"SELECT {_FLAT} FROM e WHERE {_NOT_KNOWN}", known=True),
+        "scan_folder": _p(
+            "hidden",
+            "SELECT path, split_part(path, '/', -1) AS name, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.rs' THEN 'rust' "
+            "WHEN path LIKE '%.ts' THEN 'typescript' ELSE 'java' END AS language, CAST(9 + length(path) AS INTEGER) AS chars FROM p "
+            "WHERE path NOT LIKE '%.md' AND k % 6 <> 1 AND NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = k % 7 "
+            "AND (k % 8 = 3 OR (k % 6 = 3 AND k % 5 = r_regionkey)))",
+        ),
+        "review_selected_rules": _union(
+            f"SELECT fid, 'R02' AS rule_id, {_l('wide')}, 'lines' AS variant, concat('wide', k) AS subject, n AS measure, 50 AS \"limit\" FROM "
+            f"(SELECT *, 45 + j % 12 - CASE WHEN {PY} THEN 1 ELSE 0 END AS n FROM f) t WHERE n > 50",
+            f"SELECT fid, 'R02', {_l('parm')}, 'params', concat('parm', k), 3 + j % 5, 3 FROM f WHERE j % 5 > 0",
+            f"SELECT fid, 'R02', {_l('deep')}, 'nesting', concat('deep', k), n, 4 FROM "
+            f"(SELECT *, CASE WHEN {TS} THEN j % 6 ELSE 1 + 2 * (j % 6) END AS n FROM f) t WHERE n > 4",
+        ),
+        "review_own_detector": _f(
+            "SELECT fid, 'Z01' AS rule_id, 'wide-name' AS rule_name, 'info' AS severity, line, subject, CAST(n AS BIGINT) AS measure FROM ("
+            f"SELECT fid, {_l('wide')}, concat('wide', k) AS subject, 45 + j % 12 - CASE WHEN {PY} THEN 1 ELSE 0 END AS n FROM f WHERE {PY} OR {RUST} "
+            f"UNION ALL SELECT fid, {_l('parm')}, concat('parm', k), CASE WHEN {PY} THEN 2 ELSE 3 END FROM f WHERE {PY} OR {RUST}) t"
+        ),
         "stream_new_findings": _e(f"SELECT {_FLAT} FROM e WHERE severity <> 'info' AND {_NOT_KNOWN}", known=True),
         "baseline_stats": _e(
             "SELECT count(*) AS total, count(*) FILTER (WHERE b.rule_id IS NULL) AS new, count(b.rule_id) AS known FROM e "
@@ -372,6 +517,11 @@ def oracle() -> dict[str, str]:
             "FROM f WHERE j % 3 = 0"
         ),
     }
+    # Nothing is called on the first line of the function around it.
+    q["facts_enclosing_function"] = (
+        f"SELECT c.fid, c.line, max_by(g.name, g.line) AS name FROM ({q['facts_calls']}) c LEFT JOIN ({q['facts_functions']}) g "
+        "ON g.fid = c.fid AND g.line < c.line AND c.line < g.line + g.n_lines GROUP BY c.fid, c.line, c.col, c.name"
+    )
     parts = [
         f"SELECT '{rule}' AS rule_id, '{sev}' AS severity FROM ({q[name]}) x"
         for (rule, sev), names in _REVIEW.items()

@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 
 from coralint.functions import paths as P
 from coralint.functions.lexer import lexemes_of
-from coralint.model import list_rules
+from coralint.model import Config, RuleSpec, list_rules
 from coralint.operators import lexemes as L
 from coralint.operators.bundle import Facts
 from coralint.operators.detectors import catch_rules as CR
 from coralint.operators.detectors import function_rules as FR
 from coralint.operators.detectors import literal_rules as LR
 from coralint.operators.detectors import name_rules as NR
+from coralint.operators.hits import hits
 from coralint.operators.sweep import innermost
 from coralint.plans import findings as FN
-from coralint.plans.review import attach, detect, rule_scope, select_rules
+from coralint.plans.review import attach, detect, register_detector, rule_scope, select_rules, unregister_detector
 from coralint.session import ensure_checkpoint_dir
 from coralint.sinks.reports import finding_line, write_report
 from coralint.sources import corpus as S
-from coralint.sources.baseline import baseline_of
+from coralint.sources.baseline import baseline_of, load_baseline
 from coralint.streaming.stream import findings_stream
 from workload import corpus as C
 from workload import odd
@@ -45,9 +46,9 @@ def facts(spark: SparkSession, sf: str, snapshot: int = 1) -> Facts:
     return shared_facts(spark, sf, f"s{snapshot}", lambda: C.code_files(spark, sf, snapshot), C.corpus_partitions(spark, sf))
 
 
-def placed(hits: DataFrame, *extra: str) -> DataFrame:
+def placed(found: DataFrame, *extra: str) -> DataFrame:
     """Hits as ``(fid, line, ..)``."""
-    return hits.select("fid", (F.col("row") + 1).alias("line"), *extra)
+    return found.select("fid", (F.col("row") + 1).alias("line"), *extra)
 
 
 def line(row: str = "row") -> Column:
@@ -116,8 +117,6 @@ _SCOPE_CONFIG = {"rules": {"R03": {"enabled": False}, "R08": {"exclude_files": [
 
 @query
 def rule_scope_counts(spark, sf):
-    from coralint.model import Config
-
     scope = rule_scope(C.code_files(spark, sf), config=Config.from_dict(_SCOPE_CONFIG))
     return scope.groupBy("rule_id").agg(F.count("*").alias("n"))
 
@@ -166,8 +165,7 @@ def facts_tokens_lossless(spark, sf):
 @query
 def facts_tokens_by_kind(spark, sf):
     """Statement ends and brackets per file; the corpus is balanced."""
-    lex = facts(spark, sf).lexemes
-    return lex.where(F.col("language") == "java").groupBy("fid").agg(
+    return facts(spark, sf).lexemes.groupBy("fid").agg(
         F.count_if(F.col("kind") == "open").alias("opens"),
         F.count_if(F.col("kind") == "close").alias("closes"),
         F.max(F.when(F.col("kind") == "close", F.col("depth"))).alias("deepest"),
@@ -176,8 +174,7 @@ def facts_tokens_by_kind(spark, sf):
 
 @query
 def facts_comments(spark, sf):
-    found = facts(spark, sf).comments.where(F.col("text").rlike(r"later$|f\(1\)|plain words"))
-    return found.select("fid", line(), "col", "is_doc")
+    return facts(spark, sf).comments.select("fid", line(), "col", "is_doc")
 
 
 @query
@@ -187,27 +184,23 @@ def facts_string_literals(spark, sf):
 
 @query
 def facts_number_literals(spark, sf):
-    found = facts(spark, sf).numbers.where(F.col("text").rlike("^[0-9]{4,}$|[.x]") & (F.col("text") != "1000"))
-    return found.select("fid", line(), "col", "text")
+    return facts(spark, sf).numbers.select("fid", line(), "col", "text")
 
 
 @query
 def facts_functions(spark, sf):
-    fns = facts(spark, sf).functions.where(F.col("name").rlike("^(?:wide|parm|deep)[0-9]"))
-    return fns.select("fid", "name", line(), "n_lines")
+    return facts(spark, sf).functions.select("fid", "name", line(), "n_lines")
 
 
 @query
 def facts_params(spark, sf):
-    f = facts(spark, sf)
-    named = f.functions.where(F.col("name").startswith("parm")).select("fid", F.col("off").alias("fn_off"))
-    return f.params.join(named, ["fid", "fn_off"]).select("fid", "pos", "name")
+    return facts(spark, sf).params.select("fid", "pos", "name")
 
 
 @query
 def facts_enclosing_function(spark, sf):
     f = facts(spark, sf)
-    calls = f.calls.where(F.col("name") == "run").select("fid", "off", "row")
+    calls = f.calls.select("fid", "off", "row")
     spans = f.functions.select("fid", "off", "end_off", "name")
     return innermost(calls, spans, ["name"]).select("fid", line(), F.col("span.name").alias("name"))
 
@@ -221,10 +214,7 @@ def facts_catches(spark, sf):
 
 @query
 def facts_calls(spark, sf):
-    calls = facts(spark, sf).calls
-    return calls.where(F.col("name").startswith("unwrap_or") | (F.col("name") == "Some")).select(
-        "fid", line(), "col", "name", "is_method"
-    )
+    return facts(spark, sf).calls.select("fid", line(), "col", "name", "is_method")
 
 
 @query
@@ -234,8 +224,7 @@ def facts_imports(spark, sf):
 
 @query
 def facts_loops(spark, sf):
-    scripts = facts(spark, sf).loops.where(F.col("language").isin("python", *SCRIPTS))
-    return scripts.select("fid", line(), "kind", "var", "source")
+    return facts(spark, sf).loops.select("fid", line(), "kind", "var", "source")
 
 
 @query
@@ -479,7 +468,7 @@ def baseline_diff(spark, sf):
 def baseline_diff_snippet(spark, sf):
     """The difference on a key that survives moved lines."""
     key = ("file", "rule_id", "snippet")
-    known = findings(spark, sf).where((F.col("snapshot") == "s0") & (F.col("fid") % 8 == 0))
+    known = findings(spark, sf).where((F.col("snapshot") == "s0") & (F.col("severity") == "warning"))
     return flat(FN.new_findings(findings(spark, sf), baseline_of(known, key), key))
 
 
@@ -570,6 +559,93 @@ def report_json_full(spark, sf):
     )
 
 
+def skips(spark: SparkSession, sf: str) -> DataFrame:
+    """Status of files of which some cannot be read."""
+    names = layout(spark, sf, "extensions").select(F.lit("r").alias("repo"), F.lit("s").alias("snapshot"), "path")
+    return S.split_status(names.withColumn("content", F.encode(F.lit("x"), "utf-8")))[1]
+
+
+def _written(spark, sf, fmt: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report(findings(spark, sf), skips(spark, sf), folder, fmt, "/data/code")
+    return spark.read.text(folder)
+
+
+@query
+def report_text_full(spark, sf):
+    """The text report as written: findings, totals, skipped files."""
+    return _written(spark, sf, "text")
+
+
+@query
+def report_markdown_full(spark, sf):
+    """The Markdown report as written."""
+    return _written(spark, sf, "md")
+
+
+@query
+def baseline_diff_loaded(spark, sf):
+    """The difference against a baseline that is loaded from an earlier report on disk."""
+    folder = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report(findings(spark, sf).where(F.col("snapshot") == "s0"), skips(spark, sf), folder, "json")
+    return flat(FN.new_findings(findings(spark, sf), load_baseline(spark, folder, layout="report")))
+
+
+def _write_files(batches):
+    from pyarrow import fs
+
+    for pdf in batches:
+        for folder, name, text in zip(pdf["folder"], pdf["path"], pdf["text"]):
+            store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+            full = f"{inner}/{name}"
+            store.create_dir(full.rsplit("/", 1)[0])
+            with store.open_output_stream(full) as out:
+                out.write(text.encode())
+        yield pdf[["path"]]
+
+
+@query
+def scan_folder(spark, sf):
+    """A folder of files, hidden names, excluded folders and ignore files among them, listed and read from disk."""
+    folder = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}".removeprefix("file:")
+    named = layout(spark, sf, "hidden").select("path", F.concat(F.lit("text of "), "path", F.lit("\n")).alias("text"))
+    rules = spark.read.parquet(f"{sf}/region.parquet").select(
+        F.concat(F.lit("d"), F.col("r_regionkey").cast("string"), F.lit("/.gitignore")).alias("path"),
+        F.concat(F.lit("sub"), F.col("r_regionkey").cast("string"), F.lit("/\n*.tmp.py\n")).alias("text"),
+    )
+    rows = named.unionByName(rules).repartition("path").select(F.lit(folder).alias("folder"), "path", "text")
+    rows.mapInPandas(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    files, _ = S.scan(spark, folder)
+    return files.select("path", "name", "language", F.length("text").alias("chars"))
+
+
+_THRESHOLDS = {"rules": {"R02": {"thresholds": {"max_parameters": 3, "max_function_lines": "many"}}, "R08": {"enabled": False}}}
+
+
+@query
+def review_selected_rules(spark, sf):
+    """Two listed rules, one of them off; a configured limit, and one that is no number and falls back."""
+    found = detect(facts(spark, sf), ["R02", "R08"], _THRESHOLDS)
+    return found.select("fid", "rule_id", F.col("location.line").alias("line"), "variant", "subject", "measure", "limit")
+
+
+@query
+def review_own_detector(spark, sf):
+    """A rule of one's own beside the built-in ones: functions of three names, by path and line."""
+    spec = RuleSpec("Z01", "wide-name", "info", ("python", "rust"), "Rename it.")
+
+    def wide(f: Facts, config: Config) -> DataFrame:
+        named = f.functions.where(F.col("name").rlike("^(?:wide|parm)[0-9]"))
+        return hits(named, "Z01", subject=F.col("name"), measure=F.col("n_lines").cast("bigint"))
+
+    register_detector(spec, wide)
+    try:
+        out = detect(facts(spark, sf), ["Z01"])
+    finally:
+        unregister_detector("Z01")
+    return out.select("fid", "rule_id", "rule_name", "severity", F.col("location.line").alias("line"), "subject", "measure")
+
+
 @query
 def stream_new_findings(spark, sf):
     """The baseline diff on a stream: every event arrives once, known findings are dropped."""
