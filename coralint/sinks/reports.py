@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from coralint.plans.findings import (
     top_files,
     with_suggestion,
 )
+from coralint.session import delete_folder, ensure_checkpoint_dir
 
 FORMATS = ["text", "json", "md"]
 
@@ -170,14 +172,28 @@ def markdown_lines(findings: DataFrame, status: DataFrame, scan_path: str) -> Da
 
 
 def write_report(findings: DataFrame, status: DataFrame, output: str, fmt: str = "text", scan_path: str = "") -> None:
-    """Write a report folder in one of the formats; an unknown format is an error."""
+    """Write a report folder in one of the formats; an unknown format is an error.
+
+    A report counts, ranks and lists the same rows several times, so findings and status are written
+    once to the checkpoint folder, read from there, and deleted when the report stands.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt} (use one of {', '.join(FORMATS)})")
-    if fmt == "json":
-        json_lines(findings, status).orderBy("part", "ord").select("value").write.mode("overwrite").text(output)
-    elif fmt == "text":
-        text_lines(findings, status).orderBy("part", "key", "value").select("value").write.mode("overwrite").text(output)
-    else:
-        markdown_lines(findings, status, scan_path).orderBy("part", "ord", "value").select("value").write.mode(
-            "overwrite"
-        ).text(output)
+    spark = findings.sparkSession
+    store = f"{ensure_checkpoint_dir(spark)}/report-rows-{uuid.uuid4().hex}"
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{store}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{store}/{name}")
+
+    try:
+        findings, status = kept(findings, "findings"), kept(status, "status")
+        if fmt == "json":
+            lines = json_lines(findings, status).orderBy("part", "ord")
+        elif fmt == "text":
+            lines = text_lines(findings, status).orderBy("part", "key", "value")
+        else:
+            lines = markdown_lines(findings, status, scan_path).orderBy("part", "ord", "value")
+        lines.select("value").write.mode("overwrite").text(output)
+    finally:
+        delete_folder(spark, store)

@@ -1,6 +1,8 @@
 """Scan, configuration, findings operators, reports, streaming and the extension point."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from coralint.plans import findings as P
 from coralint.plans.review import select_rules, unregister_detector
 from coralint.sinks import reports
 from coralint.sources.baseline import baseline_of, load_baseline
-from coralint.sources.corpus import scan_binary
+from coralint.sources.corpus import exclude_by_ignore, scan_binary
 from coralint.streaming.stream import review_stream
 
 
@@ -292,3 +294,53 @@ def test_scan_reads_every_file_once(spark, tmp_path):
     assert {r.path: r.text for r in files.collect()} == {"a.py": "x = 1\n", "__init__.py": "", "sub/b.rs": "fn f() {}\n"}
     assert {r.path: r.status for r in status.collect()} == {"a.py": "scanned", "__init__.py": "scanned", "sub/b.rs": "scanned", "sub/bad.ts": "skipped"}
     assert "text" not in status._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_compute_their_findings_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def noted(batches):
+        for pdf in batches:
+            with open(log, "a") as f:
+                f.write("x" * len(pdf))
+            yield pdf
+
+    shape = "fid int, rule_id string, rule_name string, severity string, sev_rank tinyint, location struct<file:string,line:int,column:int>, message string, snippet string"
+    rows = [(i, "R01", "n", ["error", "info"][i % 2], (i % 2) * 2, (f"d/f{i}.py", i, 1), "m", "s") for i in range(10)]
+    plain = spark.createDataFrame(rows, shape)
+    status = spark.createDataFrame([(1, "b", "skipped", "why")], "fid int, path string, status string, error string")
+    for fmt in reports.FORMATS:
+        flat = plain.select("fid", "rule_id", "rule_name", "severity", "sev_rank", F.to_json("location").alias("at"), "message", "snippet")
+        once = flat.mapInPandas(noted, flat.schema).withColumn("location", F.from_json("at", "file string, line int, column int")).drop("at")
+        reports.write_report(once, status, str(tmp_path / fmt), fmt)
+    with open(log) as f:
+        assert len(f.read()) == 10 * len(reports.FORMATS)
+    left = os.listdir(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    assert not [name for name in left if name.startswith("report-rows-")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ignore_rules_equal_a_walk_over_every_path(spark, seed):
+    rng = random.Random(seed)
+    names = ["a", "b", "c.x", "d.tmp", "skip"]
+    paths = sorted({"/".join(rng.choices(names, k=rng.randrange(1, 6))) for _ in range(150)})
+    rules = {("/".join(rng.choices(names, k=rng.randrange(0, 4))), rng.choice(["a", "skip", "*.tmp", "*.x", "b"])) for _ in range(8)}
+
+    def fits(name, pattern):
+        return name.endswith(pattern[1:]) if pattern.startswith("*") else name == pattern
+
+    def ignored(path):
+        parts = path.split("/")
+        return any(
+            fits(n, p)
+            for d, p in rules
+            for above in [d.split("/") if d else []]
+            if parts[: len(above)] == above
+            for n in parts[len(above) :]
+        )
+
+    files = spark.createDataFrame([(r, p) for p in paths for r in ("r", "other")], "repo string, path string")
+    table = spark.createDataFrame([("r", d, p) for d, p in rules], "repo string, dir string, pattern string")
+    got = {(r.repo, r.path) for r in exclude_by_ignore(files, table).collect()}
+    assert got == {("other", p) for p in paths} | {("r", p) for p in paths if not ignored(p)}
+    assert exclude_by_ignore(files.limit(0), table).count() == 0 and exclude_by_ignore(files, table.limit(0)).count() == 2 * len(paths)
