@@ -238,6 +238,11 @@ _COUNTS = (
 _NOT_KNOWN = "NOT EXISTS (SELECT 1 FROM known b WHERE b.file = e.file AND b.line = e.line AND b.rule_id = e.rule_id)"
 
 
+_LOCATION = (
+    "CASE WHEN strlen({x}) < 8 OR contains({x}, '{{}}') OR contains({x}, '{{0}}') OR contains({x}, '{{1}}') OR {x} IN ('https://', 'http://') THEN NULL "
+    "WHEN regexp_matches({x}, '^https?://') AND NOT regexp_matches({x}, '^https?://(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0)([/:]|$)') THEN 'url' "
+    "WHEN (starts_with({x}, '/') AND NOT starts_with({x}, '//')) OR regexp_matches({x}, '^[A-Za-z]:[\\\\/]') THEN 'path' END"
+)
 _SKIPS = (
     "s AS (SELECT path, concat('unsupported file extension: ', CASE WHEN k % 9 = 6 THEN 'txt' ELSE 'RS' END) AS error FROM "
     f"(SELECT k, {LAYOUTS['extensions']} AS path FROM (SELECT p_partkey AS k FROM part)) WHERE k % 9 IN (6, 7))"
@@ -439,9 +444,10 @@ def oracle() -> dict[str, str]:
             "CASE WHEN j % 7 = 0 THEN concat('https://host', k, '.example.org/x') ELSE concat('/opt/data/f', k) END AS subject "
             "FROM f WHERE j % 7 IN (0, 2) AND j % 10 <> 0"
         ),
-        "r24_url_pages": "SELECT page_id, CASE WHEN strlen(url) >= 8 AND regexp_matches(url, '^https?://') AND url NOT IN ('https://', 'http://') "
-        "AND NOT regexp_matches(url, '^https?://(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0)([/:]|$)') THEN 'url' "
-        "WHEN strlen(url) >= 8 AND starts_with(url, '/') AND NOT starts_with(url, '//') THEN 'path' END AS kind FROM pages",
+        "r24_url_pages": f"SELECT page_id, {_LOCATION.format(x='url')} AS kind FROM pages",
+        "r24_literals_pages": "SELECT page_id, kind, literal, count(*) AS n FROM (SELECT page_id, literal, "
+        f"{_LOCATION.format(x='literal')} AS kind FROM (SELECT page_id, unnest(regexp_extract_all(html, '\"([^\"]*)\"', 1)) AS literal "
+        "FROM pages)) WHERE kind IS NOT NULL GROUP BY ALL",
         "r28_rust": _f(f"SELECT fid, {_l('sure', 1)}, 12 AS col FROM f WHERE {RUST} AND j % 5 = 0"),
         "r28_ts": _f(f"SELECT fid, {_l('sure', 1)}, 12 AS col, '\"x\"' AS subject FROM f WHERE {TS} AND j % 5 = 0"),
         # findings

@@ -402,6 +402,15 @@ def r24_url_pages(spark, sf):
     return pages.select("page_id", LR.classify_location(F.col("url")).alias("kind"))
 
 
+@query
+def r24_literals_pages(spark, sf):
+    """Addresses and paths among all quoted literals of whole pages."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    literals = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1))).alias("literal"))
+    found = literals.select("page_id", "literal", LR.classify_location(F.col("literal")).alias("kind")).where("kind IS NOT NULL")
+    return found.groupBy("page_id", "kind", "literal").agg(F.count("*").alias("n"))
+
+
 @query
 def r28_rust(spark, sf):
     return placed(NR.needless_unwraps(facts(spark, sf)), "col")
