@@ -7,8 +7,8 @@ words it resembles, and so their vectors. N-grams of fewer than ``MIN_TEXTS`` te
 moves in steps that shrink with its n-gram's usual share of a text, so that rare n-grams are learnt as well as
 common ones.
 
-Scale: the model is fitted on at most ``SAMPLE`` labelled texts of each class, chosen by hash order; each class
-weighs as it does among all labels that may teach. What reaches the driver is their
+Scale: the model is fitted on at most ``SAMPLE`` labelled texts, clean and toxic, chosen by hash order; each class
+weighs as it does among all labels that may teach. More clean texts are taken, as they are the more varied. What reaches the driver is their
 n-grams' shares, packed, at most ``BUCKETS`` of a text. Scoring is one pass over all whole texts, without a shuffle. A linear softmax of a mean is a
 mean of what each word adds, so a task looks a word's part up once and keeps it in a table that is cleared at
 ``TABLE_WORDS`` entries.
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from coralint.llm.common import small_batches
 
-SAMPLE = 2000  # labelled texts of each class
+SAMPLE = (3000, 2000)  # labelled texts, clean and toxic
 BUCKETS = 1 << 17  # hashed n-grams
 DIM = 4
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5)
 MIN_TEXTS = 12
-STEPS, MOMENTUM, EVENING = 100, 0.9, 0.6
+STEPS, MOMENTUM, EVENING = 100, 0.96, 0.6
 TABLE_WORDS = 400_000
 FOLDS = 3
 WORDS = re.compile(r"[^\W_]+")
@@ -196,20 +196,21 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["nth", "at", "share"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1, sample: int = SAMPLE) -> Model:
-    """A model from the labelled texts outside the held-out fold, at most ``sample`` of each class."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1, sample: int | tuple[int, int] = SAMPLE) -> Model:
+    """A model from the labelled texts outside the held-out fold, at most ``sample`` (of each class, or clean and toxic)."""
+    most = (sample, sample) if isinstance(sample, int) else sample
     small_batches(docs.sparkSession)
     teach = labels.filter((fold(F.col(id_col)) != held_out) & F.col(label_col).isin(0, 1))
     teach = teach.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     shares = {r["__label"]: r["count"] for r in teach.groupBy("__label").count().collect()}
     bags, marks = [], []
     for label in sorted(shares):
-        picked = teach.filter(F.col("__label") == label).orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample)
+        picked = teach.filter(F.col("__label") == label).orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(most[label])
         # The ids are bounded by the sample, so the join needs no shuffle of texts.
         found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
         packed = found.select(F.xxhash64("__id", "__text").alias("nth"), "__label", "__text").mapInArrow(_packed, "nth long, at binary, share binary")
         # Rows that agree in the order are equal.
-        for r in packed.orderBy("nth", "at", "share").limit(sample).collect():
+        for r in packed.orderBy("nth", "at", "share").limit(most[label]).collect():
             bags.append((bytes(r["at"]), bytes(r["share"])))
             marks.append(label)
     marks = np.array(marks, np.int64)
