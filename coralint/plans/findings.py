@@ -81,13 +81,15 @@ def rank_findings(findings: DataFrame, order: str = "reference") -> DataFrame:
     return rank_rows(findings, sort_struct(findings, order))
 
 
+def key_columns(key: tuple[str, ...]) -> list[Column]:
+    """The columns of a finding that a baseline's key names."""
+    return [F.col(f"location.{k}") if k in ("file", "line") else F.col(k) for k in key]
+
+
 def new_findings(current: DataFrame, baseline: DataFrame, key: tuple[str, ...] = ("file", "line", "rule_id")) -> DataFrame:
     """Findings whose key is not in the baseline. Works on a stream with a static baseline."""
     known = baseline.select(*[F.col(k).alias(f"_b_{k}") for k in key]).distinct()
-    source = {"file": F.col("location.file"), "line": F.col("location.line")}
-    cond = reduce(
-        lambda a, b: a & b, [source.get(k, F.col(k)).eqNullSafe(F.col(f"_b_{k}")) for k in key]
-    )
+    cond = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"_b_{k}")) for k, c in zip(key, key_columns(key))])
     return current.join(known, cond, "left_anti")
 
 

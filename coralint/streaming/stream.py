@@ -2,17 +2,23 @@
 
 A file arrives whole within one micro-batch, so no state crosses batches: the
 detectors run inside ``foreachBatch`` and known findings are dropped against a
-static baseline.
+static baseline. ``unseen_stream`` keeps state instead: what one batch reports is
+known to all later ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from coralint.model import Config
 from coralint.operators.bundle import Facts
-from coralint.plans.findings import filter_severity, new_findings
+from coralint.plans.findings import filter_severity, key_columns, new_findings
 from coralint.plans.review import detect
 from coralint.session import ensure_checkpoint_dir
 
@@ -61,3 +67,59 @@ def findings_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _unless_seen(forget_ms: int | None):
+    """All findings of a key in the batch that first has it, none later."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.exists
+        state.update((True,))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
+        for part in parts:
+            if not known:
+                yield part[["finding"]]
+
+    return run
+
+
+def unseen_stream(
+    findings: DataFrame,
+    output: str,
+    checkpoint: str,
+    severity: str | None = None,
+    baseline: DataFrame | None = None,
+    key: tuple[str, ...] = ("file", "line", "rule_id"),
+    forget_ms: int | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write each finding of a stream whose key no earlier batch had, and remember its key.
+
+    Keys are kept in the state store under ``checkpoint``, hashed over its partitions, so a batch
+    shuffles its own findings alone, whatever is known already, and a restart goes on with what it
+    knew. Findings that share a key within the batch that first has it are all written, as in a diff
+    of two runs; null parts of a key equal each other. ``forget_ms`` drops a key that was not seen for
+    so long, which bounds the state; without it the state grows with the distinct keys. ``baseline``
+    holds keys known from the start.
+    """
+    out = filter_severity(findings, severity) if severity else findings
+    if baseline is not None:
+        out = new_findings(out, baseline, key)
+    names = [f"key_{i}" for i in range(len(key))]
+    # As one string a finding passes Python unchanged, whatever its columns are.
+    keyed = out.select(*[c.alias(n) for c, n in zip(key_columns(key), names)], F.to_json(F.struct(*out.columns)).alias("finding"))
+    timeout = GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    unseen = keyed.groupBy(*names).applyInPandasWithState(_unless_seen(forget_ms), "finding string", "seen boolean", "append", timeout)
+    return (
+        unseen.select(F.from_json("finding", out.schema).alias("f"))
+        .select("f.*")
+        .writeStream.format("parquet")
+        .option("path", output)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

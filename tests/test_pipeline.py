@@ -14,7 +14,7 @@ from coralint.plans.review import select_rules, unregister_detector
 from coralint.sinks import reports
 from coralint.sources.baseline import baseline_of, load_baseline
 from coralint.sources.corpus import exclude_by_ignore, scan_binary
-from coralint.streaming.stream import review_stream
+from coralint.streaming.stream import review_stream, unseen_stream
 
 
 @pytest.fixture(scope="module")
@@ -258,6 +258,32 @@ def test_review_stream(spark, corpus, tmp_path):
     assert [(r.location.file, r.location.line) for r in rows] == [("b.py", 2)]
 
 
+def test_unseen_stream_learns_and_keeps_what_it_knew(spark, tmp_path):
+    schema = "fid long, rule_id string, severity string, sev_rank int, location struct<file:string,line:int>, measure double, tags array<string>"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        before = spark.read.schema(schema).parquet(out).count() if (tmp_path / "out").exists() else 0
+        unseen_stream(spark.readStream.schema(schema).parquet(source), out, state, baseline=known).awaitTermination()
+        return sorted(spark.read.schema(schema).parquet(out).collect(), key=lambda r: r.fid)[before:]
+
+    known = spark.createDataFrame([("k.py", 1, "R08")], "file string, line int, rule_id string")
+    big = 2**62 + 1
+    first = arrive(
+        (1, "R08", "info", 0, ("a.py", 1), 0.5, ["x", None]), (2, "R08", "info", 0, ("a.py", 1), None, None),
+        (3, "R08", "info", 0, ("k.py", 1), None, None), (4, None, None, None, (None, None), None, None),
+    )
+    assert [(r.fid, r.location, r.measure, r.tags) for r in first] == [
+        (1, ("a.py", 1), 0.5, ["x", None]), (2, ("a.py", 1), None, None), (4, (None, None), None, None)
+    ]
+    second = arrive(
+        (5, "R08", "info", 0, ("a.py", 1), None, None), (6, None, None, None, (None, None), None, None), (big, "R08", "info", 0, ("a.py", 2), None, None)
+    )
+    assert [r.fid for r in second] == [big]
+    assert arrive((7, "R08", "info", 0, ("a.py", 2), None, None)) == []
+
+
 def test_repo_scope(spark, corpus):
     from coralint.operators.detectors.name_rules import missing_awaits, single_impl_traits
 

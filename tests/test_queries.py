@@ -10,7 +10,7 @@ from workload.oracle import oracle
 from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["scan_ignore_inherited", "facts_lines", "facts_tokens_lossless", "top_files", "sort_ranked", "r14_secrets_documents", "stream_new_findings", "review_by_rule", "facts_functions_all_kinds", "facts_calls_in_template", "facts_pattern_literals", "r10_contexts", "r02_braceless", "r18_in_template", "scan_folder", "report_markdown_full", "facts_functions", "facts_calls", "facts_enclosing_function", "facts_tokens_by_kind"]
+SAMPLE = ["scan_ignore_inherited", "facts_lines", "facts_tokens_lossless", "top_files", "sort_ranked", "r14_secrets_documents", "stream_new_findings", "stream_unseen_findings", "review_by_rule", "facts_functions_all_kinds", "facts_calls_in_template", "facts_pattern_literals", "r10_contexts", "r02_braceless", "r18_in_template", "scan_folder", "report_markdown_full", "facts_functions", "facts_calls", "facts_enclosing_function", "facts_tokens_by_kind"]
 
 
 def test_registry_is_complete():

@@ -481,6 +481,10 @@ def oracle() -> dict[str, str]:
             f"UNION ALL SELECT fid, {_l('parm')}, concat('parm', k), CASE WHEN {PY} THEN 2 ELSE 3 END FROM f WHERE {PY} OR {RUST}) t"
         ),
         "stream_new_findings": _e(f"SELECT {_FLAT} FROM e WHERE severity <> 'info' AND {_NOT_KNOWN}", known=True),
+        "stream_unseen_findings": _e(
+            f"SELECT {_FLAT} FROM (SELECT *, min(snapshot) OVER (PARTITION BY file, line, rule_id) AS first FROM e WHERE severity <> 'info') e "
+            "WHERE snapshot = first"
+        ),
         "baseline_stats": _e(
             "SELECT count(*) AS total, count(*) FILTER (WHERE b.rule_id IS NULL) AS new, count(b.rule_id) AS known FROM e "
             "LEFT JOIN known b ON b.file = e.file AND b.line = e.line AND b.rule_id = e.rule_id",

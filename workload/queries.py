@@ -25,7 +25,7 @@ from coralint.session import ensure_checkpoint_dir
 from coralint.sinks.reports import finding_line, write_report
 from coralint.sources import corpus as S
 from coralint.sources.baseline import baseline_of, load_baseline
-from coralint.streaming.stream import findings_stream
+from coralint.streaming.stream import findings_stream, unseen_stream
 from workload import corpus as C
 from workload import odd
 from workload.oracle import LAYOUTS
@@ -667,6 +667,18 @@ def stream_new_findings(spark, sf):
     return flat(spark.read.parquet(f"{base}/out"))
 
 
+@query
+def stream_unseen_findings(spark, sf):
+    """Snapshots arrive one after the other, the stream is started anew for each: what an earlier one had is dropped."""
+    found = event_findings(spark.read.parquet(f"{sf}/events.parquet"))
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for snapshot in ("s0", "s1", "s2", "s3"):
+        found.where(F.col("snapshot") == snapshot).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(found.schema).parquet(f"{base}/in")
+        unseen_stream(arriving, f"{base}/out", f"{base}/state", "warning").awaitTermination()
+    return flat(spark.read.parquet(f"{base}/out"))
+
+
 @query
 def corpus_compare_snapshots(spark, sf):
     """Notes that are new in the second snapshot of the corpus."""
