@@ -13,8 +13,9 @@ multisets: sum of minima at least ``similarity`` times sum of maxima. Groups are
 Scale: equal texts are one class before any sketch is compared. Candidates of a bucket are first
 compared with its smallest class only, which settles groups of copies with one comparison a
 member. Only buckets that still hold several components are compared within, in pairs of chunks of
-bounded size; a pair is looked at in the first bucket it shares, by signature, and verified only if
-its signature allows the similarity and it is not yet connected. No pair becomes a row, and no test is
+bounded size, and buckets of one largest component are put together where that deals out fewer rows;
+a pair that shares a bucket is looked at by signature, and verified only if its signature allows the
+similarity and it is not yet connected. No pair becomes a row, and no test is
 capped: every pair of a bucket is either connected or tested.
 A hub's members are salted, so a large group is many tasks, each streaming past one multiset.
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coralint.llm.common import give_back, hash128, small_batches, stored
@@ -43,6 +44,7 @@ SHINGLES_AT_ONCE = 200_000
 MEMO = 500_000
 PER_HUB = 500  # members of a hub in one task
 PER_CHUNK = 500  # classes of a bucket in one chunk
+MERGED = -1  # the band of buckets that are treated as one
 BROADCAST_KEYS = 1_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -248,26 +250,29 @@ def verified(edges: DataFrame, bags: DataFrame, similarity: float, name: str) ->
 def _inside(similarity: float):
     """Links between the components of one chunk pair of a bucket; pairs once connected are not tested.
 
-    A pair is tested only in the first bucket that it shares, and only if its signatures allow the
-    similarity, the most alike first.
+    A pair is tested only in the first bucket that it shares, or where merged buckets meet if it shares
+    any, and only if its signatures allow the similarity, the most alike first.
     """
 
     def run(table: pa.Table) -> pa.Table:
         c, band = np.array(table.column("c")), table.column("band")[0].as_py()
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        side, hub = np.array(table.column("side")), np.array(table.column("hub"))
+        side = np.array(table.column("side"))
         group = np.unique(np.array(table.column("component")), return_inverse=True)[1]
         slots = np.stack([np.frombuffer(v.as_py(), np.uint8) for v in table.column("slots")])
         bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(c), -1)
         items, counts = table.column("items"), table.column("counts")
         bag = lambda i: (np.frombuffer(items[i].as_py(), np.uint64), np.frombuffer(counts[i].as_py(), "<u4").astype(np.int64))
         one = x == y
-        right = np.flatnonzero((side == y) & ~hub)
+        right = np.flatnonzero(side == y)
         a, b = [], []
-        for i in np.flatnonzero((side == x) & ~hub):
+        for i in np.flatnonzero(side == x):
             others = right[group[right] != group[i]]
             others = others[c[others] > c[i]] if one else others
-            others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
+            if band == MERGED:
+                others = others[(bands[others] == bands[i]).any(axis=1)]
+            else:
+                others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
             agree = ((slots[others] == slots[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
             order = np.argsort(-agree, kind="stable")
             own = None
@@ -291,6 +296,26 @@ def _labelled(frame: DataFrame, groups: DataFrame | None, on: str, name: str) ->
     return frame.join(g, F.col(on) == F.col("__id"), "left").withColumn(name, F.coalesce("__component", on)).drop("__id", "__component")
 
 
+def _chunks(n: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(PER_CHUNK))).cast("int")
+
+
+def _sizes() -> list[Column]:
+    return [F.count_if(F.col("in_largest")).alias("n"), F.count_if(~F.col("in_largest")).alias("o")]
+
+
+def _merged(open_: DataFrame) -> DataFrame:
+    """Open buckets (band, h, largest, in_largest, c, component), those of one largest component as one
+    bucket where that deals out fewer rows: a large group fills a bucket in nearly every band."""
+    dealt = F.col("n") * _chunks("o") + F.col("o") * (_chunks("n") + _chunks("o"))
+    alone = open_.groupBy("band", "h", "largest").agg(*_sizes()).groupBy("largest").agg(F.sum(dealt).alias("alone"))
+    union = open_.groupBy("largest", "c").agg(F.first("in_largest").alias("in_largest")).groupBy("largest").agg(*_sizes())
+    fewer = union.join(alone, "largest").select("largest", (dealt < F.col("alone")).alias("merge"))
+    rows = open_.join(fewer, "largest")
+    band, h = F.when(F.col("merge"), MERGED).otherwise(F.col("band")), F.when(F.col("merge"), F.col("largest")).otherwise(F.col("h"))
+    return rows.select(band.alias("band"), h.alias("h"), "in_largest", "c", "component").distinct()
+
+
 def _pairs_of(classes: DataFrame, docs_keyed: DataFrame, similarity: float) -> DataFrame | None:
     """Verified links (a, b) between classes."""
     spread = classes.select("c", F.posexplode("bands").alias("band", "h"))
@@ -322,13 +347,13 @@ def _pairs_of(classes: DataFrame, docs_keyed: DataFrame, similarity: float) -> D
         .filter("parts > 1")
     )
     # Buckets with the same members are treated once, in their first band.
-    apart = apart.groupBy("m", "sum").agg(F.min(F.struct("band", "h", "largest")).alias("of")).select("m", "of.*")
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(PER_CHUNK))).cast("int")
-    apart = apart.select(
-        "band", "h", F.col("largest.component").alias("largest"), chunks(F.col("largest.m")).alias("first"), chunks(F.col("m") - F.col("largest.m")).alias("others")
-    )
+    apart = apart.groupBy("m", "sum").agg(F.min(F.struct("band", "h", "largest")).alias("of")).select("of.band", "of.h", F.col("of.largest.component").alias("largest"))
+    open_ = placed.filter("c <> hub").join(apart, ["band", "h"]).withColumn("in_largest", F.col("component") == F.col("largest"))
+    open_ = stored(open_.select("band", "h", "largest", "in_largest", "c", "component"), "minhash-open")
+    open_ = stored(_merged(open_), "minhash-dealt")
+    sizes = open_.groupBy("band", "h").agg(*_sizes()).select("band", "h", _chunks("n").alias("first"), _chunks("o").alias("others"))
     # No two members of the largest component are compared, so each of its chunks meets the others' chunks only.
-    open_ = placed.join(apart, ["band", "h"]).withColumn("in_largest", F.col("component") == F.col("largest"))
+    open_ = open_.join(sizes, ["band", "h"])
     at = F.xxhash64(F.lit(1), "c")
     open_ = open_.withColumn("side", F.when(F.col("in_largest"), F.pmod(at, F.col("first"))).otherwise(F.col("first") + F.pmod(at, F.col("others"))).cast("int"))
     meets = F.sequence(F.when(F.col("in_largest"), F.col("first")).otherwise(0), F.col("first") + F.col("others") - 1)
@@ -336,8 +361,7 @@ def _pairs_of(classes: DataFrame, docs_keyed: DataFrame, similarity: float) -> D
     dealt = dealt.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
     dealt = dealt.join(classes.select("c", "slots", "bands"), "c").join(bags, "c")
     inside = (
-        dealt.withColumn("hub", F.col("c") == F.col("hub"))
-        .select("band", "h", "x", "y", "side", "c", "component", "hub", "slots", "bands", "items", "counts")
+        dealt.select("band", "h", "x", "y", "side", "c", "component", "slots", "bands", "items", "counts")
         .groupBy("band", "h", "x", "y")
         .applyInArrow(_inside(similarity), "a long, b long")
     )

@@ -84,3 +84,16 @@ def test_signatures_estimate_weighted_jaccard():
     s = B.signatures([(a, wa), (a, wb), (a[:1], np.array([1])), (a[:0], wa[:0])], slots=4096)
     assert abs((s[0] == s[1]).mean() - true) < 0.03
     assert np.isfinite(s[2]).all() and np.isinf(s[3]).all()
+
+
+def test_buckets_of_one_large_group_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(B, "PER_CHUNK", 5)
+    schema = "band int, h long, largest long, in_largest boolean, c long, component long"
+    # One group fills a bucket in every band, with one outsider; another has small buckets of few members each.
+    hot = [(band, 100 + band, 0, c < 20, c, 0 if c < 20 else c) for band in range(42) for c in range(21)]
+    thin = [(0, 1000 + c, 50, c < 90, c, 50 if c < 90 else c) for c in range(50, 90)]
+    thin += [(0, 1000 + c, 50, False, 100 + c, 100 + c) for c in range(50, 90)]
+    got = B._merged(spark.createDataFrame(hot + thin, schema)).collect()
+    merged = [r for r in got if r.band == B.MERGED]
+    assert sorted(r.c for r in merged) == list(range(21)) and {r.h for r in merged} == {0}
+    assert len(got) == 21 + 80
