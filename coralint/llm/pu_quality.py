@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coralint.llm.common import small_batches
+from coralint.llm.common import give_back, small_batches
 
 SAMPLE = 6000
 PAIRS = 512  # hashed byte pairs
@@ -162,9 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(positive) or not len(unlabelled):
         return UNFITTED
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 0.01
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    prior = estimate_prior(p, u)
-    weight, bias = fit_nn_pu(p, u, prior)
+    # In place: the driver holds each sample once.
+    for rows in (positive, unlabelled):
+        rows -= mean
+        rows /= scale
+    prior = estimate_prior(positive, unlabelled)
+    weight, bias = fit_nn_pu(positive, unlabelled, prior)
+    del positive, unlabelled, rows
+    give_back()
     return Model(mean, scale, weight, bias, prior)
 
 
