@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from coralint.functions.modes import needs_scan
 from coralint.operators.bundle import Facts
 from coralint.operators.detectors import name_rules as NR
+from coralint.plans import review as R
 from coralint.session import partitions_for
 
 ROWS = [
@@ -52,3 +53,16 @@ def test_partitions_stay_as_large_however_many_files(spark, tmp_path):
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert partitions_for(table, 1000) == most
     assert partitions_for(table, 1000, capped=False) > most
+
+
+def test_a_review_in_slices_finds_the_same_and_keeps_no_facts(spark, tmp_path, monkeypatch):
+    rows = [*ROWS, (8, "python", "import os\ndef test_a():\n    pass\n"), (9, "java", "class A {\n  // TODO x\n  int n = 4711;\n}\n")]
+    files = spark.createDataFrame([(f, None if f is None else f"f{f}.x", *r) for f, *r in rows], "fid long, path string, language string, text string")
+    plain, sliced = (Facts(files, store=str(tmp_path / d), partitions=3) for d in ("plain", "sliced"))
+    with plain, sliced:
+        wanted = sorted(map(str, R.detect(plain).collect()))
+        monkeypatch.setattr(R, "PARTITIONS_AT_ONCE", 1)
+        assert sorted(map(str, R.detect(sliced).collect())) == wanted and len(wanted) > 4
+        # Of the facts of all files only the texts are stored, and nothing of the slices is left.
+        assert [t.rsplit("_", 1)[1] for t in sliced._tables] == ["files"]
+        assert sorted(p.name.split("-")[0] for p in (tmp_path / "sliced").glob("*/*")) == ["files", "hits"]
