@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from coralint.functions.modes import needs_scan
+from coralint.operators import facts as X
 from coralint.operators.bundle import Facts
 from coralint.operators.detectors import name_rules as NR
 from coralint.plans import review as R
@@ -66,3 +67,18 @@ def test_a_review_in_slices_finds_the_same_and_keeps_no_facts(spark, tmp_path, m
         # Of the facts of all files only the texts are stored, and nothing of the slices is left.
         assert [t.rsplit("_", 1)[1] for t in sliced._tables] == ["files"]
         assert sorted(p.name.split("-")[0] for p in (tmp_path / "sliced").glob("*/*")) == ["files", "hits"]
+
+
+def test_only_texts_that_can_interpolate_are_searched_for_literals(spark):
+    rows = [
+        (1, "typescript", "const a = `${b}`;\n"),
+        (2, "typescript", "const c = 'f\"';\n"),
+        (3, "python", "d = rF'{e}'\n"),
+        (4, "python", "g = '{h}'\n"),
+        (5, "java", 'String i = "f`";\n'),
+        (None, None, None),
+    ]
+    files = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.fid for r in files.where(X.may_interpolate(F.col("text"), F.col("language"))).collect()) == [1, 3]
+    found = {(r.fid, r.name) for r in X.identifiers(files).collect()}
+    assert {(1, "b"), (3, "e")} <= found and not {"h", "f"} & {name for _, name in found}
