@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from coralint.functions.text import all_of, contains_any
 from coralint.operators import facts as X
 from coralint.operators import lexemes as L
+from coralint.operators import statements as S
 from coralint.session import absolute_path, delete_folder, partitions_for
 
 # Estimated table bytes per partition; a byte of text becomes some thirty bytes of facts.
@@ -28,8 +29,8 @@ class Facts:
     share are written there once as Parquet bucketed by ``fid``. Reading them
     back keeps the partitioning (no shuffle before windows and joins on ``fid``),
     prunes columns, gives every detector a short plan and survives lost executors
-    without recomputation. Lexemes and tokens that only lead to statements are not
-    written. Without a store every use is computed from the text.
+    without recomputation. Statements are cut from the texts, so the lexemes and tokens
+    that lead to them are not written. Without a store every use is computed from the text.
     """
 
     def __init__(
@@ -153,7 +154,7 @@ class Facts:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return self._shared("statements", L.statements(self._ready("tokens", self._tokenized)))
+        return self._shared("statements", S.statements(self.files))
 
     @cached_property
     def blocks(self) -> DataFrame:

@@ -121,14 +121,14 @@ def string_literals(lex: DataFrame) -> DataFrame:
 # Trailing call target of a code lexeme: name, member chain or macro name.
 TAIL = r"(?<![\w$.:?])((?:\?\.|\.|::|[\w$?])[\w$.:?]*!?(?:<[^()]*>)?)$"
 # A name or member on a new line, but no infix word.
-_TS_NEW_NAME = r"^[#@]?(?!(?:in|instanceof|of|as|is|satisfies|extends|implements|from|catch|finally|else|while|keyof)\b)[\w$]"
+TS_NEW_NAME = r"^[#@]?(?!(?:in|instanceof|of|as|is|satisfies|extends|implements|from|catch|finally|else|while|keyof)\b)[\w$]"
 # Words that a value, a name or a member must follow, on the same line or the next.
-_TS_OPEN_WORD = (
+TS_OPEN_WORD = (
     r"\b(?:else|const|let|var|new|typeof|await|case|export|default|public|private|protected|static|readonly|abstract|override"
     r"|async|get|set|import|return|extends|implements|in|of|instanceof|as|void|delete|yield|throw|function|class|interface|enum"
     r"|type|declare|namespace|keyof|infer|is|from|do|try|finally)$"
 )
-_TS_STATEMENT_WORDS = (
+TS_STATEMENT_WORDS = (
     r"^(?:for|while|if|function|async|class|const|let|var|return|import|export|try|switch|throw|do|interface|type)\b"
 )
 
@@ -181,7 +181,7 @@ def tokens(lex: DataFrame) -> DataFrame:
     )
     # Where semicolons are left out, a name on a new line behind a complete value starts anew.
     after_whole_value = (F.col("p_role") == "string") | (F.col("p_text") == "]") | (
-        (F.col("p_role") == "code") & F.col("p_text").rlike(r"[\w$]$") & ~F.col("p_text").rlike(_TS_OPEN_WORD)
+        (F.col("p_role") == "code") & F.col("p_text").rlike(r"[\w$]$") & ~F.col("p_text").rlike(TS_OPEN_WORD)
     )
     brace_break = (
         (F.col("p_role") == "semi")
@@ -190,7 +190,7 @@ def tokens(lex: DataFrame) -> DataFrame:
             F.col("language").isin("typescript", "tsx")
             & line_break
             & is_code
-            & (F.col("text").rlike(_TS_STATEMENT_WORDS) | (after_whole_value & F.col("text").rlike(_TS_NEW_NAME)))
+            & (F.col("text").rlike(TS_STATEMENT_WORDS) | (after_whole_value & F.col("text").rlike(TS_NEW_NAME)))
         )
     )
     new_statement = (F.col("role") != "close") & (
@@ -205,40 +205,3 @@ def tokens(lex: DataFrame) -> DataFrame:
         F.sum(F.when(new_statement, 1).otherwise(0)).over(upto).cast("int").alias("sid"),
         (joined & is_code).alias("continues"),
     )
-
-
-def statements(tok: DataFrame) -> DataFrame:
-    """One row per statement of the sibling view, with its siblings in order.
-
-    ``head`` is the statement as text with bracket groups emptied, for example
-    ``pub fn name ( ) -> i64 { }``.
-    """
-    sib = F.struct("tok", "role", "text", "off", "end_off", "row", "row_end", "col", "doc_off")
-    grouped = (
-        tok.where(F.col("role") != "end")
-        .groupBy("fid", "language", "level", "sid")
-        .agg(
-            F.sort_array(F.collect_list(sib)).alias("sibs"),
-            F.min_by("prev_end", "tok").alias("prev_end"),
-        )
-    )
-    first, last = F.element_at("sibs", 1), F.element_at("sibs", -1)
-    shown = F.transform(
-        "sibs",
-        lambda s: F.when(s["role"] == "string", F.lit('""')).otherwise(s["text"]),
-    )
-    return grouped.select(
-        "fid",
-        "language",
-        "level",
-        "sid",
-        "sibs",
-        F.array_join(shown, " ").alias("head"),
-        first["off"].alias("off"),
-        last["end_off"].alias("end_off"),
-        first["row"].alias("row"),
-        last["row_end"].alias("row_end"),
-        first["col"].alias("col"),
-        (last["text"] == "}").alias("braced"),
-        "prev_end",
-    )
