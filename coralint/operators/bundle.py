@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coralint.functions.lexer import LANGUAGES
 from coralint.functions.text import all_of, contains_any
 from coralint.operators import facts as X
 from coralint.operators import lexemes as L
@@ -202,7 +203,8 @@ class Facts:
 
     @cached_property
     def loops(self) -> DataFrame:
-        return self._shared("loops", X.loops(self.statements, self._ready("blocks", self._blocked), self.files))
+        some = self.among(LANGUAGES, X.LOOP_WORDS)
+        return self._shared("loops", X.loops(some.statements, some._ready("blocks", some._blocked), some.files))
 
     @cached_property
     def types(self) -> DataFrame:

@@ -811,6 +811,10 @@ def identifiers(files: DataFrame, java_types: bool = False) -> DataFrame:
     return files.select("fid", F.explode(F.array_distinct(names)).alias("name"))
 
 
+# One of these is in the text of every file with a loop.
+LOOP_WORDS = ["for", "while", "loop"]
+
+
 def loops(stm: DataFrame, blk: DataFrame, files: DataFrame) -> DataFrame:
     """``for`` / ``while`` statements with their text; loop variable and iterable for Python."""
     cols = ["fid", "language", "head", "off", "end_off", "row", "col"]

@@ -63,3 +63,9 @@ def test_no_lexeme_is_a_row_of_spark(spark, tmp_path):
         assert listed(facts.statements) == HEADS
         # One file per bucket: what a task cuts stays in its bucket.
         assert len(list(tmp_path.glob("*/statements/*.parquet"))) <= 2
+
+
+def test_only_files_with_a_loop_word_are_cut_for_loops(spark, tmp_path):
+    with Facts(spark.createDataFrame(ROWS, SCHEMA), store=str(tmp_path), partitions=2) as facts:
+        assert [(r.fid, r["var"], r["source"]) for r in facts.loops.collect()] == [(3, "y", "x")]
+        assert "statements" not in facts.__dict__
