@@ -19,6 +19,15 @@ from coralint.session import absolute_path, delete_folder, partitions_for
 BYTES_PER_PARTITION = 32 << 20
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """The table, never sent whole to the driver and to every executor by a join.
+
+    Spark judges a stored table by its bytes on disk, where source text takes a small part of what it takes in
+    memory, and a text made by an expression by a fixed guess; both let it broadcast the texts of a corpus.
+    """
+    return df.hint("merge")
+
+
 class Facts:
     """Lazy fact tables over ``files(fid, language, text, ..)``.
 
@@ -94,7 +103,7 @@ class Facts:
             "path", f"{self.store}/{name}"
         ).saveAsTable(table)
         self._tables.append(table)
-        return df.sparkSession.table(table)
+        return _merged(df.sparkSession.table(table))
 
     def __enter__(self) -> "Facts":
         return self
@@ -116,7 +125,7 @@ class Facts:
 
     @cached_property
     def files(self) -> DataFrame:
-        files = self._shared("files", self._source)
+        files = _merged(self._shared("files", self._source))
         return files if self._holding is None else files.where(self._holding)
 
     @cached_property

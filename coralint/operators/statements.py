@@ -131,8 +131,8 @@ def _since_start(running: np.ndarray, starts: np.ndarray, own: np.ndarray) -> np
     return running - np.repeat((running - own)[at], np.diff(np.append(at, len(running))))
 
 
-def _cut(group: np.ndarray, lexemes: _Lexemes) -> pa.Table:
-    """Statements of the lexemes, in order of their files' numbers ``group``, which become column 0."""
+def _cut(group: np.ndarray, lexemes: _Lexemes) -> pa.Table | None:
+    """Statements of the lexemes, in order of their files' numbers ``group``, which become column 0; None of blanks and comments."""
     tok, lang, letters = (np.concatenate(column) for column in lexemes.columns)
     pieces = lexemes.pieces
     raw = pa.array(pieces, pa.string())
@@ -167,6 +167,8 @@ def _cut(group: np.ndarray, lexemes: _Lexemes) -> pa.Table:
 
     # A closing bracket is seen from outside and, as an end, from inside.
     solid = np.flatnonzero((kind != SPACE) & (kind != COMMENT))
+    if not len(solid):
+        return None
     prev_end = _lag((end_off - base)[solid], _changes(group[solid]), 0)
     closing = kind[solid] == CLOSE
     at = np.concatenate([solid, solid[closing]])
@@ -244,7 +246,7 @@ def _statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not any(counts):
                 continue
             found = _cut(np.repeat(np.arange(a, b), counts), lexemes)
-            if found.num_rows:
+            if found is not None:
                 found = found.set_column(0, "fid", fids.take(found.column(0)))
                 yield from found.to_batches()
 

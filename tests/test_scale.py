@@ -82,3 +82,13 @@ def test_only_texts_that_can_interpolate_are_searched_for_literals(spark):
     assert sorted(r.fid for r in files.where(X.may_interpolate(F.col("text"), F.col("language"))).collect()) == [1, 3]
     found = {(r.fid, r.name) for r in X.identifiers(files).collect()}
     assert {(1, "b"), (3, "e")} <= found and not {"h", "f"} & {name for _, name in found}
+
+
+def test_no_join_sends_a_table_of_facts_to_every_executor(spark, tmp_path):
+    files = spark.createDataFrame([(1, "typescript", "const f = (a) => a;\n"), (2, "rust", "fn g() {}\n")], SCHEMA)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) > 1000
+    with Facts(files, store=str(tmp_path), partitions=2) as facts:
+        for df in (X.functions(facts._function_rows, facts.files), facts.function_spans, X.loops(facts.statements, facts.blocks, facts.files)):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    plain = Facts(files, partitions=2)
+    assert "Broadcast" not in X.import_statements(plain.statements, plain.files)._jdf.queryExecution().executedPlan().toString()

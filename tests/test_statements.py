@@ -69,3 +69,8 @@ def test_only_files_with_a_loop_word_are_cut_for_loops(spark, tmp_path):
     with Facts(spark.createDataFrame(ROWS, SCHEMA), store=str(tmp_path), partitions=2) as facts:
         assert [(r.fid, r["var"], r["source"]) for r in facts.loops.collect()] == [(3, "y", "x")]
         assert "statements" not in facts.__dict__
+
+
+def test_texts_of_blanks_and_comments_alone_have_no_statements(spark):
+    files = spark.createDataFrame([(1, "rust", "// note\n"), (2, "python", "\n\n"), (3, "java", "/* a */")], SCHEMA).repartition(1)
+    assert listed(S.statements(files)) == set()
