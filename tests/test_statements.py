@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from coralint.operators import lexemes as L
 from coralint.operators import statements as S
 from coralint.operators.bundle import Facts
+from coralint.operators.detectors import function_rules as FR
+from coralint.operators.detectors import literal_rules as LR
 
 SCHEMA = "fid long, language string, text string"
 ROWS = [
@@ -74,3 +77,46 @@ def test_only_files_with_a_loop_word_are_cut_for_loops(spark, tmp_path):
 def test_texts_of_blanks_and_comments_alone_have_no_statements(spark):
     files = spark.createDataFrame([(1, "rust", "// note\n"), (2, "python", "\n\n"), (3, "java", "/* a */")], SCHEMA).repartition(1)
     assert listed(S.statements(files)) == set()
+
+
+CODE = [
+    (1, "typescript", "interface I { f(a: 5): 6 }\nfoo\n  .bar(7).baz?.()\nconst t = `a${run(x)}`\nf(a: 9)\n"),
+    (2, "rust", "#[cfg(a)]\nfn f() { match v { P { a: 7 } => 8, 9 if x => y!(12), _ => 3 } }\n"),
+    (3, "java", "class A { int hashCode() { return 31; } int g() { return a.b(44).c(); } }\n"),
+    (4, "python", "def f(a=5):\n    return f\"{g(6)}\" + h.k(\n 77)\n"),
+    (5, "csharp", "/// doc\n[A(3)] int x = $\"v{go(7)}\".Trim();\n}) ;\n"),
+    (5, "csharp", "/// doc\n[A(3)] int x = $\"v{go(7)}\".Trim();\n}) ;\n"),
+    (6, "rust", "// blanks alone\n"),
+    (None, None, None),
+]
+
+
+def test_tokens_cut_in_the_task_are_those_of_the_windows(spark):
+    files = spark.createDataFrame([*ROWS, *CODE], SCHEMA).repartition(2)
+    lexed = L.lexemes(files)
+    pairs = [(L.tokens(lexed), "tokens"), (L.comments(lexed), "comments"), (L.string_literals(lexed), "strings")]
+    for wanted, what in pairs:
+        found = S.tokens(files, what).select(*wanted.columns)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())), what
+
+
+def test_facts_and_rules_read_few_tokens(spark, tmp_path):
+    files = spark.createDataFrame([r for r in CODE if r[0] != 5], SCHEMA)
+    with Facts(files, store=str(tmp_path), partitions=2) as facts:
+        assert facts.openings.where("role = 'open'").count() == S.tokens(files).where("role = 'open'").count()
+        assert {(r.fid, r.name) for r in facts.calls.collect()} == {(1, "bar"), (1, "run"), (1, "f"), (2, "cfg"), (3, "b"), (3, "c"), (4, "g"), (4, "k")}
+    with Facts(files, store=str(tmp_path), partitions=2) as facts:
+        found = {(r.fid, r.subject) for r in LR.detect_r10(facts).collect()}
+        assert found == {(1, "7"), (2, "8"), (2, "3"), (3, "44"), (4, "5"), (4, "6"), (4, "77")}
+        assert [t.rsplit("_", 1)[1] for t in facts._tables] == ["files", "judged"]
+        # Of the functions only those of files that can hold a hash are cut.
+        assert not {"statements", "functions", "tokens", "lexemes"} & facts.__dict__.keys()
+
+
+def test_nesting_and_integration_tests_store_no_bodies(spark, tmp_path):
+    rows = [(1, "java", "class A { void test_api() { if (a) { for (;;) { while (b) { request(); } } } } }\n")]
+    with Facts(spark.createDataFrame(rows, SCHEMA), store=str(tmp_path), partitions=2) as facts:
+        assert [(r.subject, r.measure) for r in FR.deep_nesting(facts, 2).collect()] == [("test_api", 7)]
+        assert [(r.subject, r.measure) for r in FR.detect_r05(facts).collect()] == [("test_api", 1)]
+        assert not {"blocks", "loops", "functions"} & facts.__dict__.keys()
